@@ -1,0 +1,25 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A group above this size is hot. N rows hold at most N / HOT_ROWS hot groups,
+# which bounds what is broadcast: 100 billion rows give 100 000 short rows.
+HOT_ROWS = 1_000_000
+
+
+def attach_to_rows(
+    rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Inner join of ``rows`` with one row per key in ``groups``.
+
+    The few hot keys are joined by broadcast where their rows already lie; only
+    the rows of ordinary keys are shuffled. ``key`` holds no NULLs.
+    """
+    hot = F.broadcast(groups.where(F.col(size) > hot_rows))
+    cold = groups.where(F.col(size) <= hot_rows)
+    hot_part = rows.join(hot, key)
+    cold_part = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    return hot_part.unionByName(cold_part)
