@@ -1,0 +1,357 @@
+"""Queries that go through files: written from the given tables, then read back by the sources.
+
+Each run writes below the shared folder of the session, in a folder of its own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from procurelake import schemas
+from procurelake.catalog import query
+from procurelake.catalog.silver import _MAPPED_SQL, _REASON, _notices, releases, relational_tables
+from procurelake.catalog.tenders import (
+    AS_OF, WITH_GOLD, WITH_SILVER, date_sql, enriched, gold, money_sql, raw, silver, table,
+)
+from procurelake.functions import keys
+from procurelake.operators import aggregates, enrich, mapping, profile, relational, validation
+from procurelake.plans import gold as gold_plan
+from procurelake.plans import silver as silver_plan
+from procurelake.session import scratch_path
+from procurelake.sinks import writers
+from procurelake.sources import scans
+from procurelake.streaming import incremental
+
+_RELEASE_DAY = f'coalesce({date_sql("publication_date")}, tender_start_date)'
+_COUNTRY = """CASE WHEN seq % 50 = 7 THEN 'atlantis' WHEN seq % 3 = 0 THEN 'kosovo' WHEN seq % 3 = 1 THEN 'uk'
+  ELSE 'portugal' END"""
+
+
+# ------------------------------------------------------------ Bronze and back
+@query(
+    "bronze_days",
+    f"""{WITH_SILVER} SELECT {_RELEASE_DAY} AS release_date, COUNT(*) AS records FROM raw GROUP BY 1""",
+)
+def bronze_days(spark, sf_dir):
+    """Releases written by country and day; the number per day as written."""
+    return writers.write_bronze(
+        releases(spark, sf_dir).drop("seq"), scratch_path(spark, "bronze"), F.lit("2025-03-15T00:00:00Z")
+    )
+
+
+@query(
+    "release_lines_to_silver",
+    f"""{_MAPPED_SQL} SELECT source_country, COUNT(*) AS records, COUNT(DISTINCT record_hash) AS hashes,
+      CAST(SUM(num_awards) AS BIGINT) AS awards FROM hashed WHERE ({_REASON}) IS NULL GROUP BY source_country""",
+)
+def release_lines_to_silver(spark, sf_dir):
+    """JSON lines below country folders, read with the release schema, mapped and validated."""
+    path = scratch_path(spark, "lines")
+    rows = releases(spark, sf_dir).drop("seq", "source_file")
+    rows.write.mode("overwrite").partitionBy("country").json(path)
+    lines = scans.good_lines(scans.release_lines(spark, path))
+    named = lines.withColumn("country", scans.country_of_path(F.col("source_file"), path.rsplit("/", 1)[1]))
+    kept = mapping.transform_releases(scans.spread(named))
+    return kept.groupBy("source_country").agg(
+        F.count("*").alias("records"), F.count_distinct("record_hash").alias("hashes"),
+        F.sum("num_awards").alias("awards"),
+    )
+
+
+@query(
+    "envelopes_to_silver",
+    f"""{WITH_SILVER} SELECT {_COUNTRY} AS country, COUNT(*) AS records,
+      COUNT(*) FILTER (starts_with(ocid, 'ocds-')) AS valid_ocids FROM raw GROUP BY 1""",
+)
+def envelopes_to_silver(spark, sf_dir):
+    """Envelope files of bounded size, one JSON object each, exploded into their releases."""
+    path = scratch_path(spark, "open_contracting_partnership")
+    rows = releases(spark, sf_dir)
+    release = F.struct(*[n for n in schemas.RELEASE_SCHEMA.names if n in rows.columns])
+    # An envelope holds the releases of one block of 500 orders and one country.
+    block = F.floor(F.col("seq") / 500)
+    envelope = rows.groupBy("country", block.alias("block")).agg(F.collect_list(release).alias("records"))
+    envelope.withColumn("count", F.size("records").cast("bigint")).drop("block").write.mode("overwrite").partitionBy(
+        "country"
+    ).option("maxRecordsPerFile", 1).json(path)
+    files = (
+        spark.read.schema(schemas.ENVELOPE_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    )
+    named = scans.country_of_path(scans.file_path(), path.rsplit("/", 1)[1])
+    found = files.select(named.alias("country"), F.explode("records").alias("r"))
+    return found.groupBy("country").agg(
+        F.count("*").alias("records"), F.count_if(F.col("r.ocid").startswith("ocds-")).alias("valid_ocids")
+    )
+
+
+@query(
+    "notices_to_silver",
+    f"""{WITH_SILVER} SELECT CASE WHEN seq % 6 = 0 THEN 'germany' WHEN seq % 6 = 1 THEN 'xyz' WHEN seq % 6 IN (2, 3, 4)
+      THEN 'portugal' ELSE 'unknown' END AS source_country, COUNT(*) AS records FROM raw GROUP BY 1""",
+)
+def notices_to_silver(spark, sf_dir):
+    """Nested Parquet notices written and scanned with their schema."""
+    from procurelake.operators import notices
+
+    path = scratch_path(spark, "ted")
+    _notices(spark, sf_dir).drop("seq", "source_file").write.mode("overwrite").parquet(path)
+    mapped = notices.map_notices(scans.notices(spark, path))
+    return mapped.groupBy("source_country").agg(F.count("*").alias("records"))
+
+
+@query(
+    "relational_load",
+    """WITH t AS (SELECT CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority END AS title,
+        CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate END AS published FROM orders)
+      SELECT 'PT' AS source_country, year(published) AS year, month(published) AS month, COUNT(*) AS records
+      FROM t WHERE title IS NOT NULL AND published IS NOT NULL GROUP BY ALL""",
+)
+def relational_load(spark, sf_dir):
+    """The five tables as files, merged, and written by country, year and month."""
+    folder, target = scratch_path(spark, "relational"), scratch_path(spark, "silver")
+    for name, df in relational_tables(spark, sf_dir).items():
+        columns = [F.col(f.name).cast(f.dataType) for f in schemas.RELATIONAL_SCHEMAS[name].fields]
+        df.select(*columns).write.mode("overwrite").parquet(f"{folder}/{scans.RELATIONAL_FILES[name]}")
+    tables = scans.relational_tables(spark, folder)
+    merged = relational.transform(
+        tables, order=[F.col("_tender_row"), F.col("_buyer_row")], lot_order=[F.col("_lot_row")],
+        keep=("_tender_row", "_buyer_row"),
+    ).drop("_tender_row", "_buyer_row")
+    writers.write_relational_silver(merged, target, mode="overwrite")
+    written = spark.read.schema("source_country string, year bigint, month bigint").parquet(target)
+    return profile.partition_stats(written, writers.SILVER_KEYS)
+
+
+# ------------------------------------------------------------ Silver and Gold
+@query(
+    "silver_load",
+    f"""{WITH_SILVER}, kept AS (SELECT * FROM silver WHERE ({_REASON}) IS NULL
+        QUALIFY row_number() OVER (PARTITION BY record_hash ORDER BY seq) = 1)
+      SELECT 1 AS run, source_country, split_part(publication_date, '-', 1) AS year,
+        split_part(publication_date, '-', 2) AS month, COUNT(*) AS records
+      FROM kept GROUP BY ALL""",
+)
+def silver_load(spark, sf_dir):
+    """Two runs over the same records: rows per partition of the first, none of the second."""
+    path, reports = scratch_path(spark, "silver"), scratch_path(spark, "reports")
+    records = validation.accepted(silver(spark, sf_dir)).withColumn(
+        "source_country", F.when(F.col("source_country") != "", F.col("source_country")).otherwise(F.lit("none"))
+    )
+    runs = [
+        silver_plan.load_silver(records, path, [F.col("seq")], AS_OF, "all", f"{reports}/run={n}").withColumn(
+            "run", F.lit(n)
+        )
+        for n in (1, 2)
+    ]
+    counted = runs[0].unionByName(runs[1])
+    return counted.withColumn(
+        "source_country", F.when(F.col("source_country") != "none", F.col("source_country")).otherwise(F.lit(""))
+    )
+
+
+def _write_silver_sources(spark, sf_dir: str, root: str) -> None:
+    tenders = silver(spark, sf_dir)
+    for folder, tag in gold_plan.SOURCE_FOLDERS.items():
+        tenders.where(F.col("source") == tag).drop("source").write.mode("overwrite").parquet(f"{root}/{folder}")
+
+
+_BUILT = f"""{WITH_SILVER}, first AS (SELECT * FROM silver QUALIFY row_number() OVER (
+    PARTITION BY ocid, source_publication_id
+    ORDER BY CASE source WHEN 'ocp' THEN 0 WHEN 'ted' THEN 1 WHEN 'base_portugal' THEN 2 ELSE 3 END) = 1)"""
+
+
+@query(
+    "gold_build",
+    f"""{WITH_GOLD} SELECT source, source_country, year, COUNT(*) AS records, {money_sql()} AS total_value,
+      COUNT(DISTINCT date_quality_flag) AS flags FROM gold GROUP BY source, source_country, year""",
+)
+def gold_build(spark, sf_dir):
+    """Four Silver folders to the stored unified table, partitioned by country and year."""
+    root, path = scratch_path(spark, "silver"), scratch_path(spark, "gold")
+    _write_silver_sources(spark, sf_dir, root)
+    built = gold_plan.build_unified(spark, root, path, AS_OF)
+    from procurelake.functions.money import money_sum
+
+    return built.groupBy("source", "source_country", "year").agg(
+        F.count("*").alias("records"), money_sum(F.col("tender_value_amount")).alias("total_value"),
+        F.count_distinct("date_quality_flag").alias("flags"),
+    )
+
+
+@query(
+    "gold_tables",
+    f"""{WITH_GOLD} SELECT 'country_summary' AS name, COUNT(DISTINCT source_country) AS row_count FROM gold
+      UNION ALL SELECT 'monthly_trends', COUNT(DISTINCT year * 100 + month) FROM gold WHERE year > 0
+      UNION ALL SELECT 'category_analysis', COUNT(DISTINCT source_country || '|' || procurement_category_standardized) FROM gold
+      UNION ALL SELECT 'top_buyers', least(100, COUNT(DISTINCT source_country || '|' || buyer_name)) FROM gold WHERE buyer_name <> ''
+      UNION ALL SELECT 'top_suppliers', least(100, COUNT(DISTINCT source_country || '|' || s))
+        FROM (SELECT source_country, unnest(supplier_names) AS s FROM gold)""",
+)
+def gold_tables(spark, sf_dir):
+    """The five aggregate tables and the reports, written from the stored unified table."""
+    path, folder = scratch_path(spark, "gold"), scratch_path(spark, "aggregates")
+    writers.write_gold(enrich.gold_columns(gold(spark, sf_dir)), path)
+    stored = scans.gold(spark, path)
+    paths = gold_plan.build_aggregates(stored, folder)
+    gold_plan.build_reports(stored, scratch_path(spark, "reports"))
+    counts = [
+        spark.read.parquet(p).agg(F.lit(name).alias("name"), F.count("*").alias("row_count")) for name, p in paths.items()
+    ]
+    whole = counts[0]
+    for part in counts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+@query(
+    "file_stats",
+    f"""{WITH_SILVER} SELECT source AS source_country, COUNT(*) AS records FROM silver GROUP BY source""",
+)
+def file_stats(spark, sf_dir):
+    """Files, records and size per partition of a stored table; sizes depend on the writer, so only records are compared."""
+    path = scratch_path(spark, "silver")
+    tenders = silver(spark, sf_dir).withColumn("source_country", F.col("source")).drop("source")
+    writers.write_silver(tenders, path, mode="overwrite")
+    return silver_plan.silver_totals(spark, path).select("source_country", "records")
+
+
+@query(
+    "export_csv",
+    f"""{WITH_GOLD} SELECT year, month, COUNT(ocid) AS total_records, {money_sql()} AS total_value
+      FROM gold WHERE year > 0 GROUP BY year, month""",
+)
+def export_csv(spark, sf_dir):
+    path = scratch_path(spark, "export")
+    trends = aggregates.monthly_trends(gold(spark, sf_dir))
+    writers.export(trends.select("year", "month", "total_records", "total_value"), path, "csv")
+    return spark.read.schema("year int, month int, total_records bigint, total_value double").option("header", True).csv(path)
+
+
+@query(
+    "export_json",
+    f"""{WITH_GOLD} SELECT source, COUNT(*) AS records FROM gold GROUP BY source""",
+)
+def export_json(spark, sf_dir):
+    path = scratch_path(spark, "export")
+    writers.export(profile.partition_stats(gold(spark, sf_dir), ["source"]), path, "json")
+    return spark.read.schema("source string, records bigint").json(path)
+
+
+@query(
+    "row_cap",
+    """SELECT o_orderkey, o_totalprice, (SELECT COUNT(*) FROM orders) > 1000 AS truncated FROM orders
+      ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000""",
+)
+def row_cap(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    rows, more = profile.capped(orders.orderBy(F.desc("o_totalprice"), "o_orderkey"), 1000)
+    return rows.withColumn("truncated", F.lit(more))
+
+
+# ---------------------------------------------------------------- incremental
+def _event_records(events: DataFrame) -> DataFrame:
+    # An event counts as seen when its user, type and payload were seen.
+    columns = [F.col("user_id").cast("string"), F.col("event_type"), F.col("props")]
+    return events.select("event_id", "user_id", "event_type", keys.record_hash(columns).alias("record_hash"))
+
+
+@query(
+    "incremental_files",
+    "SELECT event_type, COUNT(*) AS records FROM events WHERE event_type <> 'click' GROUP BY event_type",
+)
+def incremental_files(spark, sf_dir):
+    """Only files that the ledger does not list are read."""
+    path, ledger = scratch_path(spark, "events"), scratch_path(spark, "ledger") + "/files"
+    events = table(spark, sf_dir, "events")
+    events.write.mode("overwrite").partitionBy("event_type").parquet(path)
+    listing = scans.file_listing(spark, path, "*.parquet")
+    done = listing.where(F.col("path").contains("event_type=click/"))
+    incremental.append_ledger(done.select("path", F.now().alias("processed_at")), ledger)
+    processed = incremental.read_ledger(spark, ledger, schemas.PROCESSED_FILES_SCHEMA)
+    todo = incremental.unseen_files(listing, processed)
+    rows = spark.read.schema("event_id bigint, event_type string").parquet(path)
+    # The listing writes 'file:/…' and the scan 'file:///…', so paths are compared without slashes after the scheme.
+    tail = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    kept = rows.join(
+        todo.select(tail(F.col("path")).alias("_path")), tail(scans.file_path()) == F.col("_path"), "left_semi"
+    )
+    return kept.groupBy("event_type").agg(F.count("*").alias("records"))
+
+
+@query("changed_files", "SELECT event_type FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'click'")
+def changed_files(spark, sf_dir):
+    """Files whose digest is new or differs from the ledger's latest one."""
+    path = scratch_path(spark, "events")
+    table(spark, sf_dir, "events").hint("rebalance", "event_type").write.mode("overwrite").partitionBy(
+        "event_type"
+    ).parquet(path)
+    digests = scans.file_digests(spark, path, "*.parquet")
+    stale = F.when(F.col("key").contains("event_type=click/"), F.col("md5_hash")).otherwise(F.lit("other"))
+    extracted = digests.select("key", stale.alias("md5_hash"), F.lit("2025-01-01").alias("timestamp"))
+    changed = incremental.changed_files(digests, extracted)
+    return changed.select(F.regexp_extract("key", "event_type=([^/]+)/", 1).alias("event_type")).distinct()
+
+
+@query(
+    "pending_keys",
+    """SELECT source || '/' || lang AS key FROM (SELECT DISTINCT source, lang FROM documents)
+      WHERE lang NOT IN (SELECT lang FROM documents WHERE lang = 'en')""",
+)
+def pending_keys(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("key"), "lang")
+    wanted = docs.select("key").distinct()
+    return incremental.pending_keys(wanted, docs.where(F.col("lang") == "en").select("key").distinct())
+
+
+@query(
+    "ledger_totals",
+    """WITH per AS (SELECT source, lang, COUNT(*) AS n, MAX(doc_id) AS last FROM documents GROUP BY ALL),
+      latest AS (SELECT source, arg_max(n, lang) AS n, MAX(lang) AS lang FROM per GROUP BY source)
+      SELECT COUNT(*) AS total_files, CAST(SUM(n) AS BIGINT) AS total_records, MAX(lang) AS last_run FROM latest""",
+)
+def ledger_totals(spark, sf_dir):
+    """One ledger entry per source and language; the latest entry of a source counts."""
+    docs = table(spark, sf_dir, "documents")
+    entries = docs.groupBy(F.col("source").alias("key"), F.col("lang").alias("timestamp")).agg(
+        F.count("*").alias("record_count")
+    )
+    return incremental.ledger_totals(entries)
+
+
+@query(
+    "stream_hash_dedup",
+    """SELECT user_id, event_type, COUNT(DISTINCT props) AS records FROM events GROUP BY user_id, event_type""",
+)
+def stream_hash_dedup(spark, sf_dir):
+    """Two runs of the stream over the same files; each hash is stored once."""
+    target, checkpoint = scratch_path(spark, "once"), scratch_path(spark, "checkpoint")
+    fields = table(spark, sf_dir, "events").schema
+    for _ in range(2):
+        stream = incremental.file_stream(spark, sf_dir, fields, "parquet", pathGlobFilter="events.parquet")
+        incremental.write_once(stream, target, checkpoint, [F.col("event_id")], _event_records).awaitTermination()
+    stored = spark.read.schema("user_id bigint, event_type string, record_hash string").parquet(target)
+    return stored.groupBy("user_id", "event_type").agg(F.count("record_hash").alias("records"))
+
+
+@query(
+    "stream_unique_within",
+    """SELECT event_type, COUNT(DISTINCT md5(coalesce(CAST(user_id AS VARCHAR), 'None') || '|' || event_type || '|' || props))
+      AS records FROM events GROUP BY event_type""",
+)
+def stream_unique_within(spark, sf_dir):
+    """Bounded-state variant: unique within the watermark, here longer than the data."""
+    target, checkpoint = scratch_path(spark, "within"), scratch_path(spark, "checkpoint")
+    fields = table(spark, sf_dir, "events").schema
+    stream = incremental.file_stream(spark, sf_dir, fields, "parquet", pathGlobFilter="events.parquet")
+    columns = [F.col("user_id").cast("string"), F.col("event_type"), F.col("props")]
+    hashed = stream.withColumn("record_hash", keys.record_hash(columns)).withColumn("at", F.col("ts").cast("timestamp"))
+    unique = incremental.unique_within(hashed, "at", "60 days")
+    run = (
+        unique.select("event_type", "record_hash").writeStream.format("parquet")
+        .option("path", f"{target}/rows").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    stored = spark.read.schema("event_type string, record_hash string").parquet(f"{target}/rows")
+    return stored.groupBy("event_type").agg(F.count("*").alias("records"))

@@ -107,7 +107,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unified table: enriched tenders, one per (ocid, source_publication_id)."""
-    return enrich.drop_duplicates(enriched(spark, sf_dir), [F.col("seq")])
+    return enrich.to_gold(silver(spark, sf_dir), AS_OF, [F.col("seq")])
 
 
 # ------------------------------------------------------------- check dialect

@@ -30,11 +30,13 @@ def country_summary(df: DataFrame) -> DataFrame:
     figures of a tender are not multiplied by its number of suppliers.
     """
     known = df.where(F.col("source_country").isNotNull())
+    # As days, not texts: a text minimum would turn the hash aggregate into a sort.
+    day = F.col("publication_date").try_cast("date")
     base = known.groupBy("source_country").agg(
         *_value_columns("total_value_sum"),
         F.count_distinct("buyer_name").alias("num_buyers"),
-        F.min("publication_date").alias("date_range_start"),
-        F.max("publication_date").alias("date_range_end"),
+        F.min(day).cast("string").alias("date_range_start"),
+        F.max(day).cast("string").alias("date_range_end"),
     )
     suppliers = (
         known.select("source_country", F.explode("supplier_names").alias("supplier"))

@@ -110,6 +110,14 @@ def drop_duplicates(df: DataFrame, tie: list[Column], by: str = "source") -> Dat
     return dedup.keep_first(df, DEDUP_KEYS, order)
 
 
+def to_gold(df: DataFrame, as_of: str | Column, tie: list[Column], by: str = "source") -> DataFrame:
+    """Deduplicated and enriched. Where the order allows it duplicates go first, so that the
+    shuffle carries no derived column."""
+    if by == "completeness":
+        return drop_duplicates(enrich(df, as_of), tie, by)
+    return enrich(drop_duplicates(df, tie, by), as_of)
+
+
 def gold_columns(df: DataFrame) -> DataFrame:
     """The 38 Gold columns in order, then whatever else the sources carry."""
     present = [f if f.name in df.columns else None for f in schemas.GOLD_SCHEMA.fields]

@@ -34,8 +34,12 @@ def _band(v: Column) -> Column:
 def exact_median(df: DataFrame, keys: list[str], value: Column, name: str = "median") -> DataFrame:
     """One row per group of non-NULL ``keys``: the keys and the median of the present values."""
     number = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
-    rows = df.select(*keys, number.alias("_v")).dropna()
-    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_band", _band(F.col("_v")))
+    rows = df.select(*keys, number.alias("_v")).withColumn("_band", _band(F.col("_v")))
+    # The join below would infer the same conditions on one of its sides only; stated
+    # here they keep both sides equal, so that the counts are shuffled once and reused.
+    for name_ in [*keys, "_v", "_band"]:
+        rows = rows.where(F.col(name_).isNotNull())
+    counts = rows.groupBy(*keys, "_band", "_v").agg(F.count("*").alias("_n"))
 
     running = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
     bands = (

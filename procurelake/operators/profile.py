@@ -193,10 +193,11 @@ def gold_stats(df: DataFrame, countries: int = 10, categories: int = 5) -> DataF
 
 def gold_overview(df: DataFrame) -> DataFrame:
     """One row: records, date range, countries, mean score, valid and future dates."""
+    day = F.col("publication_date").try_cast("date")
     return df.agg(
         F.count("*").alias("total_records"),
-        F.min("publication_date").alias("first_date"),
-        F.max("publication_date").alias("last_date"),
+        F.min(day).cast("string").alias("first_date"),
+        F.max(day).cast("string").alias("last_date"),
         F.count_distinct("source_country").alias("countries"),
         F.avg(F.col("data_completeness_score").cast("decimal(20,12)")).cast("double").alias("avg_completeness"),
         F.count_if(F.col("date_quality_flag") == "valid").alias("valid_dates"),
@@ -222,6 +223,7 @@ def partition_stats(df: DataFrame, by: list[str]) -> DataFrame:
 
 def manifest(df: DataFrame, source: str, layer: str, kind: str = "summary") -> DataFrame:
     """One row of lineage figures; the files themselves are ``manifest_files``."""
+    day = F.col("publication_date").try_cast("date")
     score = (
         F.avg(F.col("data_completeness_score").cast("decimal(20,12)")).cast("double")
         if "data_completeness_score" in df.columns
@@ -230,8 +232,8 @@ def manifest(df: DataFrame, source: str, layer: str, kind: str = "summary") -> D
     return df.agg(
         F.count_distinct("source_file").alias("total_files"),
         F.count("*").alias("total_records"),
-        F.min("publication_date").alias("min_date"),
-        F.max("publication_date").alias("max_date"),
+        F.min(day).cast("string").alias("min_date"),
+        F.max(day).cast("string").alias("max_date"),
         score.alias("quality_score"),
     ).select(
         F.lit("1.0").alias("manifest_version"), F.lit(kind).alias("manifest_type"),

@@ -22,8 +22,7 @@ def unified(
     sources: dict[str, DataFrame], as_of: str | Column, tie: list[Column], by: str = "source"
 ) -> DataFrame:
     """All sources, enriched and free of duplicates: one projection and one shuffle."""
-    whole = enrich.enrich(enrich.unify(sources), as_of)
-    return enrich.gold_columns(enrich.iso_dates(enrich.drop_duplicates(whole, tie, by)))
+    return enrich.gold_columns(enrich.iso_dates(enrich.to_gold(enrich.unify(sources), as_of, tie, by)))
 
 
 def silver_sources(spark: SparkSession, root: str, folders: dict[str, str] | None = None) -> dict[str, DataFrame]:
