@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from procurelake import schemas
 from procurelake.catalog import query
 from procurelake.catalog.silver import _MAPPED_SQL, _REASON, _notices, releases, relational_tables
-from procurelake.catalog.tenders import (
-    AS_OF, WITH_GOLD, WITH_SILVER, date_sql, enriched, gold, money_sql, raw, silver, table,
-)
+from procurelake.catalog.tenders import AS_OF, WITH_GOLD, WITH_SILVER, date_sql, gold, money_sql, silver, table
 from procurelake.functions import keys
-from procurelake.operators import aggregates, enrich, mapping, profile, relational, validation
+from procurelake.functions.money import money_sum
+from procurelake.operators import aggregates, enrich, mapping, notices, profile, relational, validation
 from procurelake.plans import gold as gold_plan
 from procurelake.plans import silver as silver_plan
 from procurelake.session import scratch_path
@@ -65,23 +64,15 @@ def release_lines_to_silver(spark, sf_dir):
       COUNT(*) FILTER (starts_with(ocid, 'ocds-')) AS valid_ocids FROM raw GROUP BY 1""",
 )
 def envelopes_to_silver(spark, sf_dir):
-    """Envelope files of bounded size, one JSON object each, exploded into their releases."""
-    path = scratch_path(spark, "open_contracting_partnership")
+    """Envelopes below country folders, one per line, exploded into their releases."""
+    path = scratch_path(spark, "envelopes")
     rows = releases(spark, sf_dir)
     release = F.struct(*[n for n in schemas.RELEASE_SCHEMA.names if n in rows.columns])
-    # An envelope holds the releases of one block of 500 orders and one country.
-    block = F.floor(F.col("seq") / 500)
-    envelope = rows.groupBy("country", block.alias("block")).agg(F.collect_list(release).alias("records"))
-    envelope.withColumn("count", F.size("records").cast("bigint")).drop("block").write.mode("overwrite").partitionBy(
-        "country"
-    ).option("maxRecordsPerFile", 1).json(path)
-    files = (
-        spark.read.schema(schemas.ENVELOPE_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    )
-    named = scans.country_of_path(scans.file_path(), path.rsplit("/", 1)[1])
-    found = files.select(named.alias("country"), F.explode("records").alias("r"))
+    lines = rows.select("country", F.array(release).alias("records"), F.lit(1).alias("count"))
+    lines.write.mode("overwrite").partitionBy("country").json(path)
+    found = scans.envelopes(spark, path, path.rsplit("/", 1)[1], glob="*.json", per_line=True)
     return found.groupBy("country").agg(
-        F.count("*").alias("records"), F.count_if(F.col("r.ocid").startswith("ocds-")).alias("valid_ocids")
+        F.count("*").alias("records"), F.count_if(F.col("ocid").startswith("ocds-")).alias("valid_ocids")
     )
 
 
@@ -92,8 +83,6 @@ def envelopes_to_silver(spark, sf_dir):
 )
 def notices_to_silver(spark, sf_dir):
     """Nested Parquet notices written and scanned with their schema."""
-    from procurelake.operators import notices
-
     path = scratch_path(spark, "ted")
     _notices(spark, sf_dir).drop("seq", "source_file").write.mode("overwrite").parquet(path)
     mapped = notices.map_notices(scans.notices(spark, path))
@@ -156,11 +145,6 @@ def _write_silver_sources(spark, sf_dir: str, root: str) -> None:
         tenders.where(F.col("source") == tag).drop("source").write.mode("overwrite").parquet(f"{root}/{folder}")
 
 
-_BUILT = f"""{WITH_SILVER}, first AS (SELECT * FROM silver QUALIFY row_number() OVER (
-    PARTITION BY ocid, source_publication_id
-    ORDER BY CASE source WHEN 'ocp' THEN 0 WHEN 'ted' THEN 1 WHEN 'base_portugal' THEN 2 ELSE 3 END) = 1)"""
-
-
 @query(
     "gold_build",
     f"""{WITH_GOLD} SELECT source, source_country, year, COUNT(*) AS records, {money_sql()} AS total_value,
@@ -171,8 +155,6 @@ def gold_build(spark, sf_dir):
     root, path = scratch_path(spark, "silver"), scratch_path(spark, "gold")
     _write_silver_sources(spark, sf_dir, root)
     built = gold_plan.build_unified(spark, root, path, AS_OF)
-    from procurelake.functions.money import money_sum
-
     return built.groupBy("source", "source_country", "year").agg(
         F.count("*").alias("records"), money_sum(F.col("tender_value_amount")).alias("total_value"),
         F.count_distinct("date_quality_flag").alias("flags"),

@@ -59,59 +59,99 @@ GOLD_DERIVED = [
 GOLD_COLUMNS = SILVER_COLUMNS + [n for n, _ in GOLD_DERIVED]
 GOLD_SCHEMA = T.StructType(SILVER_SCHEMA.fields + [T.StructField(n, t) for n, t in GOLD_DERIVED])
 
+STRING, LONG, DOUBLE, STAMP = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampNTZType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    """Built from types: parsing DDL text would need a running session at import."""
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+def _texts(*names: str) -> T.StructType:
+    return _struct(**dict.fromkeys(names, STRING))
+
+
 # ---------------------------------------------------------------- raw releases
-_ID_NAME = "struct<id:string,name:string>"
-_VALUE = "struct<amount:string,currency:string>"
-_PARTY = f"struct<party:{_ID_NAME},id:string,name:string>"
-_AWARD = f"struct<id:string,date:string,value:{_VALUE},suppliers:array<{_PARTY}>>"
-RELEASE_DDL = (
-    "ocid string, id string, date string, publishedDate string, "
-    "tender struct<id:string,title:string,status:string,datePublished:string,"
-    f"value:{_VALUE},"
-    "tenderPeriod:struct<startDate:string,endDate:string>,"
-    "procurementMethod:string,mainProcurementCategory:string,"
-    "procurement_method:string,procurement_category:string,"
-    "numberOfTenderers:bigint,tenderers:array<struct<id:string,name:string>>,"
-    f"procuringEntity:struct<party:{_ID_NAME}>,"
-    "lots:array<struct<id:string>>,documents:array<struct<url:string>>>, "
-    f"buyer {_ID_NAME}, parties array<{_ID_NAME}>, "
-    f"awards array<{_AWARD}>, award array<{_AWARD}>, "
-    "bids struct<statistics:array<struct<id:string>>>"
+_ID_NAME = _texts("id", "name")
+_VALUE = _texts("amount", "currency")
+_AWARD = _struct(
+    id=STRING,
+    date=STRING,
+    value=_VALUE,
+    suppliers=T.ArrayType(_struct(party=_ID_NAME, id=STRING, name=STRING)),
 )
-RELEASE_SCHEMA = T.StructType.fromDDL(RELEASE_DDL)
-ENVELOPE_SCHEMA = T.StructType(
-    [
-        T.StructField("records", T.ArrayType(RELEASE_SCHEMA)),
-        T.StructField("count", T.LongType()),
-        T.StructField("publication_date", T.StringType()),
-        T.StructField("country", T.StringType()),
-    ]
+RELEASE_SCHEMA = _struct(
+    ocid=STRING,
+    id=STRING,
+    date=STRING,
+    publishedDate=STRING,
+    tender=_struct(
+        id=STRING,
+        title=STRING,
+        status=STRING,
+        datePublished=STRING,
+        value=_VALUE,
+        tenderPeriod=_texts("startDate", "endDate"),
+        procurementMethod=STRING,
+        mainProcurementCategory=STRING,
+        procurement_method=STRING,
+        procurement_category=STRING,
+        numberOfTenderers=LONG,
+        tenderers=T.ArrayType(_ID_NAME),
+        procuringEntity=_struct(party=_ID_NAME),
+        lots=T.ArrayType(_texts("id")),
+        documents=T.ArrayType(_texts("url")),
+    ),
+    buyer=_ID_NAME,
+    parties=T.ArrayType(_ID_NAME),
+    awards=T.ArrayType(_AWARD),
+    award=T.ArrayType(_AWARD),
+    bids=_struct(statistics=T.ArrayType(_texts("id"))),
 )
+ENVELOPE_SCHEMA = _struct(records=T.ArrayType(RELEASE_SCHEMA), count=LONG, publication_date=STRING, country=STRING)
 
 # ------------------------------------------------------------- nested parquet
-NOTICE_SCHEMA = T.StructType.fromDDL(
-    "source_id string, source string, contract_object string, contract_price double, "
-    "effective_total_price double, currency string, state string, publication_date string, "
-    "contract_date string, closing_date string, execution_deadline string, procedure_type string, "
-    "contract_types array<string>, "
-    "contracting_authorities array<struct<nipc:string,name:string,country:string>>, "
-    "contractors array<struct<nipc:string,name:string>>, "
-    "execution_location string, procurement_documents_url string, source_url string"
+NOTICE_SCHEMA = _struct(
+    source_id=STRING,
+    source=STRING,
+    contract_object=STRING,
+    contract_price=DOUBLE,
+    effective_total_price=DOUBLE,
+    currency=STRING,
+    state=STRING,
+    publication_date=STRING,
+    contract_date=STRING,
+    closing_date=STRING,
+    execution_deadline=STRING,
+    procedure_type=STRING,
+    contract_types=STRINGS,
+    contracting_authorities=T.ArrayType(_texts("nipc", "name", "country")),
+    contractors=T.ArrayType(_texts("nipc", "name")),
+    execution_location=STRING,
+    procurement_documents_url=STRING,
+    source_url=STRING,
 )
 
 # ----------------------------------------------------------- relational tables
 RELATIONAL_SCHEMAS = {
-    "tenders": T.StructType.fromDDL(
-        "tender_id string, tender_title string, tender_supplyType string, tender_estimatedPrice double, "
-        "publication_date timestamp_ntz, tender_bidDeadline timestamp_ntz, tender_procedureType string, "
-        "main_nature string, tender_mainCpv string, ingestion_timestamp timestamp_ntz"
+    "tenders": _struct(
+        tender_id=STRING,
+        tender_title=STRING,
+        tender_supplyType=STRING,
+        tender_estimatedPrice=DOUBLE,
+        publication_date=STAMP,
+        tender_bidDeadline=STAMP,
+        tender_procedureType=STRING,
+        main_nature=STRING,
+        tender_mainCpv=STRING,
+        ingestion_timestamp=STAMP,
     ),
-    "buyers": T.StructType.fromDDL("buyer_id string, buyer_name string, buyer_buyerType string"),
-    "lots": T.StructType.fromDDL(
-        "lot_id string, lot_status string, lot_estimatedPrice double, cpv_code string, estimated_value double"
+    "buyers": _texts("buyer_id", "buyer_name", "buyer_buyerType"),
+    "lots": _struct(
+        lot_id=STRING, lot_status=STRING, lot_estimatedPrice=DOUBLE, cpv_code=STRING, estimated_value=DOUBLE
     ),
-    "tender_buyer": T.StructType.fromDDL("tender_id string, buyer_id string"),
-    "tender_lot": T.StructType.fromDDL("tender_id string, lot_id string"),
+    "tender_buyer": _texts("tender_id", "buyer_id"),
+    "tender_lot": _texts("tender_id", "lot_id"),
 }
 
 # --------------------------------------------------------------- contract rows
@@ -122,7 +162,5 @@ CONTRACT_COLUMNS = [
 CONTRACT_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in CONTRACT_COLUMNS])
 
 # ------------------------------------------------------------------- ledgers
-EXTRACTED_FILES_SCHEMA = T.StructType.fromDDL(
-    "key string, md5_hash string, record_count bigint, size_bytes bigint, timestamp string"
-)
-PROCESSED_FILES_SCHEMA = T.StructType.fromDDL("path string, processed_at timestamp")
+EXTRACTED_FILES_SCHEMA = _struct(key=STRING, md5_hash=STRING, record_count=LONG, size_bytes=LONG, timestamp=STRING)
+PROCESSED_FILES_SCHEMA = _struct(path=STRING, processed_at=T.TimestampType())

@@ -57,11 +57,16 @@ def bronze_rows(releases: DataFrame, extracted_at: Column | None = None) -> Data
 
 
 def write_bronze(releases: DataFrame, path: str, extracted_at: Column | None = None, mode: str = "append") -> DataFrame:
-    """Releases as JSON lines by country and day; returns the number of releases per day as written."""
+    """Releases as JSON lines by country and day; returns the number of releases per day as written.
+
+    The count needs partition columns only, so no line is parsed for it.
+    """
     rows = bronze_rows(releases, extracted_at).withColumnRenamed("_metadata_license", "license")
     _partitioned(rows, BRONZE_KEYS, mode).option("compression", "none").json(path)
-    written = rows.sparkSession.read.schema("release_date string").json(path)
-    return written.groupBy("release_date").agg(F.count("*").alias("records"))
+    parts = ", ".join(f"{k} string" for k in BRONZE_KEYS)
+    written = rows.sparkSession.read.schema(parts).json(path)
+    per_day = written.groupBy(*BRONZE_KEYS[1:]).agg(F.count("*").alias("records"))
+    return per_day.select(F.concat_ws("-", *BRONZE_KEYS[1:]).alias("release_date"), "records")
 
 
 def silver_rows(df: DataFrame) -> DataFrame:

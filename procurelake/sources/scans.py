@@ -33,13 +33,23 @@ def country_of_path(path: Column, source: str) -> Column:
     return F.when(found != "", F.regexp_replace(found, "^country=", ""))
 
 
-def envelopes(spark: SparkSession, path: str, source: str, country: str | None = None) -> DataFrame:
-    """Releases out of envelope files ``records_*.json``, one JSON object per file."""
+def envelopes(
+    spark: SparkSession,
+    path: str,
+    source: str,
+    country: str | None = None,
+    glob: str = RELEASE_FILES,
+    per_line: bool = False,
+) -> DataFrame:
+    """Releases out of envelopes: one JSON object per file, or per line of a file.
+
+    A file with one object cannot be split, one with an envelope per line can.
+    """
     files = (
         spark.read.schema(schemas.ENVELOPE_SCHEMA)
-        .option("multiLine", True)
+        .option("multiLine", not per_line)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", RELEASE_FILES)
+        .option("pathGlobFilter", glob)
         .json(path)
     )
     named = F.lit(country) if country else country_of_path(file_path(), source)
