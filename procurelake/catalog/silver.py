@@ -187,7 +187,7 @@ def path_country(spark, sf_dir):
 
 # ------------------------------------------------------------ release shapes
 def releases(spark, sf_dir: str) -> DataFrame:
-    """Tenders as nested releases in the shapes of three countries, out of and back into JSON text."""
+    """Tenders as nested releases in the shapes of three countries and of one without a mapping."""
     tenders = raw(spark, sf_dir)
     flat = F.transform(
         F.arrays_zip("supplier_ids", "supplier_names"),
@@ -212,14 +212,19 @@ def releases(spark, sf_dir: str) -> DataFrame:
     shaped = tenders.withColumn("country", country)
     is_kosovo = F.col("country") == "kosovo"
     buyer = F.struct(F.col("buyer_id").alias("id"), F.col("buyer_name").alias("name"))
-    release = F.struct(
+    return shaped.select(
+        "seq",
+        "country",
+        "source_file",
         "ocid",
         F.col("tender_id").alias("id"),
         F.col("publication_date").alias("date"),
+        F.lit(None).cast("string").alias("publishedDate"),
         F.struct(
             F.when(F.col("seq") % 9 != 0, F.col("tender_id")).alias("id"),
             F.col("tender_title").alias("title"),
             F.col("tender_status").alias("status"),
+            F.lit(None).cast("string").alias("datePublished"),
             F.struct(
                 F.col("tender_value_amount").cast("string").alias("amount"),
                 F.col("tender_value_currency").alias("currency"),
@@ -245,11 +250,6 @@ def releases(spark, sf_dir: str) -> DataFrame:
         F.when(is_kosovo, awards(nested)).alias("award"),
         F.struct(numbered(F.col("num_lots")).alias("statistics")).alias("bids"),
     )
-    lines = shaped.select("seq", "country", "source_file", F.to_json(release).alias("line"))
-    parsed = F.from_json("line", schemas.RELEASE_SCHEMA)
-    return lines.select("seq", "country", "source_file", parsed.alias("r")).select(
-        "seq", "country", "source_file", "r.*"
-    )
 
 
 _MAPPED_SCALARS = (

@@ -23,12 +23,10 @@ _KEY = "CAST(o.o_orderkey AS STRING)"
 _RAW = f"""
 WITH lines AS (
   SELECT l.l_orderkey,
-         {{names}} AS supplier_names,
-         {{ids}} AS supplier_ids,
+         {{parties}} AS parties,
          MIN(l.l_shipdate) AS first_shipped,
          CAST(SUM(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS award_amount,
-         COUNT(*) AS num_lots,
-         COUNT(DISTINCT l.l_suppkey) AS num_awards
+         COUNT(*) AS num_lots
   FROM {{lineitem}} l JOIN {{supplier}} s ON s.s_suppkey = l.l_suppkey
   GROUP BY l.l_orderkey
 )
@@ -67,9 +65,9 @@ SELECT
   CASE WHEN o.o_orderkey % 17 = 0 THEN NULL ELSE o.o_orderstatus END AS tender_status,
   CAST(c.c_custkey AS STRING) AS buyer_id,
   CASE WHEN c.c_custkey % 11 = 0 THEN '' ELSE c.c_name END AS buyer_name,
-  t.supplier_names, t.supplier_ids,
+  {{names}} AS supplier_names, {{ids}} AS supplier_ids,
   t.award_amount, 'EUR' AS award_currency,
-  t.num_lots, t.num_awards, t.num_awards AS num_tenderers,
+  t.num_lots, CAST({{size}} AS BIGINT) AS num_awards, CAST({{size}} AS BIGINT) AS num_tenderers,
   'part-' || CAST(o.o_orderkey % 16 AS STRING) AS source_file,
   {_ISO} || 'T00:00:00Z' AS processing_timestamp
 FROM {{orders}} o
@@ -79,14 +77,22 @@ LEFT JOIN lines t ON t.l_orderkey = o.o_orderkey
 """
 
 
+def _dialect(**texts: str) -> str:
+    filled = _RAW
+    for name, value in texts.items():
+        filled = filled.replace("{" + name + "}", value)
+    return filled
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw tenders, one per order, with ``seq`` as their order and ``source`` as their origin."""
-    text = _RAW.replace("{names}", "sort_array(collect_set(s.s_name))").replace(
-        "{ids}", "sort_array(collect_set(CAST(l.l_suppkey AS STRING)))"
+    text = _dialect(
+        parties="sort_array(collect_set(struct(s.s_name AS name, CAST(l.l_suppkey AS STRING) AS id)))",
+        names="t.parties.name", ids="t.parties.id", size="size(t.parties)",
     )
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in TABLES})
 
@@ -149,9 +155,11 @@ def mean_sql(c: str = "tender_value_amount") -> str:
     return f"CAST(SUM(CAST({c} AS DECIMAL(18, 2))) AS DOUBLE) / COUNT({c})"
 
 
-_CHECK_RAW = (
-    _RAW.replace("{names}", "list_sort(list(DISTINCT s.s_name))")
-    .replace("{ids}", "list_sort(list(DISTINCT CAST(l.l_suppkey AS STRING)))")
+_CHECK_RAW = _dialect(
+    parties="list_sort(list(DISTINCT {'name': s.s_name, 'id': CAST(l.l_suppkey AS STRING)}))",
+    names="CASE WHEN t.parties IS NOT NULL THEN [p.name for p in t.parties] END",
+    ids="CASE WHEN t.parties IS NOT NULL THEN [p.id for p in t.parties] END",
+    size="len(t.parties)",
 )
 for _t in TABLES:
     _CHECK_RAW = _CHECK_RAW.replace("{" + _t + "}", _t)

@@ -9,21 +9,35 @@ from pyspark.sql import functions as F
 # suffix, and the accepted shapes date / date-time / date-time with fraction.
 _DOUBLE_TIME = r" (\d{2}:\d{2}:\d{2}\.\d+)T\d{2}:\d{2}:\d{2}"
 _OFFSET = r"[+-]\d{2}:\d{2}$"
-_DAY = r"(?!0000)\d{4}-(1[0-2]|0?[1-9])-(3[01]|[12]\d|0?[1-9])"
-_CLOCK = r"(2[0-3]|[01]?\d):([0-5]?\d):([0-5]?\d)(\.\d{1,6})?"
-_ACCEPTED = rf"^{_DAY}([Tt]{_CLOCK})?$"
+_DAY = r"(?!0000)\d{4}-\d{1,2}-\d{1,2}"
+_CLOCK = r"(?:2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d(?:\.\d{1,6})?"
+_ACCEPTED = rf"^({_DAY})(?:[Tt]{_CLOCK})?$"
+# The usual shapes: the same with at most one offset or Z at the end.
+_USUAL = rf"^({_DAY})(?:[Tt]{_CLOCK})?(?:Z|[+-]\d{{2}}:\d{{2}})?$"
 PLACEHOLDER_DATES = ("1900-01-01", "1970-01-01")
 DURATION_MARK = " dia"
 # Days that a nanosecond timestamp can hold; others count as missing.
 FIRST_DAY, LAST_DAY = "1677-09-22", "2262-04-11"
 
 
+def _plain_day(c: Column) -> Column:
+    """True for 'dddd-..-.d': ten characters that the cast alone can settle."""
+    at = lambda i: F.substring(c, i, 1)
+    digit = at(10).between("0", "9")
+    return (F.length(c) == 10) & (at(5) == "-") & (at(8) == "-") & digit & ~c.startswith("0000")
+
+
 def to_day(c: Column) -> Column:
-    """Raw date text to DATE, NULL when it is none of the accepted shapes."""
+    """Raw date text to DATE, NULL when it is none of the accepted shapes.
+
+    Plain days need a cast only, date-times one search; repairs are evaluated for the rest.
+    The cast refuses what no calendar holds, such as February 30.
+    """
     repaired = F.regexp_replace(c, _DOUBLE_TIME, "T$1")
     bare = F.replace(F.regexp_replace(repaired, _OFFSET, ""), F.lit("Z"), F.lit(""))
-    day = F.substring_index(F.substring_index(bare, "T", 1), "t", 1)
-    return F.when(bare.rlike(_ACCEPTED), day.try_cast("date"))
+    usual = F.regexp_extract(c, _USUAL, 1).try_cast("date")
+    general = F.coalesce(usual, F.regexp_extract(bare, _ACCEPTED, 1).try_cast("date"))
+    return F.when(_plain_day(c), c.try_cast("date")).otherwise(general)
 
 
 def clean_date(c: Column) -> Column:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's \s is ASCII unless (?U) is set; \x1c-\x1f count as blanks as well.
-_BLANKS = r"(?U)[\s\x1c-\x1f]+"
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# All characters that count as blanks.
+# Java's \s is ASCII only, and its Unicode mode leaves out \x1c-\x1f.
+_BLANK = r"[\x1c-\x20\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANKS = rf"{_BLANK}+"
+_EDGES = rf"^{_BLANK}+|{_BLANK}+$"
+_CONTROLS = r"[\x00-\x1f]"
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
 NO_STRINGS = "array<string>"
 
@@ -16,14 +19,25 @@ def empty_strings() -> Column:
     return F.array().cast(NO_STRINGS)
 
 
+def _rare_blanks(c: Column) -> Column:
+    """True where a blank other than the plain space is possible: a control or non-ASCII character."""
+    return (F.octet_length(c) != F.char_length(c)) | c.rlike(_CONTROLS)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.when(_rare_blanks(c), F.regexp_replace(c, _EDGES, "")).otherwise(F.trim(c))
+
+
+def _maybe_untidy(c: Column) -> Column:
+    """False only for ASCII text without double, outer or control blanks, which is most text."""
+    return c.contains("  ") | c.startswith(" ") | c.endswith(" ") | _rare_blanks(c)
 
 
 def clean_string(c: Column) -> Column:
     """Collapse every run of blanks, trim, NULL becomes ''."""
-    collapsed = F.regexp_replace(c.cast("string"), _BLANKS, " ")
-    return F.coalesce(F.trim(collapsed), F.lit(""))
+    c = c.cast("string")
+    tidied = F.trim(F.regexp_replace(c, _BLANKS, " "))
+    return F.coalesce(F.when(_maybe_untidy(c), tidied).otherwise(c), F.lit(""))
 
 
 def clean_id(c: Column) -> Column:
@@ -52,7 +66,8 @@ def clean_count(c: Column) -> Column:
 def clean_currency(c: Column) -> Column:
     """Upper-case code of exactly three letters, else ''."""
     code = F.upper(strip(c))
-    return F.when(code.rlike(r"^\p{L}{3}$"), code).otherwise(F.lit(""))
+    general = F.when(code.rlike(r"^\p{L}{3}$"), code).otherwise(F.lit(""))
+    return F.when(c.rlike("^[A-Z]{3}$"), c).otherwise(general)
 
 
 def clean_array(c: Column) -> Column:
