@@ -25,9 +25,9 @@ def _urls() -> Column:
     return F.filter(both, lambda u: u != "")
 
 
-def map_notices(notices: DataFrame, processed_at: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def map_notices(notices: DataFrame, processed_at: str | Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Clean Silver records with their hash; not yet validated."""
-    stamp = processed_at if processed_at is not None else F.date_format(F.now(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    stamp = F.lit(processed_at) if processed_at is not None else F.date_format(F.now(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     buyer = F.get("contracting_authorities", F.lit(0))
     contractors = F.coalesce(F.size("contractors"), F.lit(0)).cast("bigint")
     mapped = notices.select(

@@ -34,16 +34,16 @@ def _partitioned(df: DataFrame, keys: list[str], mode: str) -> DataFrameWriter:
 
 
 def license_column(
-    extracted_at: Column, entries: dict[str, str] | None = None, restrictions: tuple[str, ...] = PORTAL_RESTRICTIONS
+    extracted_at: str | Column, entries: dict[str, str] | None = None, restrictions: tuple[str, ...] = PORTAL_RESTRICTIONS
 ) -> Column:
     fields = [F.lit(v).alias(k) for k, v in (entries or PORTAL_LICENSE).items()]
     limits = F.array(*[F.lit(r) for r in restrictions]).alias("restrictions")
-    return F.struct(*fields, limits, extracted_at.alias("extraction_timestamp"))
+    return F.struct(*fields, limits, F.lit(extracted_at).alias("extraction_timestamp"))
 
 
-def bronze_rows(releases: DataFrame, extracted_at: Column | None = None) -> DataFrame:
+def bronze_rows(releases: DataFrame, extracted_at: str | Column | None = None) -> DataFrame:
     """Dated releases with their partition columns and licence; undated ones are dropped."""
-    stamp = extracted_at if extracted_at is not None else F.now().cast("string")
+    stamp = F.lit(extracted_at) if extracted_at is not None else F.now().cast("string")
     dated = validation.releases_with_date(releases)
     parts = F.split("release_date", "-")
     return dated.withColumns(
@@ -56,7 +56,7 @@ def bronze_rows(releases: DataFrame, extracted_at: Column | None = None) -> Data
     )
 
 
-def write_bronze(releases: DataFrame, path: str, extracted_at: Column | None = None, mode: str = "append") -> DataFrame:
+def write_bronze(releases: DataFrame, path: str, extracted_at: str | Column | None = None, mode: str = "append") -> DataFrame:
     """Releases as JSON lines by country and day; returns the number of releases per day as written.
 
     The count needs partition columns only, so no line is parsed for it.
