@@ -41,8 +41,8 @@ def bronze_days(spark, sf_dir):
 
 @query(
     "release_lines_to_silver",
-    f"""{_MAPPED_SQL} SELECT source_country, COUNT(*) AS records, COUNT(DISTINCT record_hash) AS hashes,
-      CAST(SUM(num_awards) AS BIGINT) AS awards FROM hashed WHERE ({_REASON}) IS NULL GROUP BY source_country""",
+    f"""{_MAPPED_SQL} SELECT {_COUNTRY} AS source_country, COUNT(*) AS records, COUNT(DISTINCT record_hash) AS hashes,
+      COUNT(DISTINCT procurement_method) AS methods, CAST(SUM(num_awards) AS BIGINT) AS awards FROM hashed WHERE ({_REASON}) IS NULL GROUP BY 1""",
 )
 def release_lines_to_silver(spark, sf_dir):
     """JSON lines below country folders, read with the release schema, mapped and validated."""
@@ -54,7 +54,7 @@ def release_lines_to_silver(spark, sf_dir):
     kept = mapping.transform_releases(scans.spread(named))
     return kept.groupBy("source_country").agg(
         F.count("*").alias("records"), F.count_distinct("record_hash").alias("hashes"),
-        F.sum("num_awards").alias("awards"),
+        F.count_distinct("procurement_method").alias("methods"), F.sum("num_awards").alias("awards"),
     )
 
 
