@@ -22,7 +22,11 @@ from procurelake.sinks import writers
 from procurelake.sources import scans
 from procurelake.streaming import incremental
 
-_RELEASE_DAY = f'coalesce({date_sql("publication_date")}, tender_start_date)'
+# Releases appear at the start of a month, which keeps the number of day folders small.
+_MONTH_START = r"regexp_replace({0}, '^(\d{{4}}-\d{{2}})-\d{{2}}', '\1-01')"
+_RELEASE_DAY = "coalesce({0}, {1})".format(
+    date_sql(_MONTH_START.format("publication_date")), _MONTH_START.format("tender_start_date")
+)
 _COUNTRY = """CASE WHEN seq % 50 = 7 THEN 'atlantis' WHEN seq % 3 = 0 THEN 'kosovo' WHEN seq % 3 = 1 THEN 'uk'
   ELSE 'portugal' END"""
 
@@ -34,9 +38,16 @@ _COUNTRY = """CASE WHEN seq % 50 = 7 THEN 'atlantis' WHEN seq % 3 = 0 THEN 'koso
 )
 def bronze_days(spark, sf_dir):
     """Releases written by country and day; the number per day as written."""
-    return writers.write_bronze(
-        releases(spark, sf_dir).drop("seq"), scratch_path(spark, "bronze"), F.lit("2025-03-15T00:00:00Z")
+    start = lambda c: F.regexp_replace(c, r"^(\d{4}-\d{2})-\d{2}", "$1-01")
+    monthly = releases(spark, sf_dir).drop("seq").withColumns(
+        {
+            "date": start(F.col("date")),
+            "tender": F.col("tender").withField(
+                "tenderPeriod.startDate", start(F.col("tender.tenderPeriod.startDate"))
+            ),
+        }
     )
+    return writers.write_bronze(monthly, scratch_path(spark, "bronze"), "2025-03-15T00:00:00Z")
 
 
 @query(
@@ -117,26 +128,21 @@ def relational_load(spark, sf_dir):
     "silver_load",
     f"""{WITH_SILVER}, kept AS (SELECT * FROM silver WHERE ({_REASON}) IS NULL
         QUALIFY row_number() OVER (PARTITION BY record_hash ORDER BY seq) = 1)
-      SELECT 1 AS run, source_country, split_part(publication_date, '-', 1) AS year,
+      SELECT 1 AS run, source AS source_country, split_part(publication_date, '-', 1) AS year,
         split_part(publication_date, '-', 2) AS month, COUNT(*) AS records
       FROM kept GROUP BY ALL""",
 )
 def silver_load(spark, sf_dir):
     """Two runs over the same records: rows per partition of the first, none of the second."""
     path, reports = scratch_path(spark, "silver"), scratch_path(spark, "reports")
-    records = validation.accepted(silver(spark, sf_dir)).withColumn(
-        "source_country", F.when(F.col("source_country") != "", F.col("source_country")).otherwise(F.lit("none"))
-    )
+    records = validation.accepted(silver(spark, sf_dir)).withColumn("source_country", F.col("source")).drop("source")
     runs = [
         silver_plan.load_silver(records, path, [F.col("seq")], AS_OF, "all", f"{reports}/run={n}").withColumn(
             "run", F.lit(n)
         )
         for n in (1, 2)
     ]
-    counted = runs[0].unionByName(runs[1])
-    return counted.withColumn(
-        "source_country", F.when(F.col("source_country") != "none", F.col("source_country")).otherwise(F.lit(""))
-    )
+    return runs[0].unionByName(runs[1])
 
 
 def _write_silver_sources(spark, sf_dir: str, root: str) -> None:

@@ -28,19 +28,28 @@ def unique_records(df: DataFrame, order: list[Column], hash_column: str = "recor
 
 
 def new_records(
-    batch: DataFrame, seen: DataFrame, order: list[Column], hash_column: str = "record_hash"
+    batch: DataFrame,
+    seen: DataFrame,
+    order: list[Column],
+    hash_column: str = "record_hash",
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows of ``batch`` not in ``seen``, first per hash; rows without a hash pass.
 
+    ``order`` holds plain columns that together tell all rows apart. ``also`` names
+    columns of both sides that follow from the hash, such as the partition columns of
+    ``seen``: joined as well, they let Spark skip partitions without a match.
+
     ``seen`` is first cut down to the hashes of the batch: with a small batch
     that is a broadcast and the large ledger is streamed without a shuffle.
     """
-    fresh = unique_records(batch, order, hash_column)
-    hashes = batch.where(_has_hash(hash_column)).select(hash_column).distinct()
-    known = seen.select(hash_column).join(hashes, hash_column, "left_semi")
-    return fresh.join(known, hash_column, "left_anti").select(*batch.columns).unionByName(
-        batch.where(~_has_hash(hash_column))
-    )
+    keys = [hash_column, *also]
+    # A row without a hash is a group of its own, so that one pass serves both kinds.
+    alone = F.when(~_has_hash(hash_column), F.struct(*order))
+    fresh = keep_first(batch.withColumn("_alone", alone), [hash_column, "_alone"], order).drop("_alone")
+    hashes = batch.where(_has_hash(hash_column)).select(*keys).distinct()
+    known = seen.select(*keys).join(hashes, keys, "left_semi").select(hash_column).distinct()
+    return fresh.join(known, hash_column, "left_anti").select(*batch.columns)
 
 
 def new_records_stats(

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procurelake.operators import dedup, profile, quality
+from procurelake.session import staged
 from procurelake.sinks import writers
 from procurelake.sources import scans
 
 
-def stored_hashes(batch: DataFrame, path: str) -> DataFrame:
-    """Hashes already stored: one column of the Silver table, nothing kept beside it."""
-    spark = batch.sparkSession
+# The hash covers the publication date, so equal hashes lie in the same year and month.
+_STORED = "record_hash string, year string, month string"
+
+
+def stored_hashes(spark, path: str) -> DataFrame:
+    """Hashes already stored, with their partition: columns of the Silver table, nothing kept beside it."""
     if not scans._exists(spark, path):
-        return spark.createDataFrame([], "record_hash string")
-    return spark.read.schema("record_hash string").option("recursiveFileLookup", True).parquet(path)
+        return spark.createDataFrame([], _STORED)
+    return spark.read.schema(_STORED).option("basePath", path).parquet(path)
 
 
 def load_silver(
@@ -29,13 +33,19 @@ def load_silver(
 ) -> DataFrame:
     """Append the new records of ``records`` to ``path``.
 
+    The records are computed once and staged, since report, ledger comparison and write
+    all read them. The comparison reads only months that the records touch.
+
     Returns rows per partition as written by this call. The batch folder is
     named after the number of the run, so that it can be read back alone.
     """
     spark = records.sparkSession
+    rows = writers.silver_rows(staged(records))
     if report_path:
-        writers.write_report(quality.full_report(records, as_of, source), report_path)
-    fresh = dedup.new_records(records, stored_hashes(records, path), order) if deduplicate else records
+        writers.write_report(quality.full_report(rows, as_of, source), report_path)
+    fresh = rows
+    if deduplicate:
+        fresh = dedup.new_records(rows, stored_hashes(spark, path), order, also=("year", "month"))
     folder = f"{path}/batch={_next_batch(spark, path)}"
     writers.write_silver(fresh, folder)
     written = spark.read.schema("source_country string, year string, month string").parquet(folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -52,3 +52,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     filesystem.mkdirs(target)
     filesystem.deleteOnExit(target)
     return path
+
+
+def staged(df: DataFrame, label: str = "staged") -> DataFrame:
+    """``df`` written once below the shared folder and read back.
+
+    For inputs that several steps read and that are dear to compute, such as parsed
+    JSON. The written table outlives lost executors, and each step reads its columns only.
+    """
+    path = f"{scratch_path(df.sparkSession, label)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -71,6 +71,8 @@ def write_bronze(releases: DataFrame, path: str, extracted_at: str | Column | No
 
 def silver_rows(df: DataFrame) -> DataFrame:
     """Adds text ``year`` and ``month``, 'unknown' without a date."""
+    if {"year", "month"} <= set(df.columns):
+        return df
     year, month = dates.year_month(F.col("publication_date"))
     return df.withColumns({"year": year, "month": month})
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from procurelake.operators import dedup
+from procurelake.session import staged
 from procurelake.sources import scans
 
 BATCH = "batch"
@@ -90,7 +91,8 @@ def write_once(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        records = transform(batch) if transform else batch
+        # Staged, since the comparison and the write both read the batch.
+        records = staged(transform(batch) if transform else batch)
         fresh = dedup.new_records(records, _others(spark, target, batch_id), order)
         fresh.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
 
