@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procurelake import schemas
 from procurelake.operators import aggregates, enrich, profile, quality
 from procurelake.sinks import writers
 from procurelake.sources import scans
@@ -16,6 +17,8 @@ SOURCE_FOLDERS = {
     "base_portugal": "base_portugal",
     "partner": "partner",
 }
+# Sources whose Silver columns differ from the fixed ones.
+OWN_COLUMNS = ("partner",)
 
 
 def unified(
@@ -26,7 +29,11 @@ def unified(
 
 
 def silver_sources(spark: SparkSession, root: str, folders: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    found = {tag: scans.silver(spark, root, name) for name, tag in (folders or SOURCE_FOLDERS).items()}
+    """Sources with the fixed Silver columns are read with them; the relational one brings its own."""
+    found = {}
+    for name, tag in (folders or SOURCE_FOLDERS).items():
+        fixed = None if tag in OWN_COLUMNS else schemas.SILVER_SCHEMA
+        found[tag] = scans.silver(spark, root, name, fixed)
     return {tag: df for tag, df in found.items() if df is not None}
 
 

@@ -36,7 +36,8 @@ def load_silver(
     The records are computed once and staged, since report, ledger comparison and write
     all read them. The comparison reads only months that the records touch.
 
-    Returns rows per partition as written by this call. The batch folder is
+    ``order`` holds plain columns that tell all rows apart; columns named ``_…`` only serve it
+    and are not stored. Returns rows per partition as written by this call. The batch folder is
     named after the number of the run, so that it can be read back alone.
     """
     spark = records.sparkSession
@@ -47,7 +48,7 @@ def load_silver(
     if deduplicate:
         fresh = dedup.new_records(rows, stored_hashes(spark, path), order, also=("year", "month"))
     folder = f"{path}/batch={_next_batch(spark, path)}"
-    writers.write_silver(fresh, folder)
+    writers.write_silver(fresh.select(*[c for c in fresh.columns if not c.startswith("_")]), folder)
     written = spark.read.schema("source_country string, year string, month string").parquet(folder)
     return profile.partition_stats(written, writers.SILVER_KEYS)
 

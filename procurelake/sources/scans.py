@@ -120,17 +120,26 @@ def relational_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame |
     return tables
 
 
+def _folder_value(path: Column, key: str) -> Column:
+    """The value of a ``key=value`` folder, '' for the default one, NULL without such a folder."""
+    raw = F.regexp_extract(path, rf"/{key}=([^/]*)/", 1)
+    # File paths are percent-encoded once more than the folder names they show.
+    once = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    value = once(once(raw))
+    return F.when(value == "__HIVE_DEFAULT_PARTITION__", "").when(raw != "", value)
+
+
 def silver(spark: SparkSession, root: str, source: str, schema: T.StructType | None = None) -> DataFrame | None:
     """All Parquet files of one source, without state and quality files and unreadable ones.
 
-    Hive-style partition folders stay usable for pruning when the writer made them.
+    Folders may be laid out as ``key=value`` or not; a country that only stands in the folder
+    name is read from there. Without a ``schema`` the footers of all files are merged.
     """
     path = f"{root}/{source}"
     if not _exists(spark, path):
         return None
-    reader = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True)
-    if schema is not None:
-        reader = reader.schema(schema)
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
     try:
         scan = reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
     except AnalysisException:
@@ -138,13 +147,21 @@ def silver(spark: SparkSession, root: str, source: str, schema: T.StructType | N
     data = scan
     for part in _SIDE_FILES:
         data = data.where(~file_path().substr(F.length(F.lit(path)), F.lit(4096)).contains(part))
-    return data.withColumns({"_file": file_path(), "_row": F.col("_metadata.row_index")})
+    marked = data.withColumns({"_file": file_path(), "_row": F.col("_metadata.row_index")})
+    country = _folder_value(F.col("_file"), "source_country")
+    if "source_country" in marked.columns:
+        country = F.coalesce("source_country", country)
+    return marked.withColumn("source_country", country)
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
     """The unified table. '' as a partition value comes back as NULL and is restored here."""
     scan = spark.read.parquet(path)
-    return scan.withColumn("source_country", F.coalesce(F.col("source_country").cast("string"), F.lit("")))
+    if not isinstance(scan.schema["source_country"].dataType, T.StringType):
+        # Folder names that look like numbers were taken for numbers.
+        fields = [T.StructField("source_country", T.StringType()) if f.name == "source_country" else f for f in scan.schema]
+        scan = spark.read.schema(T.StructType(fields)).parquet(path)
+    return scan.withColumn("source_country", F.coalesce("source_country", F.lit("")))
 
 
 def parquet(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

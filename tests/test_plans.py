@@ -28,7 +28,9 @@ def records(spark, numbers, source="x", country="PT"):
 def test_silver_load_never_writes_twice(spark, tmp_path):
     path, reports = str(tmp_path / "silver"), str(tmp_path / "reports")
     order = [F.col("tender_id")]
-    first = silver_plan.load_silver(records(spark, range(5)), path, order, "2025-01-10", "x", reports)
+    with_row = records(spark, range(5)).withColumn("_row", F.lit(1))
+    first = silver_plan.load_silver(with_row, path, [*order, F.col("_row")], "2025-01-10", "x", reports)
+    assert "_row" not in spark.read.option("recursiveFileLookup", True).parquet(path).columns
     assert sum(r["records"] for r in first.collect()) == 5
     again = silver_plan.load_silver(records(spark, range(5)), path, order, "2025-01-10", "x", reports)
     assert again.count() == 0
@@ -63,6 +65,19 @@ def test_gold_from_four_folders(spark, tmp_path):
     assert spark.read.json(gold_plan.build_reports(built, str(tmp_path / "reports"))["coverage"]).count() == len(built.columns)
 
 
+def test_loaded_silver_keeps_its_countries(spark, tmp_path):
+    root, path = str(tmp_path / "silver"), str(tmp_path / "gold")
+    names = ["a+b c/d%e", "", "PT"]
+    rows = None
+    for n, name in enumerate(names):
+        part = records(spark, [n], country=name)
+        rows = part if rows is None else rows.unionByName(part)
+    silver_plan.load_silver(rows, f"{root}/ted", [F.col("tender_id")], "2025-01-10", "ted")
+    built = gold_plan.build_unified(spark, root, path, "2025-03-15")
+    found = {r["ocid"]: r["source_country"] for r in built.collect()}
+    assert found == {"ocds-0": "a+b c/d%e", "ocds-1": "", "ocds-2": "portugal"}
+
+
 def test_year_filter_prunes_partitions(spark, tmp_path):
     root, path = str(tmp_path / "silver"), str(tmp_path / "gold")
     records(spark, range(4)).write.parquet(f"{root}/ted")
