@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 # All characters that count as blanks.
 # Java's \s is ASCII only, and its Unicode mode leaves out \x1c-\x1f.
-_BLANK = r"[\x1c-\x20\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The intersection lets a letter fail on one range instead of on each wide blank.
+_BLANK = (
+    r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+)
 _BLANKS = rf"{_BLANK}+"
 _EDGES = rf"^{_BLANK}+|{_BLANK}+$"
 _CONTROLS = r"[\x00-\x1f]"
@@ -128,15 +132,20 @@ def party(c: Column) -> Column:
 def party_list(c: Column) -> Column:
     """Split 'A; B' into parties and drop those without a name."""
 
-    def entry(raw: Column) -> Column:
-        bare = strip(raw)
+    # Two steps, so that an entry is stripped once and not wherever its text is used.
+    entries = F.transform(
+        F.split(c, ";"),
+        lambda raw: F.struct(strip(raw).alias("bare"), raw.contains(" - ").alias("has_id")),
+    )
+
+    def split_entry(entry: Column) -> Column:
+        bare, has_id = entry["bare"], entry["has_id"]
         at = F.instr(bare, " - ")
-        has_id = F.instr(raw, " - ") > 0
         ident = F.when(has_id, strip(F.substring_index(bare, " - ", 1))).otherwise(F.lit(""))
         tail = F.when(at > 0, strip(bare.substr(at + 3, F.length(bare)))).otherwise(F.lit(""))
         return F.struct(ident.alias("id"), F.when(has_id, tail).otherwise(bare).alias("name"))
 
-    parties = F.transform(F.split(c, ";"), entry)
+    parties = F.transform(entries, split_entry)
     return F.coalesce(
         F.filter(parties, lambda p: p["name"] != ""),
         F.array().cast("array<struct<id:string,name:string>>"),

@@ -38,17 +38,20 @@ def contracts_to_releases(rows: DataFrame, year: Column | int) -> DataFrame:
     year_start = F.concat(of_year.cast("string"), F.lit("-01-01"))
     raw_dates = [F.col(f"`{n}`") for n in DATE_COLUMNS if n in rows.columns]
     published = dates.first_date(raw_dates, year_start) if raw_dates else year_start
-    suppliers = text.party_list(first_filled(SUPPLIER_COLUMNS))
+    # What is used more than once is a column of its own, so that it is computed once.
+    parsed = rows.where(contract.isNotNull()).withColumns(
+        {"_published": published, "_suppliers": text.party_list(first_filled(SUPPLIER_COLUMNS))}
+    )
     award = F.struct(
-        published.alias("date"), value(PAID_COLUMNS).alias("value"), suppliers.alias("suppliers")
+        F.col("_published").alias("date"), value(PAID_COLUMNS).alias("value"), F.col("_suppliers").alias("suppliers")
     )
     none = F.array().cast(
         "array<struct<date:string,value:struct<amount:string,currency:string>,"
         "suppliers:array<struct<id:string,name:string>>>>"
     )
-    return rows.where(contract.isNotNull()).select(
+    return parsed.select(
         keys.prefixed_id("ocds-base-pt", of_year, contract).alias("ocid"),
-        published.alias("date"),
+        F.col("_published").alias("date"),
         F.struct(
             contract.alias("id"),
             F.coalesce(first_filled(TITLE_COLUMNS), F.lit("")).alias("title"),
@@ -58,5 +61,5 @@ def contracts_to_releases(rows: DataFrame, year: Column | int) -> DataFrame:
             optional("tipoprocedimento").alias("procurement_method"),
         ).alias("tender"),
         text.party(first_filled(BUYER_COLUMNS)).alias("buyer"),
-        F.when(F.size(suppliers) > 0, F.array(award)).otherwise(none).alias("awards"),
+        F.when(F.size("_suppliers") > 0, F.array(award)).otherwise(none).alias("awards"),
     )
