@@ -273,7 +273,7 @@ _MAPPED_SQL = f"""{WITH_SILVER}, named AS (
       coalesce(num_lots, 0) AS num_lots,
       coalesce(CASE country WHEN 'kosovo' THEN len(supplier_ids) WHEN 'uk' THEN num_lots ELSE num_tenderers END, 0)
         AS num_tenderers,
-      CASE WHEN num_lots IS NULL THEN 0 ELSE 2 END AS num_awards,
+      CAST(CASE WHEN num_lots IS NULL THEN 0 ELSE 2 END AS BIGINT) AS num_awards,
       coalesce(array_to_string(CASE WHEN country = 'portugal' THEN supplier_ids || supplier_ids[1:1] ELSE supplier_ids END, '|'), '')
         AS supplier_ids,
       coalesce(array_to_string(CASE WHEN country = 'portugal' THEN supplier_names || supplier_names[1:1] ELSE supplier_names END, '|'), '')
