@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, chat, simhash, tokenfile, warc
+from procurelake.llm import bpe, chat, simhash, substring, tokenfile, warc
 from procurelake.llm.shipping import ship
 from procurelake.session import scratch_path
 
@@ -71,6 +71,28 @@ FROM r JOIN coded USING (hex)
 """
 
 
+def op6_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.digests(substring.remove_repeats(table(spark, folder, "documents")))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT r, doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h),
+gone AS (SELECT r, list(s ORDER BY s) AS starts FROM windows JOIN firsts USING (h) WHERE low < doc_id GROUP BY r),
+covered AS (SELECT r, list(DISTINCT p) AS places FROM (SELECT r, unnest(range(s, s + 50)) AS p
+  FROM (SELECT r, unnest(starts) AS s FROM gone)) GROUP BY r),
+words AS (SELECT r, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+taken AS (SELECT DISTINCT r, unnest(places) AS i FROM covered),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN taken USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = f"{scratch_path(spark, 'tokens')}/ids"
     tokenfile.write(table(spark, folder, "documents"), target)
@@ -82,6 +104,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
+    "op6_substring": op6_substring,
     "op9_token_files": op9_token_files,
 }
-CHECKS = {"op1_chat_formatting": OP1_SQL, "op4_warc": OP4_SQL}
+CHECKS = {"op1_chat_formatting": OP1_SQL, "op4_warc": OP4_SQL, "op6_substring": OP6_SQL}
