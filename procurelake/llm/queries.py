@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, chat, simhash, substring, tokenfile, warc
+from procurelake.llm import bpe, chat, simhash, substring, tokenfile, toxicity, warc
 from procurelake.llm.shipping import ship
 from procurelake.session import scratch_path
 
@@ -99,6 +99,10 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.digests(spark, target)
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_simhash": op2_simhash,
@@ -106,5 +110,6 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_substring": op6_substring,
     "op9_token_files": op9_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 CHECKS = {"op1_chat_formatting": OP1_SQL, "op4_warc": OP4_SQL, "op6_substring": OP6_SQL}
