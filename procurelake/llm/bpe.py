@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from procurelake.llm.pretokens import boundaries
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE = 1 << 19
+CACHE = 300_000
 GROUP_POINTS = 1 << 22
 
 

@@ -123,16 +123,9 @@ def _states(kinds: np.ndarray) -> np.ndarray:
 
 def boundaries(texts: list[str]) -> list[np.ndarray]:
     """For each text the code point offsets at which its pieces start, and its length at the end."""
-    return cut(texts)[0]
-
-
-def cut(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """``boundaries`` and, for each text, whether Unicode tables of any age cut it alike."""
     joined = "".join(text + "\x00" for text in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.int32).copy()
     ends = np.cumsum([len(text) + 1 for text in texts], dtype=np.int64) - 1
-    origin = np.concatenate([[0], ends[:-1] + 1])
-    settled = ~np.logical_or.reduceat(_unsettled()[points], origin)
     points[ends] = -1
     kinds = _refined(points)
     begins = _machine()[1][kinds, _states(kinds)]
@@ -140,17 +133,5 @@ def cut(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     at = np.flatnonzero(begins)
     cuts = np.searchsorted(at, ends)
     first = np.concatenate([[0], cuts[:-1] + 1])
-    return [at[a : b + 1] - o for a, b, o in zip(first, cuts, origin)], settled
-
-
-@lru_cache(maxsize=1)
-def _unsettled() -> np.ndarray:
-    """Code points that were not assigned, or of another class, in the oldest table at hand."""
-    old, now = unicodedata.ucd_3_2_0.category, _classes()
-    flags = np.zeros(0x110000, dtype=bool)
-    for point in range(0x110000):
-        kind = old(chr(point))
-        flags[point] = kind == "Cn" or {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER) != now[point]
-    flags[_BLANKS] = False
-    flags[[0x180E, 0xFEFF]] = True
-    return flags
+    origin = np.concatenate([[0], ends[:-1] + 1])
+    return [at[a : b + 1] - o for a, b, o in zip(first, cuts, origin)]

@@ -226,7 +226,7 @@ def read_archives(packages: DataFrame, payloads: bool = True) -> DataFrame:
                         rows = []
                 yield _frame(rows, payloads)
 
-    spread = packages.repartition("package")
+    spread = packages.repartition(max(1, packages.count()))  # one package a task
     return spread.mapInPandas(work, RECORDS if payloads else DIGESTS)
 
 
