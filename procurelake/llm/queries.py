@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, chat, simhash, substring, tokenfile, toxicity, warc
+from procurelake.llm import bpe, chat, decontaminate, simhash, substring, tokenfile, toxicity, warc
 from procurelake.llm.shipping import ship
 from procurelake.session import scratch_path
 
@@ -93,6 +93,10 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = f"{scratch_path(spark, 'tokens')}/ids"
     tokenfile.write(table(spark, folder, "documents"), target)
@@ -109,6 +113,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
     "op6_substring": op6_substring,
+    "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
 }

@@ -8,9 +8,7 @@ page index let a range of documents be read without the rest, and figures withou
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,14 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from procurelake.llm.bpe import groups
+from procurelake.llm.units import UnitEncoder, groups
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-CACHE = 300_000
-_ENDS = ".,;:!?|%$#*&-+=/)]}>\""
-_SETTLED = "\u0530"  # letters below have been letters in every table that is in use
-_TANGLED = re.compile(r"\s (?:\s|\Z)|  ").search
 #: Parquet writer: version 2 pages fall back from dictionary to delta encoding.
 LAYOUT = {
     "parquet.writer.version": "v2",
@@ -45,76 +39,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class LibraryEncoder:
-    """Ids as the tokenizers library gives them, for whole texts.
-
-    The library cuts a text into pieces before it merges, no piece goes on after a space that follows something
-    else, and a run of blanks is cut before its last one. So a text falls into units, each a
-    space with what follows up to the next, that are encoded by themselves; each distinct unit
-    is given to the library once while it is remembered. A text in which a space stands among blanks or ends the text
-    after a blank, or that holds the string of an added token, goes to the library whole.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tool = Tokenizer.from_file(path)
-        self.added = [token.content for token in self.tool.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, units: set[str]) -> None:
-        """Ids of a space and each unit: from the old generation, from a word and its punctuation, or from the library."""
-        fresh = units.difference(self.young)
-        if len(self.young) + len(fresh) > CACHE:
-            self.young, self.old = {}, self.young
-            fresh = units
-        old, young = self.old, self.young
-        stems: dict[str, str] = {}
-        asked = set()
-        for unit in fresh:
-            if (ids := old.get(unit)) is not None:
-                young[unit] = ids
-                continue
-            stem = unit.rstrip(_ENDS)
-            # letters and then punctuation are always two pieces
-            if stem != unit and stem and stem.isalpha() and max(stem) < _SETTLED:
-                stems[unit] = stem
-                if stem not in young and (stem not in old):
-                    asked.add(stem)
-            else:
-                asked.add(unit)
-        asked = list(asked)
-        young.update(zip(asked, self.whole([" " + unit for unit in asked])))
-        for unit, stem in stems.items():
-            tail = unit[len(stem) :]
-            if (end := self.tails.get(tail)) is None:
-                end = self.tails[tail] = self.whole([tail])[0]
-                if len(self.tails) > CACHE:
-                    self.tails = {}
-            ids = young.get(stem)
-            young[unit] = (old[stem] if ids is None else ids) + end
-
-    def of_texts(self, texts: list[str]) -> Iterator[bytes]:
-        for group in groups(texts):
-            parts: list[list[str] | None] = []
-            for text in group:
-                tangled = _TANGLED(text) or any(token in text for token in self.added)
-                parts.append(None if tangled else text.split(" "))
-            self._learn(set().union(*(units[1:] for units in parts if units)))
-            whole = iter(self.whole([text if units is None else units[0] for text, units in zip(group, parts)]))
-            get = self.young.__getitem__
-            for units in parts:
-                yield next(whole) if units is None else next(whole) + b"".join(map(get, units[1:]))
-
-
 @lru_cache(maxsize=1)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def encoder(path: str, end_id: int) -> UnitEncoder:
+    return UnitEncoder(path, end_id)
 
 
 def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = END_ID) -> None:
@@ -127,15 +54,14 @@ def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = E
     path = path or vocabulary_path()
 
     def work(batches):
-        tool, part, at = library_encoder(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        tool, part, at = encoder(path, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            found = [ids + tail for ids in tool.of_texts(texts)]
-            sizes = np.array([len(ids) // 4 for ids in found], dtype=np.int64)
+            found = [tool.encode(group) for group in groups([text or "" for text in batch.column("text").to_pylist()])]
+            sizes = np.concatenate([np.zeros(0, dtype=np.int64), *(count for _, count in found)])
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends[:-1]), pa.array(sizes), ids]
+            ids = np.concatenate([np.zeros(0, dtype=np.int32), *(part_ids for part_ids, _ in found)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends[:-1]), pa.array(sizes), lists]
             at += int(ends[-1])
             yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 

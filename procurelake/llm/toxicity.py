@@ -11,7 +11,7 @@ margins, and those of its two strongest expressions; a logistic curve turns them
 Counting is a Spark aggregation over all labelled rows of ``COUNT_FOLDS``; the curve is fitted on at most ``FIT_ROWS``
 rows of ``FIT_FOLD``, which the counts have not seen. Spellings seen fewer than ``LEAST`` times are left to the backoff.
 Counts are kept in tables of ``SLOTS`` hashed n-grams, which bounds what reaches the driver and is
-broadcast, whatever the corpus holds: 14 sets of three tables with 2^19 slots.
+broadcast, whatever the corpus holds: 14 sets of three tables with 2^18 slots.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ LEAST = 2
 MARGINS = (1.5, 3.0)
 DISCOUNT = 0.75
 FLOOR = 1e-3  # spread over letters below the lowest order
-SLOTS = 1 << 19
+SLOTS = 1 << 18
 FOLDS, COUNT_FOLDS, FIT_FOLD = 5, (1, 2, 3), 4
 FIT_ROWS = 20_000
 LEAST_FIT = 5
@@ -134,16 +134,22 @@ def gather(labelled: DataFrame) -> DataFrame:
 class Models:
     """Both models in arrays; ``ratio`` gives the log-likelihood ratio of each word."""
 
-    def __init__(self, tables: pd.DataFrame) -> None:
+    def __init__(self, tables: DataFrame) -> None:
+        """From what ``gather`` gives; one table of at most ``SLOTS`` rows is taken at a time."""
         self.grams: dict[tuple[int, int], np.ndarray] = {}
         self.heads: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for (part, size, toxic), rows in tables.groupby(["part", "size", "toxic"]):
-            total, kinds = np.zeros(SLOTS, dtype=np.float32), np.zeros(SLOTS, dtype=np.float32)
-            total[rows["slot"]], kinds[rows["slot"]] = rows["total"], rows["kinds"]
-            if part:
-                self.heads[size, toxic] = total, kinds
-            else:
-                self.grams[size, toxic] = total
+        for size, toxic in [(s, _BOTH) for s in (*range(1, SHARED + 1), _TOP)] + [(s, t) for s in (*OWN, _TOP) for t in (0, 1)]:
+            rows = tables.where((F.col("size") == size) & (F.col("toxic") == toxic))
+            part = rows.select(F.col("part").cast("tinyint"), "slot", F.col("total").cast("float"), F.col("kinds").cast("float")).toPandas()
+            if not len(part):
+                continue
+            filled = []
+            for number in (0, 1):
+                some = part[part["part"] == number]
+                total, kinds = np.zeros(SLOTS, dtype=np.float32), np.zeros(SLOTS, dtype=np.float32)
+                total[some["slot"]], kinds[some["slot"]] = some["total"], some["kinds"]
+                filled.append((total, kinds))
+            self.grams[size, toxic], self.heads[size, toxic] = filled[0][0], filled[1]
 
     def _better(self, key, slots, place, lower: np.ndarray) -> np.ndarray:
         """Interpolates counts above ``lower``, where their context is known."""
@@ -243,8 +249,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Da
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     taught = slim.where(fold(F.col("doc_id")).isin(*COUNT_FOLDS)).join(marks, "doc_id").select("text", "toxic")
-    tables = gather(taught).toPandas()  # bounded by the slots of the tables
-    models = spark.sparkContext.broadcast(Models(tables))
+    models = spark.sparkContext.broadcast(Models(staged(gather(taught).coalesce(8), "tables")))
     key = F.xxhash64("text").alias("text_key")
     figures = staged(slim.select("doc_id", key, "text").mapInPandas(_features(models), _FEATURES), "figures")
     sample = figures.where(fold(F.col("doc_id")) == FIT_FOLD).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(FIT_ROWS)
