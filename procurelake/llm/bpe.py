@@ -15,7 +15,7 @@ from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,10 +168,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _text(value) -> str:
-    return value if isinstance(value, str) else ""
-
-
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids`` of each row of ``docs`` (``doc_id``, ``text``), without special tokens.
 
@@ -180,25 +176,27 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or vocabulary_path()
 
-    def work(batches):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "ids": list(tool.encode_batch([*map(_text, batch["text"])]))})
+            lists = [np.frombuffer(ids, dtype="<i4") for ids in tool.pieces.of_texts(_texts(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return _slim(docs).mapInPandas(work, "doc_id long, ids array<int>")
+    return _slim(docs).mapInArrow(work, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, content`` (bytes) and the tokens' byte ``offsets``, from ``doc_id, ids``; null ids decode to nothing."""
     path = path or vocabulary_path()
 
-    def work(batches):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for batch in batches:
-            lists = [[] if ids is None else list(ids) for ids in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "content": [*map(tool.decode, lists)], "offsets": [*map(tool.offsets, lists)]})
+            lists = [ids or [] for ids in batch.column("ids").to_pylist()]
+            content, offsets = pa.array([*map(tool.decode, lists)], pa.binary()), pa.array([*map(tool.offsets, lists)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), content, offsets], names=["doc_id", "content", "offsets"])
 
-    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInPandas(work, "doc_id long, content binary, offsets array<long>")
+    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(work, "doc_id long, content binary, offsets array<long>")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -207,19 +205,24 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     The digests are of the decimal ids joined by commas, and of the decoded bytes. Cases as in ``encode``.
     """
     path = path or vocabulary_path()
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def work(batches):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for batch in batches:
-            rows = []
-            for ids in tool.encode_batch([*map(_text, batch["text"])]):
-                listed = ",".join(map(str, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(tool.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
-
-    return _slim(docs).mapInPandas(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            counts, listed, decoded = [], [], []
+            for ids in tool.encode_batch(_texts(batch)):
+                counts.append(len(ids))
+                listed.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(tool.decode(ids)).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names])
+
+    return _slim(docs).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [text or "" for text in batch.column("text").to_pylist()]
 
 
 def _slim(docs: DataFrame) -> DataFrame:

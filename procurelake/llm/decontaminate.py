@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,17 +209,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_
     """
 
     def search(sent):
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for batch in batches:
-                rows = [(doc, items.names[name], a, b, edits) for doc, found in zip(batch["doc_id"].array, _hits(items, batch["text"])) for name, a, b, edits in found]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+                hits = list(_hits(items, batch.column("text").to_pylist()))
+                rows = [(items.names[name], a, b, edits) for found in hits for name, a, b, edits in found]
+                docs = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(hits)), [len(found) for found in hits])))
+                columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([docs, *columns], names=["doc_id", "item_id", "start", "end", "edits"])
 
         return work
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = [slim.mapInPandas(search(sent), LINKS) for sent in _sent(docs, benchmark, q, rate, limit)]
+    found = [slim.mapInArrow(search(sent), LINKS) for sent in _sent(docs, benchmark, q, rate, limit)]
     if not found:
         return docs.sparkSession.createDataFrame([], LINKS)
     out = found[0]
@@ -232,12 +234,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_
     """``docs``, all columns, without the rows that hold an item; cases as in ``leaks``."""
 
     def search(sent):
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch[[not found for found in _hits(sent.value, batch["text"])]]
+                yield batch.filter(pa.array([not found for found in _hits(sent.value, batch.column("text").to_pylist())], pa.bool_()))
 
         return work
 
     for sent in _sent(docs, benchmark, q, rate, limit):
-        docs = docs.mapInPandas(search(sent), docs.schema)
+        docs = docs.mapInArrow(search(sent), docs.schema)
     return docs

@@ -104,7 +104,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("text_key")
 
 
 QUERIES = {

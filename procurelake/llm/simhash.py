@@ -156,6 +156,20 @@ def near_links(marks: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
     return rows.mapInPandas(_search(radius), "a long, b long")
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """``doc_id, text_key, mark, root, component_id`` of each row: its fingerprint, the smallest one it reaches, and the smallest doc_id."""
+    key = F.xxhash64(F.col("text").cast("string")).alias("text_key")
+    marks = staged(docs.select(F.col("doc_id").cast("long"), key, _fingerprints(F.col("text").cast("string")).alias("mark")), "marks")
+    lows = staged(marks.groupBy("mark").agg(F.min("doc_id").alias("low")), "lows")
+    links = staged(near_links(lows.select("mark"), radius, shard), "near")
+    roots = components(links)
+    linked = lows.join(roots, lows["mark"] == roots["node"]).select("mark", "low", "root")
+    named = linked.groupBy("root").agg(F.min("low").alias("reached"))
+    linked = linked.select("mark", "root").join(named, "root").select("mark", "root", "reached")
+    found = lows.join(linked, "mark", "left").select("mark", F.coalesce("root", "mark").alias("root"), F.coalesce("reached", "low").alias("component_id"))
+    return marks.join(found, "mark").select("doc_id", "text_key", "mark", "root", "component_id")
+
+
 def near_copies(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row of ``docs`` (``doc_id``, ``text``).
 
@@ -165,14 +179,14 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
     once; a null doc_id keeps its row and never names a group unless no other id is there; an empty
     table gives an empty table; further columns are ignored.
     """
-    marks = staged(docs.select("doc_id", _fingerprints("text").alias("mark")), "marks")
-    lows = staged(marks.groupBy("mark").agg(F.min("doc_id").alias("low")), "lows")
-    links = staged(near_links(lows.select("mark"), radius, shard), "near")
-    roots = components(links)
-    grouped = lows.join(roots, lows["mark"] == roots["node"]).select("mark", "low", "root")
-    named = grouped.groupBy("root").agg(F.min("low").alias("low"))
-    linked = grouped.select("mark", "root").join(named, "root").select("mark", F.col("low").alias("reached"))
-    found = lows.join(linked, "mark", "left").select("mark", F.coalesce("reached", "low").alias("component_id"))
-    return marks.join(found, "mark").select(
-        "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    mark = F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint")
+    return grouped(docs, radius, shard).select("doc_id", mark, "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs``, all columns, with one row of each group of near copies: that of the smallest doc_id, of equals the smallest text hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
+    kept = grouped(docs, radius).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+    keyed = docs.withColumn("_row_id", F.col("doc_id").cast("long")).withColumn("_row_key", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_row_id", "_row_key"]).drop("_row_id", "_row_key")

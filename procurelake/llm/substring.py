@@ -207,9 +207,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     slim = docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", "text")
     found = staged(slim.mapInArrow(_occurrences(window, anchor), _OCCURRENCES), "contexts")
     place = F.struct("doc_id", "text_key", "first", "starts")
-    # the occurrences are dealt by anchor once, for both levels of counting
-    dealt = found.repartition("anchor")
-    distinct = dealt.groupBy("anchor", "context").agg(F.min(place).alias("at"), F.max("doc_id").alias("high"))
+    # both levels combine before their shuffle, so an anchor that stands in every line stays small
+    distinct = found.groupBy("anchor", "context").agg(F.min(place).alias("at"), F.max("doc_id").alias("high"))
     shared = distinct.groupBy("anchor").agg(F.min("at.doc_id").alias("a"), F.max("high").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
     chosen = staged(distinct.join(shared.select("anchor", "n"), "anchor"), "chosen")
 
@@ -241,11 +240,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     )
 
 
-def _kept(batches: Iterator[pd.DataFrame], carry: list[str]) -> Iterator[pd.DataFrame]:
+def _kept(batches: Iterator[pd.DataFrame], carry: list[str], verbatim: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for data, covered in zip(batch["packed"], batch["covered"]):
-            words = _unpacked(data).split()
+            text = _unpacked(data)
+            words = text.split()
             count = len(words)
             if covered is not None and len(covered):
                 edge = np.zeros(count + 1, dtype=np.int32)
@@ -253,16 +253,18 @@ def _kept(batches: Iterator[pd.DataFrame], carry: list[str]) -> Iterator[pd.Data
                     edge[run["start"]] += 1
                     edge[run["end"]] -= 1
                 words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:count]) == 0)]
-            rows.append((count, count - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
+            kept = text if verbatim and len(words) == count else b" ".join(words)
+            rows.append((count, count - len(words), kept.decode("utf-8", "surrogatepass")))
         out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
         yield pd.concat([batch[["doc_id", *carry]].reset_index(drop=True), out], axis=1)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), anchor: int = ANCHOR, shard: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), anchor: int = ANCHOR, shard: int = SHARD, verbatim: bool = False) -> DataFrame:
     """``doc_id``, the columns of ``carry``, ``n_words``, ``n_removed`` and ``kept`` of each row of ``docs`` (``doc_id``, ``text``).
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id; windows
-    are judged on the input. ``kept`` has the other words with one space between. Rows with equal doc_id are the same
+    are judged on the input. ``kept`` has the other words with one space between, or the
+    text as it is where nothing goes and ``verbatim`` is set. Rows with equal doc_id are the same
     document and never remove each other's words; a null doc_id is neither smaller nor larger, so its row is kept
     whole; a null text has no words; a text shorter than a window stays. An empty table gives an empty
     table; columns that are not carried are ignored.
@@ -276,7 +278,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     joined = texts.join(covered, ["doc_id", "text_key"], "left").select("doc_id", *names, "packed", "covered")
     fields = [T.StructField("doc_id", T.LongType()), *[keyed.schema[c] for c in names]]
     fields += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    out = joined.mapInPandas(lambda batches: _kept(batches, names), T.StructType(fields))
+    out = joined.mapInPandas(lambda batches: _kept(batches, names, verbatim), T.StructType(fields))
     return out.select("doc_id", *[F.col(n).alias(c) for n, c in zip(names, carry)], "n_words", "n_removed", "kept")
 
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,12 +195,12 @@ def figures_of(ratios: np.ndarray) -> tuple[float, ...]:
 
 
 def _features(models):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         table = np.zeros((0, 2))
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 words = expressions(text)
                 fresh = [word for word in set(words) if word not in known]
                 if fresh and len(known) + len(fresh) > CACHE:
@@ -211,10 +212,9 @@ def _features(models):
                     table[first : first + len(fresh)] = models.value.ratios(fresh)
                     known.update(zip(fresh, range(first, first + len(fresh))))
                 rows.append(figures_of(table[[*map(known.__getitem__, words)]]))
-            out = pd.DataFrame(rows, columns=[*FIGURES], dtype=np.float64)
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            out.insert(1, "text_key", batch["text_key"].array)
-            yield out
+            figures = np.array(rows, dtype=np.float64).reshape(-1, len(FIGURES))
+            columns = [batch.column("doc_id"), batch.column("text_key"), *map(pa.array, np.ascontiguousarray(figures.T))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", *FIGURES])
 
     return work
 
@@ -237,8 +237,8 @@ def _fit(rows: pd.DataFrame) -> tuple[float, ...]:
     return tuple(map(float, [weights[0], *(weights[1:] / spread)]))
 
 
-def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns of ``carry``, ``held_out``, ``score`` and ``predicted`` of each row of ``docs`` (``doc_id``, ``text``).
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_key`` (hash of the text), ``held_out``, ``score`` and ``predicted`` of each row of ``docs`` (``doc_id``, ``text``).
 
     ``labels`` (``doc_id``, ``toxic``) marks some of them; rows whose crc32(doc_id as text) mod 5 is 0 are held out from all
     learning, and only the text makes a score. Null labels are none; of several the largest holds. A null or empty text
@@ -251,13 +251,19 @@ def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Da
     taught = slim.where(fold(F.col("doc_id")).isin(*COUNT_FOLDS)).join(marks, "doc_id").select("text", "toxic")
     models = spark.sparkContext.broadcast(Models(staged(gather(taught).coalesce(8), "tables")))
     key = F.xxhash64("text").alias("text_key")
-    figures = staged(slim.select("doc_id", key, "text").mapInPandas(_features(models), _FEATURES), "figures")
+    figures = staged(slim.select("doc_id", key, "text").mapInArrow(_features(models), _FEATURES), "figures")
     sample = figures.where(fold(F.col("doc_id")) == FIT_FOLD).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(FIT_ROWS)
     base, *weights = _fit(sample.select(*FIGURES, "toxic").toPandas())
-    out = figures if not carry else docs.select(F.col("doc_id").cast("long"), key, *carry).join(figures.dropDuplicates(["doc_id", "text_key"]), ["doc_id", "text_key"])
     line = F.lit(base)
     for name, weight in zip(FIGURES, weights):
         line = line + F.lit(weight) * F.col(name)
     value = 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(30.0)), F.lit(-30.0))))
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
-    return out.select("doc_id", *carry, held.alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
+    return figures.select("doc_id", "text_key", held.alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows that ``score`` predicts to be toxic; equal rows share their fate."""
+    rejected = score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key"))
+    return docs.join(rejected, same, "left_anti")
