@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, chat, decontaminate, simhash, substring, tokenfile, toxicity, warc
+from procurelake.llm import bpe, caps, chat, decontaminate, simhash, substring, tokenfile, toxicity, warc
 from procurelake.llm.shipping import ship
 from procurelake.session import scratch_path
 
@@ -71,6 +71,10 @@ FROM r JOIN coded USING (hex)
 """
 
 
+def op5_embedding_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op6_substring(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digests(substring.remove_repeats(table(spark, folder, "documents")))
 
@@ -112,6 +116,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
+    "op5_embedding_copies": op5_embedding_copies,
     "op6_substring": op6_substring,
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,

@@ -37,13 +37,14 @@ SLOTS = 1 << 18
 FOLDS, COUNT_FOLDS, FIT_FOLD = 5, (1, 2, 3), 4
 FIT_ROWS = 20_000
 LEAST_FIT = 5
-CACHE = 400_000
+CACHE = 600_000
+TASK_WORDS = 250_000
+GROUP_WORDS = 200_000
 #: Where too few labelled rows are there to fit a curve.
 PLAIN_CURVE = (-6.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
 FIGURES = tuple(f"{name}_{way}" for way in ("spelling", "runs") for name in ("peak", "second", "over_low", "over_high"))
 _FEATURES = "doc_id long, text_key long, " + ", ".join(f"{name} double" for name in FIGURES)
 _TOP, _BOTH = ORDER, 2  # the spelling so far; counts of both classes together
-_GRAMS = "size int, toxic int, full long, gram int, context int, amount long"
 
 
 def fold(doc_id: Column) -> Column:
@@ -99,9 +100,14 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(word, toxic, n) for (word, toxic), n in counts.items()], columns=["word", "toxic", "n"])
 
 
+def _packed(size: int, toxic, gram: np.ndarray, context: np.ndarray, left) -> np.ndarray:
+    """One key of a counted n-gram: 4 bits size, 2 bits class, twice 18 bits slots, 16 bits of what stands before it."""
+    key = (np.int64(size) << 58) | (np.asarray(toxic, dtype=np.int64) << 56) | (gram << 36) | (context << 18)
+    return key | np.asarray(left, dtype=np.int64)
+
+
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """n-grams of distinct words: spellings so far with the words' counts, smaller ones with the letter before them."""
-    names = ["size", "toxic", "full", "gram", "context"]
+    """n-grams of distinct words: spellings so far and runs with the words' counts, shared ones with the letter before them."""
     for batch in batches:
         if not len(batch):
             continue
@@ -109,20 +115,31 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lengths = np.diff(np.append(starts, len(points)))
         times, toxic = np.repeat(batch["n"].to_numpy(), lengths), np.repeat(batch["toxic"].to_numpy(), lengths)
         hashes = _hashes(points)
+        before = _mixed(points + np.uint64(7)) & np.uint64(0xFFFF)
         for size in (*range(1, SHARED + 1), _TOP):
-            whole, gram, context = _places(hashes, place, size)
-            wide = whole if size == _TOP else np.where(place >= size, hashes[size + 1], whole)
-            use = (place >= 1) if size == _TOP else (place >= 1) & (place >= size - 1)
-            frame = pd.DataFrame({"size": size, "toxic": _BOTH, "full": wide.view(np.int64), "gram": gram, "context": context, "amount": times})
-            yield frame[use].groupby(names, as_index=False)["amount"].sum()
+            _, gram, context = _places(hashes, place, size)
+            use = (place >= 1) & ((place >= size - 1) | (size == _TOP))
+            left = 0 if size == _TOP else np.where(place >= size, before[np.maximum(np.arange(len(points)) - size, 0)], 0)
+            keys = [_packed(size, _BOTH, gram, context, left)[use]]
             if size == _TOP or size in OWN:
-                yield frame.assign(toxic=toxic, full=whole.view(np.int64))[use].groupby(names, as_index=False)["amount"].sum()
+                keys.append(_packed(size, toxic, gram, context, 0)[use])
+            for each in keys:
+                names, at = np.unique(each, return_inverse=True)
+                yield pd.DataFrame({"key": names, "amount": np.bincount(at, weights=times[use]).astype(np.int64)})
 
 
 def gather(labelled: DataFrame) -> DataFrame:
     """Tables of the models from ``text, toxic``: ``part`` (0 n-grams, 1 contexts), ``size``, ``toxic``, ``slot``, ``total``, ``kinds``."""
     words = labelled.mapInPandas(_count_words, "word string, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
-    single = words.mapInPandas(_grams, _GRAMS).groupBy("size", "toxic", "full", "gram", "context").agg(F.sum("amount").alias("amount"))
+    words = staged(words, "words")
+    # n-grams repeat over tasks, so a task takes many words
+    dealt = words.repartition(max(1, -(-words.count() // TASK_WORDS)))
+    single = dealt.mapInPandas(_grams, "key long, amount long").groupBy("key").agg(F.sum("amount").alias("amount"))
+
+    def field(shift: int, bits: int) -> Column:
+        return F.shiftright("key", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+    single = single.select(field(58, 4).alias("size"), field(56, 2).alias("toxic"), field(36, 18).alias("gram"), field(18, 18).alias("context"), "amount")
     top, types = F.col("size") == _TOP, (F.col("size") < _TOP) & (F.col("toxic") == _BOTH)
     amount = F.when(types, F.lit(1)).otherwise(F.col("amount"))
     often = single.where(~top | (F.col("amount") >= LEAST))
@@ -200,18 +217,17 @@ def _features(models):
         table = np.zeros((0, 2))
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                words = expressions(text)
-                fresh = [word for word in set(words) if word not in known]
+            for group in _runs_of(batch.column("text").to_pylist()):
+                fresh = list(set().union(*group).difference(known))
                 if fresh and len(known) + len(fresh) > CACHE:
-                    known, fresh = {}, list(set(words))
+                    known, fresh = {}, list(set().union(*group))
+                first = len(known)
+                if first + len(fresh) > len(table):
+                    table = np.concatenate([table[:first], np.zeros((max(first, len(fresh), 4096), 2))])
                 if fresh:
-                    first = len(known)
-                    if first + len(fresh) > len(table):
-                        table = np.concatenate([table[:first], np.zeros((max(first, len(fresh), 4096), 2))])
                     table[first : first + len(fresh)] = models.value.ratios(fresh)
                     known.update(zip(fresh, range(first, first + len(fresh))))
-                rows.append(figures_of(table[[*map(known.__getitem__, words)]]))
+                rows += [figures_of(table[[*map(known.__getitem__, words)]]) for words in group]
             figures = np.array(rows, dtype=np.float64).reshape(-1, len(FIGURES))
             columns = [batch.column("doc_id"), batch.column("text_key"), *map(pa.array, np.ascontiguousarray(figures.T))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", *FIGURES])
@@ -219,6 +235,21 @@ def _features(models):
     return work
 
 
+def _runs_of(texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """Expressions of texts in runs of about ``GROUP_WORDS``; a longer text is a run of its own."""
+    group: list[list[str]] = []
+    size = 0
+    for text in texts:
+        words = expressions(text)
+        if group and size + len(words) > GROUP_WORDS:
+            yield group
+            group, size = [], 0
+        group.append(words)
+        size += len(words)
+    if group:
+        yield group
+
+
 def _fit(rows: pd.DataFrame) -> tuple[float, ...]:
     """Intercept and weights of the figures by Newton steps with a small ridge, on figures of unit spread."""
     y = rows["toxic"].to_numpy(dtype=np.float64)

@@ -58,8 +58,8 @@ class UnitEncoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(TABLE, dtype=np.uint64)
-        self.starts = np.zeros(TABLE, dtype=np.int64)
-        self.sizes = np.zeros(TABLE, dtype=np.int64)
+        self.starts = np.zeros(TABLE, dtype=np.int32)
+        self.sizes = np.zeros(TABLE, dtype=np.int32)
         self.count = 0
         self.pool = np.array([self.end_id], dtype=np.int32)
         self.used = 1
@@ -133,7 +133,7 @@ class UnitEncoder:
         if len(where):
             self._add(names[fresh], *self._library([joined[a:b].decode() for a, b in zip(first[where], last[where])]))
         slots = self._find(hashes)
-        starts, sizes = self.starts[slots], self.sizes[slots]
+        starts, sizes = self.starts[slots].astype(np.int64), self.sizes[slots].astype(np.int64)
         # long units and tangled texts: their own ids, after the pool
         wide, whole = np.flatnonzero(~short), np.flatnonzero(tangled)
         own, counts = self._library([*(joined[first[i] : last[i]].decode() for i in wide), *(texts[i] for i in whole)])
@@ -151,7 +151,7 @@ class UnitEncoder:
         return ids, np.bincount(owner[order], weights=sizes, minlength=count).astype(np.int64)
 
 
-def groups(texts: list[str], points: int = 1 << 22) -> Iterator[list[str]]:
+def groups(texts: list[str], points: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of bounded size; a longer text is a run of its own."""
     group: list[str] = []
     size = 0
