@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, caps, chat, decontaminate, simhash, substring, tokenfile, toxicity, warc
+from procurelake.llm import bpe, caps, chat, decontaminate, pages, simhash, substring, tokenfile, toxicity, warc
 from procurelake.llm.shipping import ship
 from procurelake.session import scratch_path
 
@@ -97,6 +97,10 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_text(table(spark, folder, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_embedding_copies": op5_embedding_copies,
     "op6_substring": op6_substring,
+    "op7_main_text": op7_main_text,
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
