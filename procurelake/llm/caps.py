@@ -61,7 +61,7 @@ def filters_of(vectors: np.ndarray, codes: int, filters: float) -> list[np.ndarr
     a, b = turned[:, :cut] @ left.T, turned[:, cut:] @ right.T
     out = []
     for x, y, best_x, best_y in zip(a, b, a.max(axis=1), b.max(axis=1)):
-        limit = min(bound, best_x + best_y)
+        limit = min(bound, best_x + best_y) - 1e-9  # sums round
         rows, columns = np.flatnonzero(x >= limit - best_y), np.flatnonzero(y >= limit - best_x)
         i, j = np.nonzero(x[rows][:, None] + y[columns][None, :] >= limit)
         out.append(np.sort(rows[i] * codes + columns[j]))

@@ -173,7 +173,7 @@ class Items:
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, dealt by hash; a block that comes out too large is split further on."""
-    slim = benchmark.where("text IS NOT NULL").select("item_id", "text")
+    slim = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
     total = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     count = max(1, -(-int(total) // limit))
     for number in range(count):
