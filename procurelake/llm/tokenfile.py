@@ -56,14 +56,15 @@ def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = E
     def work(batches):
         tool, part, at = encoder(path, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            found = [tool.encode(group) for group in groups([text or "" for text in batch.column("text").to_pylist()])]
-            sizes = np.concatenate([np.zeros(0, dtype=np.int64), *(count for _, count in found)])
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            ids = np.concatenate([np.zeros(0, dtype=np.int32), *(part_ids for part_ids, _ in found)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends[:-1]), pa.array(sizes), lists]
-            at += int(ends[-1])
-            yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+            row = 0
+            for group in groups([text or "" for text in batch.column("text").to_pylist()]):
+                ids, sizes = tool.encode(group)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                docs = batch.column("doc_id").slice(row, len(group)).cast(pa.int64())
+                columns = [docs, pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends[:-1]), pa.array(sizes), lists]
+                row, at = row + len(group), at + int(ends[-1])
+                yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hashed = slim.withColumn("h", F.xxhash64("text"))

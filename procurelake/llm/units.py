@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -68,7 +69,7 @@ class UnitEncoder:
         """Ids of all texts and how many each has."""
         found = [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Slot of each hash, or that of the empty slot where it belongs."""
