@@ -16,6 +16,7 @@ broadcast, whatever the corpus holds: 14 sets of three tables with 2^18 slots.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -149,25 +150,35 @@ def gather(labelled: DataFrame) -> DataFrame:
     return grams.select(F.lit(0).alias("part"), "*").unionByName(heads.select(F.lit(1).alias("part"), "*"))
 
 
+_TABLES = "size int, toxic int, grams binary, totals binary, kinds binary"
+
+
+def _dense(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The three tables of one size and class as compressed arrays; a group has at most two rows for each slot."""
+    arrays = []
+    for part, column in ((0, "total"), (1, "total"), (1, "kinds")):
+        some, table = rows[rows["part"] == part], np.zeros(SLOTS, dtype=np.float32)
+        table[some["slot"]] = some[column]
+        arrays.append(zlib.compress(table.tobytes(), 1))
+    return pd.DataFrame([(*key, *arrays)], columns=["size", "toxic", "grams", "totals", "kinds"])
+
+
 class Models:
-    """Both models in arrays; ``ratio`` gives the log-likelihood ratio of each word."""
+    """Both models; tables travel compressed and are unpacked where they are used."""
 
     def __init__(self, tables: DataFrame) -> None:
-        """From what ``gather`` gives; one table of at most ``SLOTS`` rows is taken at a time."""
+        """From what ``gather`` gives, packed by tasks and fetched one after the other."""
+        packed = tables.groupBy("size", "toxic").applyInPandas(_dense, _TABLES)
+        self.packed = {(row.size_, row.toxic): row[2:] for row in packed.withColumnRenamed("size", "size_").toLocalIterator()}
         self.grams: dict[tuple[int, int], np.ndarray] = {}
         self.heads: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for size, toxic in [(s, _BOTH) for s in (*range(1, SHARED + 1), _TOP)] + [(s, t) for s in (*OWN, _TOP) for t in (0, 1)]:
-            rows = tables.where((F.col("size") == size) & (F.col("toxic") == toxic))
-            part = rows.select(F.col("part").cast("tinyint"), "slot", F.col("total").cast("float"), F.col("kinds").cast("float")).toPandas()
-            if not len(part):
-                continue
-            filled = []
-            for number in (0, 1):
-                some = part[part["part"] == number]
-                total, kinds = np.zeros(SLOTS, dtype=np.float32), np.zeros(SLOTS, dtype=np.float32)
-                total[some["slot"]], kinds[some["slot"]] = some["total"], some["kinds"]
-                filled.append((total, kinds))
-            self.grams[size, toxic], self.heads[size, toxic] = filled[0][0], filled[1]
+
+    def unpack(self) -> Models:
+        for key, tables in self.packed.items():
+            if key not in self.grams:
+                self.grams[key], *heads = (np.frombuffer(zlib.decompress(bytes(table)), dtype=np.float32) for table in tables)
+                self.heads[key] = tuple(heads)
+        return self
 
     def _better(self, key, slots, place, lower: np.ndarray) -> np.ndarray:
         """Interpolates counts above ``lower``, where their context is known."""
@@ -215,6 +226,7 @@ def _features(models):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         table = np.zeros((0, 2))
+        tool = models.value.unpack()
         for batch in batches:
             rows = []
             for group in _runs_of(batch.column("text").to_pylist()):
@@ -225,7 +237,7 @@ def _features(models):
                 if first + len(fresh) > len(table):
                     table = np.concatenate([table[:first], np.zeros((max(first, len(fresh), 4096), 2))])
                 if fresh:
-                    table[first : first + len(fresh)] = models.value.ratios(fresh)
+                    table[first : first + len(fresh)] = tool.ratios(fresh)
                     known.update(zip(fresh, range(first, first + len(fresh))))
                 rows += [figures_of(table[[*map(known.__getitem__, words)]]) for words in group]
             figures = np.array(rows, dtype=np.float64).reshape(-1, len(FIGURES))
