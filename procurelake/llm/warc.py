@@ -99,8 +99,8 @@ class _Package:
         self.at += len(data)
         self.records += 1
 
-    def full(self) -> bool:
-        return self.at >= PACKAGE_BYTES or self.records >= PACKAGE_RECORDS
+    def full(self, records: int) -> bool:
+        return self.at >= PACKAGE_BYTES or self.records >= records
 
     def close(self) -> tuple[str, int]:
         self.member.close()
@@ -124,7 +124,7 @@ def _optional(value) -> int | None:
     return None if value is None or pd.isna(value) else int(value)
 
 
-def _write(target: str):
+def _write(target: str, records: int):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, folder = _files(target)
         task = TaskContext.get()
@@ -139,7 +139,7 @@ def _write(target: str):
                 package = package or _Package(files, f"{stem}-{len(done)}.zip")
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 package.add(_optional(page), url, kind, digest, int(size), _optional(refers), payload)
-                if package.full():
+                if package.full(records):
                     done.append(package.close())
                     package = None
         if package:
@@ -169,9 +169,11 @@ def record_types(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, target: str, least: int = LEAST_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, target: str, least: int = LEAST_BYTES, records: int = PACKAGE_RECORDS) -> DataFrame:
     """Write ``pages`` (``page_id``, ``url``, ``html``) below ``target``; returns the packages (``package``, ``records``).
 
+    A package is closed at ``records`` records or 64 MiB; a page has one record, so none is left out.
+
     A null html is an empty payload; a null page_id or url leaves its header out; repeated rows are one response and
     revisits; an empty table writes no package; further columns are ignored. ``pages`` is read twice and must give
     the same rows in the same order, as a table of files does; a task that sees another payload fails.
@@ -183,7 +185,7 @@ def write_archives(pages: DataFrame, target: str, least: int = LEAST_BYTES) -> D
     revisits = types.where("kind = 'revisit'").withColumn("html", F.lit(None).cast("string"))
     columns = ["page_id", "url", "html", "sha1", "size", "kind", "refers_to"]
     both = responses.select(columns).union(revisits.select(columns))
-    return staged(both.mapInPandas(_write(_uri(target)), PACKAGES), "packages")
+    return staged(both.mapInPandas(_write(_uri(target), records), PACKAGES), "packages")
 
 
 def package_records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:

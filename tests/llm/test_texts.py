@@ -165,11 +165,10 @@ def test_zip_directory(wide, monkeypatch):
         zipread.members(io.BytesIO(b"nothing"), 7)
 
 
-def test_archives(spark, monkeypatch):
-    monkeypatch.setattr(warc, "PACKAGE_RECORDS", 7)
+def test_archives(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i % 9}</p>") for i in range(40)] + [(50, None, None), (51, "u\r\nX: y", ""), (52, "u", "ü" * 300_000), (None, "u", "<p>1</p>"), (53, "u", "t"), (53, "u", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit("own")).withColumn("kind", F.lit("own"))
-    packages = warc.write_archives(df, scratch_path(spark, "warc"))
+    packages = warc.write_archives(df, scratch_path(spark, "warc"), records=7)
     got = warc.read_archives(packages).collect()
     assert len(got) == len(rows) and packages.count() > 3
     first = {}
