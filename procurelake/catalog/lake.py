@@ -22,11 +22,7 @@ from procurelake.sinks import writers
 from procurelake.sources import scans
 from procurelake.streaming import incremental
 
-# Releases appear at the start of a month, which keeps the number of day folders small.
-_MONTH_START = r"regexp_replace({0}, '^(\d{{4}}-\d{{2}})-\d{{2}}', '\1-01')"
-_RELEASE_DAY = "coalesce({0}, {1})".format(
-    date_sql(_MONTH_START.format("publication_date")), _MONTH_START.format("tender_start_date")
-)
+_RELEASE_DAY = "coalesce({0}, {1})".format(date_sql("publication_date"), date_sql("tender_start_date"))
 _COUNTRY = """CASE WHEN seq % 50 = 7 THEN 'atlantis' WHEN seq % 3 = 0 THEN 'kosovo' WHEN seq % 3 = 1 THEN 'uk'
   ELSE 'portugal' END"""
 
@@ -38,16 +34,51 @@ _COUNTRY = """CASE WHEN seq % 50 = 7 THEN 'atlantis' WHEN seq % 3 = 0 THEN 'koso
 )
 def bronze_days(spark, sf_dir):
     """Releases written by country and day; the number per day as written."""
-    start = lambda c: F.regexp_replace(c, r"^(\d{4}-\d{2})-\d{2}", "$1-01")
-    monthly = releases(spark, sf_dir).drop("seq").withColumns(
-        {
-            "date": start(F.col("date")),
-            "tender": F.col("tender").withField(
-                "tenderPeriod.startDate", start(F.col("tender.tenderPeriod.startDate"))
-            ),
-        }
-    )
-    return writers.write_bronze(monthly, scratch_path(spark, "bronze"), "2025-03-15T00:00:00Z")
+    rows = releases(spark, sf_dir).drop("seq")
+    return writers.write_bronze(rows, scratch_path(spark, "bronze"), "2025-03-15T00:00:00Z")
+
+
+@query(
+    "bronze_append",
+    f"""{WITH_SILVER} SELECT {_RELEASE_DAY} AS release_date, COUNT(*) AS records FROM raw WHERE seq % 10 = 3 GROUP BY 1""",
+)
+def bronze_append(spark, sf_dir):
+    """A second call into the same store counts its own releases only."""
+    path = scratch_path(spark, "bronze")
+    rows = releases(spark, sf_dir).where("seq % 10 = 3").drop("seq")
+    writers.write_bronze(rows, path, "2025-03-15T00:00:00Z")
+    return writers.write_bronze(rows, path, "2025-03-16T00:00:00Z")
+
+
+@query(
+    "bronze_license",
+    f"""{WITH_SILVER} SELECT 'dados.gov.pt' AS portal, 2 AS restrictions, '2025-03-15T00:00:00Z' AS extracted, COUNT(*) AS records
+      FROM raw WHERE seq % 10 = 3 AND {_RELEASE_DAY} IS NOT NULL""",
+)
+def bronze_license(spark, sf_dir):
+    """The licence block of stored releases, read back."""
+    path = scratch_path(spark, "bronze")
+    writers.write_bronze(releases(spark, sf_dir).where("seq % 10 = 3").drop("seq"), path, "2025-03-15T00:00:00Z")
+    stored = spark.read.schema("license struct<portal:string,restrictions:array<string>,extraction_timestamp:string>").json(path)
+    return stored.groupBy(
+        F.col("license.portal").alias("portal"), F.size("license.restrictions").alias("restrictions"),
+        F.col("license.extraction_timestamp").alias("extracted"),
+    ).agg(F.count("*").alias("records"))
+
+
+@query(
+    "bronze_files_per_country",
+    f"""{WITH_SILVER}, held AS (SELECT DISTINCT {_COUNTRY} AS country FROM raw)
+      SELECT w.country, held.country IS NOT NULL AS has_files FROM (VALUES ('atlantis'), ('kosovo'), ('uk'), ('portugal'), ('nowhere')) w(country)
+      LEFT JOIN held USING (country)""",
+)
+def bronze_files_per_country(spark, sf_dir):
+    """Files per expected country, those without any included; their number depends on the writer."""
+    path = scratch_path(spark, "bronze")
+    releases(spark, sf_dir).select("country", "ocid").hint("rebalance", "country").write.mode("overwrite").partitionBy("country").json(path)
+    expected = spark.createDataFrame([(c,) for c in ("atlantis", "kosovo", "uk", "portugal", "nowhere")], "country string")
+    listing = scans.file_listing(spark, path, "*.json")
+    return profile.files_per_country(listing, expected, path.rsplit("/", 1)[1]).select("country", (F.col("files") > 0).alias("has_files"))
 
 
 @query(
@@ -233,8 +264,26 @@ def export_json(spark, sf_dir):
 )
 def row_cap(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    rows, more = profile.capped(orders.orderBy(F.desc("o_totalprice"), "o_orderkey"), 1000)
-    return rows.withColumn("truncated", F.lit(more))
+    return profile.capped(orders.orderBy(F.desc("o_totalprice"), "o_orderkey"), 1000)
+
+
+@query("parquet_limit", "SELECT least(1000, COUNT(*)) AS records FROM lineitem")
+def parquet_limit(spark, sf_dir):
+    """A capped Parquet read: which rows is open, their number is not."""
+    return scans.parquet(spark, f"{sf_dir}/lineitem.parquet", 1000).agg(F.count("*").alias("records"))
+
+
+@query(
+    "export_csv_arrays",
+    f"""{WITH_GOLD} SELECT ocid, '[' || array_to_string(list_transform(supplier_names, lambda x: '"' || replace(x, '"', '\\"') || '"'), ',') || ']' AS suppliers
+      FROM gold WHERE len(supplier_names) > 0""",
+)
+def export_csv_arrays(spark, sf_dir):
+    """Array columns as JSON text in CSV, read back."""
+    path = scratch_path(spark, "export")
+    rows = gold(spark, sf_dir).where(F.size("supplier_names") > 0)
+    writers.export(rows.select("ocid", F.col("supplier_names").alias("suppliers")), path, "csv")
+    return spark.read.schema("ocid string, suppliers string").option("header", True).option("escape", '"').csv(path)
 
 
 # ---------------------------------------------------------------- incremental
@@ -257,14 +306,8 @@ def incremental_files(spark, sf_dir):
     done = listing.where(F.col("path").contains("event_type=click/"))
     incremental.append_ledger(done.select("path", F.now().alias("processed_at")), ledger)
     processed = incremental.read_ledger(spark, ledger, schemas.PROCESSED_FILES_SCHEMA)
-    todo = incremental.unseen_files(listing, processed)
-    rows = spark.read.schema("event_id bigint, event_type string").parquet(path)
-    # The listing writes 'file:/…' and the scan 'file:///…', so paths are compared without slashes after the scheme.
-    tail = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
-    kept = rows.join(
-        todo.select(tail(F.col("path")).alias("_path")), tail(scans.file_path()) == F.col("_path"), "left_semi"
-    )
-    return kept.groupBy("event_type").agg(F.count("*").alias("records"))
+    rows = incremental.read_unseen(listing, processed, "event_id bigint, event_type string", path)
+    return rows.groupBy("event_type").agg(F.count("*").alias("records"))
 
 
 @query("changed_files", "SELECT event_type FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'click'")
@@ -322,6 +365,24 @@ def stream_hash_dedup(spark, sf_dir):
     return stored.groupBy("user_id", "event_type").agg(F.count("record_hash").alias("records"))
 
 
+@query(
+    "stream_two_checkpoints",
+    """SELECT user_id, event_type, COUNT(DISTINCT props) AS records FROM events GROUP BY user_id, event_type""",
+)
+def stream_two_checkpoints(spark, sf_dir):
+    """Two sources with checkpoints of their own, then a lost checkpoint, into one target: each hash once, none erased."""
+    target, folder = scratch_path(spark, "once"), scratch_path(spark, "events")
+    events = table(spark, sf_dir, "events")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).write.parquet(f"{folder}/{half}")
+    for half in (0, 1, 1):
+        stream = incremental.file_stream(spark, f"{folder}/{half}", events.schema, "parquet", files_per_batch=1)
+        checkpoint = scratch_path(spark, "checkpoint")
+        incremental.write_once(stream, target, checkpoint, [F.col("event_id")], _event_records).awaitTermination()
+    stored = spark.read.schema("user_id bigint, event_type string, record_hash string").parquet(target)
+    return stored.groupBy("user_id", "event_type").agg(F.count("record_hash").alias("records"))
+
+
 @query(
     "stream_unique_within",
     """SELECT event_type, COUNT(DISTINCT md5(coalesce(CAST(user_id AS VARCHAR), 'None') || '|' || event_type || '|' || props))

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procurelake.operators import skew
-
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key in ``order``, a total order; NULL keys are equal to each other."""
@@ -80,29 +78,28 @@ def mark_latest(
 
 
 def duplicate_groups(df: DataFrame, hash_column: str = "record_hash") -> DataFrame:
-    """Hashes occurring more than once with their number of rows."""
-    return df.groupBy(hash_column).agg(F.count("*").alias("occurrences")).where(F.col("occurrences") > 1)
+    """Hashes occurring more than once with their number of rows; rows without a hash are no group."""
+    return df.where(F.col(hash_column).isNotNull()).groupBy(hash_column).agg(F.count("*").alias("occurrences")).where(F.col("occurrences") > 1)
 
 
-def duplicate_members(
-    df: DataFrame, hash_column: str = "record_hash", hot_rows: int = skew.HOT_ROWS
-) -> DataFrame:
+def duplicate_members(df: DataFrame, hash_column: str = "record_hash") -> DataFrame:
     """Every row that belongs to a duplicate group, with the size of its group.
 
-    Members stay rows: a group is never gathered in a list.
+    Members stay rows: a group is never gathered in a list. The sizes are one row per hash, counted before the
+    shuffle; adaptive execution splits the rows of a large group over several tasks of the join.
     """
-    groups = duplicate_groups(df.where(F.col(hash_column).isNotNull()), hash_column)
-    return skew.attach_to_rows(df, groups, hash_column, "occurrences", hot_rows)
+    return df.where(F.col(hash_column).isNotNull()).join(duplicate_groups(df, hash_column), hash_column)
 
 
 def duplicate_summary(df: DataFrame, hash_column: str = "record_hash") -> DataFrame:
-    """One row: records, unique hashes, duplicate groups, surplus rows, rate."""
-    sizes = df.groupBy(hash_column).agg(F.count("*").alias("n"))
+    """One row: records, unique hashes, duplicate groups, surplus rows, rate. A row without a hash is unique."""
+    sizes = df.groupBy(F.col(hash_column).alias("hash")).agg(F.count("*").alias("n"))
+    named = F.col("hash").isNotNull()
     totals = sizes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
-        F.count("*").alias("unique_hashes"),
-        F.count_if(F.col("n") > 1).alias("duplicate_groups"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("duplicate_records"),
+        F.coalesce(F.sum(F.when(named, 1).otherwise(F.col("n"))), F.lit(0)).alias("unique_hashes"),
+        F.count_if(named & (F.col("n") > 1)).alias("duplicate_groups"),
+        F.coalesce(F.sum(F.when(named & (F.col("n") > 1), F.col("n") - 1)), F.lit(0)).alias("duplicate_records"),
     )
     rate = 1 - F.col("unique_hashes") / F.col("total_records")
     return totals.withColumn(
@@ -118,7 +115,7 @@ def duplicate_report(
     The broadcast side holds ``groups`` rows by construction.
     """
     largest = (
-        duplicate_groups(df.where(F.col(hash_column).isNotNull()), hash_column)
+        duplicate_groups(df, hash_column)
         .orderBy(F.col("occurrences").desc(), F.col(hash_column))
         .limit(groups)
     )

@@ -2,10 +2,12 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer,
 and a window per group sorts it in one task. Here values are first counted per
-(group, value); the counts are added up per narrow band of values; the one or two bands
-that hold the middle ranks are found from the band totals, and only those bands
-are ordered. One band spans 1/1024 of an octave, so a group has a bounded number of bands
-whatever its size.
+(group, value); the counts are added up per band of values; the one or two bands
+that hold the middle ranks are found from the band totals, and only they are looked at further. One
+band spans 1/1024 of an octave at first, so a group has a bounded number of bands whatever its size. Values
+that lie close together, such as large numbers in sequence, share such a band, so it is cut into ``_SLICES`` equal
+slices between its own smallest and largest value, twice; what is ordered in the end is
+one slice of a slice.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BANDS_PER_OCTAVE = 1024
+_SLICES = 1024
+_ROUNDS = 2
 _SHIFT = 1100 * _BANDS_PER_OCTAVE
 _MAX_LOG2 = 1025.0
 
@@ -40,35 +44,45 @@ def exact_median(df: DataFrame, keys: list[str], value: Column, name: str = "med
     for name_ in [*keys, "_v", "_band"]:
         rows = rows.where(F.col(name_).isNotNull())
     counts = rows.groupBy(*keys, "_band", "_v").agg(F.count("*").alias("_n"))
-
-    running = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
-    bands = (
-        counts.groupBy(*keys, "_band")
-        .agg(F.sum("_n").alias("_in_band"))
-        .withColumn("_upto", F.sum("_in_band").over(running))
-        .withColumn("_total", F.sum("_in_band").over(Window.partitionBy(*keys)))
-        .withColumn("_lo", F.expr("(_total + 1) DIV 2"))
-        .withColumn("_hi", F.expr("_total DIV 2 + 1"))
-        .withColumn("_before", F.col("_upto") - F.col("_in_band"))
-    )
-
-    def covers(rank: str, before: str, upto: str) -> Column:
-        return (F.col(rank) > F.col(before)) & (F.col(rank) <= F.col(upto))
-
-    middle = bands.where(covers("_lo", "_before", "_upto") | covers("_hi", "_before", "_upto")).select(
-        *keys, "_band", "_before", "_lo", "_hi"
-    )
-    within = Window.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        counts.join(middle, [*keys, "_band"])
-        .withColumn("_to", F.col("_before") + F.sum("_n").over(within))
-        .withColumn("_from", F.col("_to") - F.col("_n"))
-    )
+    bands = counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("_in_band"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    total = F.sum("_in_band").over(Window.partitionBy(*keys))
+    ranks = {"_lo": (total + 1) / 2, "_hi": total / 2 + 1}
+    bands = bands.withColumns({name_: F.floor(rank) for name_, rank in ranks.items()}).withColumn("_start", F.lit(0).cast("bigint"))
+    middle = _middle(bands, keys, "_band")
+    part = [*keys, "_band"]
+    kept = counts.join(middle, part)
+    for number in range(_ROUNDS):
+        slice_ = f"_slice{number}"
+        width = (F.col("_max") - F.col("_min")) / _SLICES
+        place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_min")) / width), F.lit(_SLICES - 1))).otherwise(F.lit(0))
+        sliced = kept.withColumn(slice_, place).drop("_min", "_max")
+        sums = sliced.groupBy(*part, slice_).agg(
+            F.sum("_n").alias("_in_band"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+            *[F.first(c).alias(c) for c in ("_start", "_lo", "_hi")],
+        )
+        found = _middle(sums, part, slice_)
+        part = [*part, slice_]
+        kept = sliced.drop("_start", "_lo", "_hi").join(found, part)
+    within = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = kept.withColumn("_to", F.col("_start") + F.sum("_n").over(within)).withColumn("_from", F.col("_to") - F.col("_n"))
     return (
         ranked.groupBy(*keys)
         .agg(
-            F.max(F.when(covers("_lo", "_from", "_to"), F.col("_v"))).alias("_a"),
-            F.max(F.when(covers("_hi", "_from", "_to"), F.col("_v"))).alias("_b"),
+            F.max(F.when(_covers("_lo", "_from", "_to"), F.col("_v"))).alias("_a"),
+            F.max(F.when(_covers("_hi", "_from", "_to"), F.col("_v"))).alias("_b"),
         )
         .select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(name))
     )
+
+
+def _covers(rank: str, before: str, upto: str) -> Column:
+    return (F.col(rank) > F.col(before)) & (F.col(rank) <= F.col(upto))
+
+
+def _middle(sums: DataFrame, part: list[str], band: str) -> DataFrame:
+    """The bands of each part that hold a middle rank, with the number of values before them as ``_start``."""
+    running = Window.partitionBy(*part).orderBy(band).rowsBetween(Window.unboundedPreceding, 0)
+    upto = sums.withColumn("_upto", F.col("_start") + F.sum("_in_band").over(running))
+    upto = upto.withColumn("_start", F.col("_upto") - F.col("_in_band"))
+    held = upto.where(_covers("_lo", "_start", "_upto") | _covers("_hi", "_start", "_upto"))
+    return held.select(*part, band, "_start", "_lo", "_hi", "_min", "_max")

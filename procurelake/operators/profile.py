@@ -9,9 +9,7 @@ from pyspark.sql import types as T
 from procurelake.operators.median import exact_median
 
 TOP_VALUES = 5
-SAMPLE_ROWS, SAMPLE_VALUES = 100, 5
-SUMMARY_THRESHOLD, SUMMARY_ROWS = 100, 20
-MAX_ROWS = 10_000
+SAMPLE_VALUES = 5
 _NUMERIC = (T.NumericType, T.BooleanType)
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -109,20 +107,22 @@ def column_profile(df: DataFrame) -> DataFrame:
     return profile
 
 
-def capped(df: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, bool]:
-    """At most ``max_rows`` rows of a result and whether there were more."""
-    more = df.limit(max_rows + 1).count() > max_rows
-    return df.limit(max_rows), more
+def capped(df: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` rows of a result, with ``truncated``: whether there were more.
+
+    One pass: one row more than asked for is taken, and only those rows are numbered.
+    """
+    taken = df.limit(max_rows + 1).withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at"))
+    total = F.count(F.lit(1)).over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    numbered = taken.withColumns({"_place": place, "truncated": total > max_rows})
+    return numbered.where(F.col("_place") <= max_rows).drop("_at", "_place")
 
 
-def summarize(df: DataFrame, threshold: int = SUMMARY_THRESHOLD) -> dict[str, object]:
-    """A short result as it is; a longer one as sample, numeric figures and distinct counts."""
-    if df.limit(threshold).count() < threshold:
-        return {"is_summary": False, "full_data": df}
+def summarize(df: DataFrame) -> dict[str, DataFrame]:
+    """Number of rows, figures of the numeric columns and distinct counts of the text columns, whatever the size."""
     return {
-        "is_summary": True,
-        "total_rows": df.count(),
-        "sample_rows": df.limit(SUMMARY_ROWS),
+        "total_rows": df.agg(F.count(F.lit(1)).alias("total_rows")),
         "summary_stats": numeric_summary(df),
         "unique_counts": distinct_counts(df),
     }
@@ -133,22 +133,27 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     return numeric.join(column_medians(df), "column").select("column", "min", "max", "mean", "median")
 
 
-def table_samples(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Per column up to five distinct values of the first hundred rows; arrays as '[array]'."""
-    first = df.orderBy(*order).limit(SAMPLE_ROWS).withColumn("_at", F.row_number().over(Window.orderBy(*order)))
+def table_samples(df: DataFrame, order: list[Column], values: int = SAMPLE_VALUES) -> DataFrame:
+    """Per column the first distinct values of the table in ``order``; arrays as '[array]'.
+
+    The place of a value is the least ``order`` key of its rows, an aggregate that combines before
+    the shuffle; of each column ``values`` rows a task go on to the ranking.
+    """
     shown = {
         f.name: F.lit("[array]") if isinstance(f.dataType, T.ArrayType) else F.col(f"`{f.name}`").cast("string")
         for f in df.schema.fields
     }
+    at = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     cells = [F.struct(F.lit(n).alias("column"), c.alias("sample"), F.col("_at")) for n, c in shown.items()]
     seen = (
-        first.select(F.inline(F.array(*cells)))
+        df.withColumn("_at", at)
+        .select(F.inline(F.array(*cells)))
         .where(F.col("sample").isNotNull())
         .groupBy("column", "sample")
         .agg(F.min("_at").alias("_at"))
     )
     place = F.row_number().over(Window.partitionBy("column").orderBy("_at", "sample"))
-    return seen.withColumn("place", place).where(F.col("place") <= SAMPLE_VALUES).select("column", "place", "sample")
+    return seen.withColumn("place", place).where(F.col("place") <= values).select("column", "place", "sample")
 
 
 def describe_table(df: DataFrame) -> DataFrame:
@@ -217,6 +222,16 @@ def file_stats(scan: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def files_per_country(listing: DataFrame, expected: DataFrame, source: str) -> DataFrame:
+    """``country, files, size_bytes`` of every expected country, those without files included; content is not read."""
+    country = F.regexp_extract("path", rf"/{source}/(?:country=)?([^/]+)/", 1).alias("country")
+    held = listing.select(country, "length").groupBy("country").agg(F.count("*").alias("files"), F.sum("length").alias("size_bytes"))
+    nothing = F.lit(0).cast("bigint")
+    return expected.join(held, "country", "left").select(
+        "country", F.coalesce("files", nothing).alias("files"), F.coalesce("size_bytes", nothing).alias("size_bytes")
+    )
+
+
 def partition_stats(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("records"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procurelake.operators import dedup, profile, quality
-from procurelake.session import staged
+from procurelake.session import staging
 from procurelake.sinks import writers
 from procurelake.sources import scans
 
@@ -34,33 +37,44 @@ def load_silver(
     """Append the new records of ``records`` to ``path``.
 
     The records are computed once and staged, since report, ledger comparison and write
-    all read them. The comparison reads only months that the records touch.
+    all read them. The comparison reads only the months that the records touch.
 
     ``order`` holds plain columns that tell all rows apart; columns named ``_…`` only serve it
     and are not stored. Returns rows per partition as written by this call. The batch folder is
-    named after the number of the run, so that it can be read back alone.
+    named after the run, so that it can be read back alone; the staged copy goes when it is written.
     """
     spark = records.sparkSession
-    rows = writers.silver_rows(staged(records))
-    if report_path:
-        writers.write_report(quality.full_report(rows, as_of, source), report_path)
-    fresh = rows
-    if deduplicate:
-        fresh = dedup.new_records(rows, stored_hashes(spark, path), order, also=("year", "month"))
-    folder = f"{path}/batch={_next_batch(spark, path)}"
-    writers.write_silver(fresh.select(*[c for c in fresh.columns if not c.startswith("_")]), folder)
+    folder = f"{path}/batch={_run_name()}"
+    with staging(records) as stored:
+        rows = writers.silver_rows(stored)
+        if report_path:
+            writers.write_report(quality.full_report(rows, as_of, source), report_path)
+        fresh = rows
+        if deduplicate:
+            seen = stored_hashes(spark, path).where(_months_of(rows))
+            fresh = dedup.new_records(rows, seen, order, also=("year", "month"))
+        writers.write_silver(fresh.select(*[c for c in fresh.columns if not c.startswith("_")]), folder)
     written = spark.read.schema("source_country string, year string, month string").parquet(folder)
     return profile.partition_stats(written, writers.SILVER_KEYS)
 
 
-def _next_batch(spark, path: str) -> int:
-    """One more than the batches stored so far; only folder names are listed."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    filesystem = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not filesystem.exists(target):
-        return 0
-    names = [entry.getPath().getName() for entry in filesystem.listStatus(target)]
-    return 1 + max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=-1)
+def _months_of(rows: DataFrame) -> Column:
+    """The partitions that ``rows`` touch, as literals that the scan of the stored table is pruned by.
+
+    The list is one entry per calendar month, so it is bounded by the years that publications span.
+    """
+    months: dict[str, list[str]] = {}
+    for year, month in rows.select("year", "month").distinct().collect():
+        months.setdefault(year, []).append(month)
+    found = F.lit(False)
+    for year, of_year in sorted(months.items()):
+        found = found | ((F.col("year") == year) & F.col("month").isin(*sorted(of_year)))
+    return found
+
+
+def _run_name() -> str:
+    """Sorts by time and is unique to the run, so that loads at the same time keep apart."""
+    return f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
 
 
 def silver_totals(spark, path: str) -> DataFrame:

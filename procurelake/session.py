@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if configured:
+        if configured.startswith(("file:", "/")) and not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is a local folder; executors of a cluster need a shared one")
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
@@ -63,3 +67,16 @@ def staged(df: DataFrame, label: str = "staged") -> DataFrame:
     path = f"{scratch_path(df.sparkSession, label)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def staging(df: DataFrame, label: str = "staged") -> Iterator[DataFrame]:
+    """``df`` staged for the steps inside the block; its folder goes when the block ends, done or failed."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    try:
+        df.write.parquet(f"{path}/rows")
+        yield spark.read.schema(df.schema).parquet(f"{path}/rows")
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from procurelake.functions import dates
 from procurelake.operators import validation
@@ -57,15 +58,13 @@ def bronze_rows(releases: DataFrame, extracted_at: str | Column | None = None) -
 
 
 def write_bronze(releases: DataFrame, path: str, extracted_at: str | Column | None = None, mode: str = "append") -> DataFrame:
-    """Releases as JSON lines by country and day; returns the number of releases per day as written.
+    """Releases as JSON lines by country and day; returns the number of releases per day of this call.
 
-    The count needs partition columns only, so no line is parsed for it.
+    What the store held before doesn't count; the count needs the date columns of ``releases`` only.
     """
     rows = bronze_rows(releases, extracted_at).withColumnRenamed("_metadata_license", "license")
     _partitioned(rows, BRONZE_KEYS, mode).option("compression", "none").json(path)
-    parts = ", ".join(f"{k} string" for k in BRONZE_KEYS)
-    written = rows.sparkSession.read.schema(parts).json(path)
-    per_day = written.groupBy(*BRONZE_KEYS[1:]).agg(F.count("*").alias("records"))
+    per_day = rows.groupBy(*BRONZE_KEYS[1:]).agg(F.count("*").alias("records"))
     return per_day.select(F.concat_ws("-", *BRONZE_KEYS[1:]).alias("release_date"), "records")
 
 
@@ -110,10 +109,16 @@ def write_report(df: DataFrame, path: str, mode: str = "append") -> None:
     df.coalesce(1).write.mode(mode).json(path)
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    """Arrays, maps and structs as JSON text, which CSV has no form for."""
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    return df.withColumns({n: F.to_json(f"`{n}`") for n in nested}) if nested else df
+
+
 def export(df: DataFrame, path: str, kind: str = "json", mode: str = "overwrite") -> None:
-    writer = df.write.mode(mode)
+    writer = (_flat(df) if kind == "csv" else df).write.mode(mode)
     if kind == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     elif kind == "json":
         writer.json(path)
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from procurelake import schemas
 
 RELEASE_FILES = "records_*.json"
 BAD_LINE = "_bad_line"
+# What Spark calls a folder without files of the kind.
+_ABSENT = ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND")
 # Path parts of files that hold no Silver records.
 _SIDE_FILES = ("processing_state", "quality")
 # File names of the relational extract.
@@ -127,8 +131,27 @@ def _folder_value(path: Column, key: str) -> Column:
     return F.when(value == "__HIVE_DEFAULT_PARTITION__", "").when(raw != "", value)
 
 
-def silver(spark: SparkSession, root: str, source: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """All Parquet files of one source, without state and quality files and unreadable ones.
+def _below(root: str) -> Column:
+    """The path of a file below ``root``, whatever scheme either is written with; the whole path where it isn't below."""
+    bare = re.sub(r"^[a-z0-9+.-]+:/*", "/", root.rstrip("/")) + "/"
+    found = F.instr(file_path(), F.lit(bare))
+    return F.when(found > 0, F.substr(file_path(), found + F.lit(len(bare)))).otherwise(file_path())
+
+
+def files_without_rows(spark: SparkSession, root: str, source: str, rows: DataFrame) -> DataFrame:
+    """Side table of ``silver`` with ``skip_unreadable``: ``path`` of the files that gave no row."""
+    bare = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/*", "/")
+    listed = file_listing(spark, f"{root}/{source}", "*.parquet").select("path")
+    read = rows.select(bare(F.col("_file")).alias("_read")).distinct()
+    return listed.join(read, bare(F.col("path")) == F.col("_read"), "left_anti")
+
+
+def silver(
+    spark: SparkSession, root: str, source: str, schema: T.StructType | None = None, skip_unreadable: bool = False
+) -> DataFrame | None:
+    """All Parquet files of one source, without state and quality files; None if the source has none.
+
+    An unreadable file fails the job unless ``skip_unreadable`` is set; ``files_without_rows`` then lists what gave nothing.
 
     Folders may be laid out as ``key=value`` or not; a country that only stands in the folder
     name is read from there. Without a ``schema`` the footers of all files are merged.
@@ -136,15 +159,17 @@ def silver(spark: SparkSession, root: str, source: str, schema: T.StructType | N
     path = f"{root}/{source}"
     if not _exists(spark, path):
         return None
-    reader = spark.read.option("ignoreCorruptFiles", True)
+    reader = spark.read.option("ignoreCorruptFiles", skip_unreadable)
     reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
     try:
         scan = reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in _ABSENT:
+            return None
+        raise
     data = scan
     for part in _SIDE_FILES:
-        data = data.where(~file_path().substr(F.length(F.lit(path)), F.lit(4096)).contains(part))
+        data = data.where(~_below(path).contains(part))
     marked = data.withColumns({"_file": file_path(), "_row": F.col("_metadata.row_index")})
     country = _folder_value(F.col("_file"), "source_country")
     if "source_country" in marked.columns:
@@ -168,8 +193,13 @@ def parquet(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
 
 
 def contract_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Contract rows from CSV files with a header."""
-    return spark.read.schema(schemas.CONTRACT_SCHEMA).option("header", True).option("multiLine", False).csv(path)
+    """Contract rows from CSV files, by the names in their header: all columns as text, known ones without a column as NULL.
+
+    Files whose headers differ are read one kind at a time by the caller. Quoted texts may hold line breaks.
+    """
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    absent = [f for f in schemas.CONTRACT_SCHEMA.fields if f.name not in rows.columns]
+    return rows.withColumns({f.name: F.lit(None).cast("string") for f in absent}) if absent else rows
 
 
 def file_listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

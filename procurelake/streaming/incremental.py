@@ -1,7 +1,7 @@
 """Incremental loading: unseen files, changed files, hashes written once.
 
 The stream twin keeps its file ledger in the checkpoint; every micro-batch writes
-its own folder and compares with the folders of other batches only, so that a
+a folder of its own, named after query and batch, and compares with all other folders, so that a
 batch repeated after a failure replaces its own output and never loses or doubles a row.
 """
 
@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from procurelake.operators import dedup
-from procurelake.session import staged
+from procurelake.session import staging
 from procurelake.sources import scans
 
-BATCH = "batch"
+STREAM, BATCH = "stream", "batch"
+FILES_PER_BATCH = 1000
 
 
 # ------------------------------------------------------------------ batch twin
@@ -27,6 +28,19 @@ def unseen_files(listing: DataFrame, processed: DataFrame) -> DataFrame:
     return listing.join(processed.select("path"), "path", "left_anti")
 
 
+def read_unseen(listing: DataFrame, processed: DataFrame, schema: T.StructType | str, base: str, kind: str = "parquet") -> DataFrame:
+    """Rows of the files that the ledger lacks; no other file is opened or even listed by the scan.
+
+    Paths go to the scan as any list of files does, through the driver; rows don't. Partition columns come from the
+    folders below ``base``.
+    """
+    spark = listing.sparkSession
+    paths = [row.path for row in unseen_files(listing, processed).select("path").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).format(kind).load(paths)
+
+
 def changed_files(digests: DataFrame, extracted: DataFrame) -> DataFrame:
     """Files that are new or whose content differs from the ledger's latest entry."""
     known = extracted.groupBy("key").agg(F.max_by("md5_hash", "timestamp").alias("_known"))
@@ -66,18 +80,26 @@ def ledger_totals(extracted: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- stream twin
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json", **options) -> DataFrame:
-    """Stream of the files below ``path``; files already seen are in the checkpoint of the query."""
-    return spark.readStream.schema(schema).options(**options).format(kind).load(path)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json", files_per_batch: int = FILES_PER_BATCH, **options) -> DataFrame:
+    """Stream of the files below ``path``; files already seen are in the checkpoint of the query.
 
+    A backlog is taken in batches of ``files_per_batch`` files.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).options(**options).format(kind).load(path)
 
-def _others(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
-    """Hashes written by earlier batches: one column of the target table."""
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that owns the checkpoint; a new checkpoint has a new one."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def _others(spark: SparkSession, target: str, stream: str, batch_id: int) -> DataFrame:
+    """Hashes in all folders but the one of this batch: one column of the target table."""
     empty = spark.createDataFrame([], "record_hash string")
     if not scans._exists(spark, target):
         return empty
-    stored = spark.read.schema(f"record_hash string, {BATCH} bigint").parquet(target)
-    return stored.where(F.col(BATCH) < batch_id).select("record_hash")
+    stored = spark.read.schema(f"record_hash string, {STREAM} string, {BATCH} bigint").parquet(target)
+    return stored.where((F.col(STREAM) != stream) | (F.col(BATCH) != batch_id)).select("record_hash")
 
 
 def write_once(
@@ -87,14 +109,19 @@ def write_once(
     order: list[Column],
     transform: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Run over all files present, then stop; each ``record_hash`` is written once over all runs."""
+    """Run over all files present, then stop; each ``record_hash`` is written once over all runs.
+
+    A folder belongs to one batch of one query, so queries with checkpoints of their own add to the same target without
+    touching each other's rows, and a lost checkpoint writes nothing twice. Queries into one target run one after the other.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        query = _query_id(spark, checkpoint)
         # Staged, since the comparison and the write both read the batch.
-        records = staged(transform(batch) if transform else batch)
-        fresh = dedup.new_records(records, _others(spark, target, batch_id), order)
-        fresh.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+        with staging(transform(batch) if transform else batch) as records:
+            fresh = dedup.new_records(records, _others(spark, target, query, batch_id), order)
+            fresh.write.mode("overwrite").parquet(f"{target}/{STREAM}={query}/{BATCH}={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(store)

@@ -143,14 +143,45 @@ def test_stream_writes_each_hash_once(spark, tmp_path):
 
 
 def test_repeated_batch_replaces_its_output(spark, tmp_path):
-    """A batch that failed after writing runs again; its own folder is not taken for history."""
-    target = str(tmp_path / "out")
-    records(spark, [1, 2]).write.parquet(f"{target}/batch=0")
-    source = str(tmp_path / "in")
+    """A batch whose commit is lost runs again; its own folder is not taken for history."""
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     records(spark, [1, 2, 3]).write.parquet(source)
-    _run_stream(spark, source, target, str(tmp_path / "checkpoint"))
-    assert sorted(r["tender_id"] for r in spark.read.parquet(target).collect()) == ["1", "2", "3"]
+    _run_stream(spark, source, target, checkpoint)
+    for name in ("0", ".0.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    _run_stream(spark, source, target, checkpoint)
+    hashes = [r["record_hash"] for r in spark.read.parquet(target).collect()]
+    assert len(hashes) == len(set(hashes)) == 3
+
 
+def test_second_and_lost_checkpoints_erase_nothing(spark, tmp_path):
+    target = str(tmp_path / "out")
+    for number, ids in enumerate(([1, 2], [3, 4], [3, 4, 5])):
+        records(spark, ids).write.parquet(str(tmp_path / f"in{number}"))
+        _run_stream(spark, str(tmp_path / f"in{number}"), target, str(tmp_path / f"checkpoint{number}"))
+    hashes = [r["record_hash"] for r in spark.read.parquet(target).collect()]
+    assert len(hashes) == len(set(hashes)) == 5
+
+
+def test_ledger_scan_reads_the_months_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    stored = spark.createDataFrame([(f"h{m}", "2024", f"{m:02d}") for m in range(1, 13)], "record_hash string, year string, month string")
+    stored.write.partitionBy("year", "month").parquet(f"{path}/batch=a")
+    seen = silver_plan.stored_hashes(spark, path).where(silver_plan._months_of(stored.where("month IN ('02', '03')")))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "month" in filters.split("PartitionFilters:")[1].split("]")[0] and "02" in filters
+    assert sorted(r["record_hash"] for r in seen.collect()) == ["h2", "h3"]
+
+
+def test_only_unseen_files_are_scanned(spark, tmp_path):
+    for name in "ab":
+        spark.range(3).write.parquet(str(tmp_path / f"kind={name}"))
+    listing = scans.file_listing(spark, str(tmp_path), "*.parquet")
+    done = listing.where(F.col("path").contains("kind=a/")).select("path")
+    rows = incremental.read_unseen(listing, done, "id bigint, kind string", str(tmp_path))
+    assert rows.count() == 3 and all("kind=b/" in f for f in rows.inputFiles())
+    assert incremental.read_unseen(listing, listing, "id bigint, kind string", str(tmp_path)).count() == 0
 
 def test_shared_folder_comes_from_the_session(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
