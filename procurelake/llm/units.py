@@ -152,7 +152,7 @@ class UnitEncoder:
         return ids, np.bincount(owner[order], weights=sizes, minlength=count).astype(np.int64)
 
 
-def groups(texts: list[str], points: int = 1 << 20) -> Iterator[list[str]]:
+def groups(texts: list[str], points: int = 1 << 19) -> Iterator[list[str]]:
     """Runs of texts of bounded size; a longer text is a run of its own."""
     group: list[str] = []
     size = 0
