@@ -11,6 +11,7 @@ from procurelake.catalog.tenders import (
 from procurelake.functions import lookups
 from procurelake.operators import aggregates, enrich, profile
 from procurelake.plans import questions
+from procurelake.session import staged
 
 _VALUES = f"COUNT(ocid) AS total_records, {money_sql()} AS total_value, {mean_sql()} AS avg_value"
 _GOLD_COLUMNS = (
@@ -24,7 +25,7 @@ _LIST = ", ".join(_GOLD_COLUMNS)
 @query("unified_enriched", f"{WITH_ENRICHED} SELECT {_LIST} FROM enriched")
 def unified_enriched(spark, sf_dir):
     """All sources as frames of their own, united by name and enriched."""
-    tenders = silver(spark, sf_dir)
+    tenders = staged(silver(spark, sf_dir), "silver")
     sources = {tag: tenders.where(F.col("source") == tag).drop("source") for tag in enrich.SOURCE_PRIORITY}
     whole = enrich.enrich(enrich.unify(sources), AS_OF)
     return whole.select(*_GOLD_COLUMNS)
@@ -85,7 +86,9 @@ def dictionary_lookup(spark, sf_dir):
     SELECT base.*, coalesce(sup.n, 0) AS num_suppliers FROM base LEFT JOIN sup USING (source_country)""",
 )
 def country_summary(spark, sf_dir):
-    summary = aggregates.country_summary(gold(spark, sf_dir))
+    # three branches read these columns, so they are computed once
+    columns = ["ocid", "source_country", "tender_value_amount", "buyer_name", "supplier_names", "publication_date"]
+    summary = aggregates.country_summary(staged(gold(spark, sf_dir).select(*columns), "gold"))
     return summary.withColumn("median_value", F.round("median_value", 4))
 
 

@@ -17,7 +17,7 @@ from procurelake.functions.money import money_sum
 from procurelake.operators import aggregates, enrich, mapping, notices, profile, relational, validation
 from procurelake.plans import gold as gold_plan
 from procurelake.plans import silver as silver_plan
-from procurelake.session import scratch_path
+from procurelake.session import scratch_path, staged
 from procurelake.sinks import writers
 from procurelake.sources import scans
 from procurelake.streaming import incremental
@@ -177,7 +177,7 @@ def silver_load(spark, sf_dir):
 
 
 def _write_silver_sources(spark, sf_dir: str, root: str) -> None:
-    tenders = silver(spark, sf_dir)
+    tenders = staged(silver(spark, sf_dir), "silver")
     for folder, tag in gold_plan.SOURCE_FOLDERS.items():
         tenders.where(F.col("source") == tag).drop("source").write.mode("overwrite").parquet(f"{root}/{folder}")
 

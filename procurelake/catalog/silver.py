@@ -477,7 +477,8 @@ def party_list(spark, sf_dir):
 )
 def contracts_to_silver(spark, sf_dir):
     nested = contracts.contracts_to_releases(_contract_rows(spark, sf_dir), 2025)
-    kept = mapping.transform_releases(nested.withColumn("country", F.lit("portugal")))
+    portugal = mapping.default_registry().only("portugal")  # contract rows have one shape
+    kept = mapping.transform_releases(nested.withColumn("country", F.lit("portugal")), registry=portugal)
     return kept.withColumn("supplier_names", F.array_join("supplier_names", "|")).select(
         "ocid", "tender_id", "publication_date", "tender_title", "tender_value_amount", "buyer_id", "buyer_name",
         "award_amount", "supplier_names", "procurement_method", "procurement_category", "num_awards",
