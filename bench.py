@@ -73,6 +73,10 @@ def main() -> None:
         measure("gold:year_totals", lambda: ask(questions.YEAR_TOTALS))
         measure("gold:high_value", lambda: ask(questions.HIGH_VALUE, floor=300000, rows=100))
         measure("gold:category_share", lambda: ask(questions.CATEGORY_SHARE))
+        measure("gold:year_filter", lambda: drain(gold.where("year = 2024").groupBy("source_country").count()))
+        lookup = f"{folder}/country_summary.parquet"
+        aggregates.country_summary(gold).write.parquet(lookup)
+        measure("gold:lookup", lambda: drain(spark.read.parquet(lookup).orderBy("source_country")))
         measure("gold:coverage", lambda: drain(quality.coverage_report(gold)))
         measure("gold:validation", lambda: drain(quality.validation_report(gold)))
         for name in QUERIES:

@@ -213,6 +213,15 @@ def sql_high_value(spark, sf_dir):
     return questions.ask(gold(spark, sf_dir), questions.HIGH_VALUE, floor=300000, rows=100)
 
 
+@query(
+    "sql_country_sizes",
+    f"""{WITH_GOLD} SELECT CASE WHEN COUNT(*) > (SELECT COUNT(*) * 0.1 FROM gold) THEN 'large' ELSE 'small' END AS kind,
+      source_country, COUNT(*) AS tender_count FROM gold GROUP BY source_country""",
+)
+def sql_country_sizes(spark, sf_dir):
+    return questions.ask(gold(spark, sf_dir), questions.COUNTRY_SIZES, share=0.1)
+
+
 @query(
     "sql_keyword_search",
     f"""{WITH_GOLD} SELECT tender_id, tender_title, buyer_name, publication_date, tender_value_amount FROM gold

@@ -223,6 +223,19 @@ def gold_tables(spark, sf_dir):
     return whole
 
 
+@query(
+    "gold_reports",
+    f"""{WITH_GOLD} SELECT COUNT(*) AS total_records, COUNT(DISTINCT source_country) AS countries,
+      COUNT(*) FILTER (date_quality_flag = 'valid') AS valid_dates, COUNT(*) FILTER (is_future_date) AS future_dates FROM gold""",
+)
+def gold_reports(spark, sf_dir):
+    """The overview report as written to JSON, read back."""
+    folder = scratch_path(spark, "reports")
+    paths = gold_plan.build_reports(staged(gold(spark, sf_dir), "gold"), folder)
+    schema = "total_records bigint, countries bigint, valid_dates bigint, future_dates bigint"
+    return spark.read.schema(schema).json(paths["overview"])
+
+
 @query(
     "file_stats",
     f"""{WITH_SILVER} SELECT source AS source_country, COUNT(*) AS records FROM silver GROUP BY source""",

@@ -168,6 +168,7 @@ def _percent(c: Column) -> Column:
     return F.format_string("%.2f%%", c * 100)
 
 
+# The texts of the warnings.
 def _warnings(min_score: float, max_fail_rate: float) -> Column:
     entries = [
         F.when(

@@ -39,7 +39,11 @@ def merge(tables: dict[str, DataFrame | None], lot_order: list[Column] | None =
     if links is not None and buyers is not None:
         merged = merged.join(links, "tender_id", "left")
         details = _with_suffix(buyers, merged.columns, "_buyer", ["buyer_id"])
-        merged = merged.join(details, "buyer_id", "left")
+        # rows without a buyer match nothing; keys of their own keep them from meeting in one task
+        lone = F.concat(F.lit("\u0000"), F.xxhash64("tender_id").cast("string"))
+        merged = merged.withColumn("_buyer_key", F.coalesce(F.col("buyer_id").cast("string"), lone))
+        keyed = details.withColumn("_buyer_key", F.col("buyer_id").cast("string")).drop("buyer_id")
+        merged = merged.join(keyed, "_buyer_key", "left").drop("_buyer_key")
     links, lots = tables.get("tender_lot"), tables.get("lots")
     if links is not None and lots is not None:
         chosen = first_lots(links, lot_order or [F.col("lot_id")]).join(lots, "lot_id", "left")

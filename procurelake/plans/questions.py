@@ -63,6 +63,17 @@ WHERE source_country = 'portugal'
 ORDER BY publication_date DESC, tender_id LIMIT 100
 """
 
+# Countries above and below a share of the whole: a common table expression, subqueries and a union.
+COUNTRY_SIZES = """
+WITH large AS (
+  SELECT source_country, COUNT(*) AS tender_count FROM {unified} GROUP BY source_country
+  HAVING COUNT(*) > (SELECT COUNT(*) * {share} FROM {unified}))
+SELECT 'large' AS kind, source_country, tender_count FROM large
+UNION ALL
+SELECT 'small' AS kind, source_country, COUNT(*) AS tender_count FROM {unified}
+WHERE source_country NOT IN (SELECT source_country FROM large) GROUP BY source_country
+"""
+
 # The share needs the grand total: a window over the few grouped rows, not over the table.
 CATEGORY_SHARE = """
 SELECT procurement_category_standardized, COUNT(*) AS tender_count,
@@ -86,5 +97,6 @@ def ask(unified: DataFrame, text: str, **values: object) -> DataFrame:
 
 
 def keyword_condition(words: list[str], columns: tuple[str, ...] = ("tender_title",)) -> str:
-    escaped = [w.lower().replace("'", "''") for w in words]
-    return " OR ".join(f"LOWER({c}) LIKE '%{w}%'" for c in columns for w in escaped)
+    """Whether any of the columns holds any of the words; no character of a word is a wildcard."""
+    escaped = [w.lower().replace("\\", "\\\\").replace("'", "\\'") for w in words]
+    return " OR ".join(f"CONTAINS(LOWER({c}), '{w}')" for c in columns for w in escaped)
