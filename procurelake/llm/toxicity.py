@@ -38,9 +38,11 @@ SLOTS = 1 << 18
 FOLDS, COUNT_FOLDS, FIT_FOLD = 5, (1, 2, 3), 4
 FIT_ROWS = 20_000
 LEAST_FIT = 5
-CACHE = 600_000
+CACHE = 400_000
+COUNT_WORDS = 100_000
+RATIO_WORDS = 10_000
 TASK_WORDS = 250_000
-GROUP_WORDS = 200_000
+GROUP_WORDS = 100_000
 #: Where too few labelled rows are there to fit a curve.
 PLAIN_CURVE = (-6.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
 FIGURES = tuple(f"{name}_{way}" for way in ("spelling", "runs") for name in ("peak", "second", "over_low", "over_high"))
@@ -94,11 +96,21 @@ def _places(hashes: list[np.ndarray], place: np.ndarray, size: int) -> tuple[np.
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of words by class; a batch passes them on whenever they fill up, the sums follow in Spark."""
+
+    def rows(toxic: int) -> pd.DataFrame:
+        return pd.DataFrame({"word": [*counts[toxic]], "toxic": toxic, "n": [*counts[toxic].values()]})
+
     for batch in batches:
-        counts: Counter = Counter()
-        for text, toxic in zip(batch["text"], batch["toxic"]):
-            counts.update((word, int(toxic)) for word in expressions(text))
-        yield pd.DataFrame([(word, toxic, n) for (word, toxic), n in counts.items()], columns=["word", "toxic", "n"])
+        counts = Counter(), Counter()
+        for text, mark in zip(batch["text"], batch["toxic"]):
+            toxic = int(bool(mark))
+            counts[toxic].update(expressions(text))
+            if len(counts[toxic]) > COUNT_WORDS:
+                yield rows(toxic)
+                counts[toxic].clear()
+        yield rows(0)
+        yield rows(1)
 
 
 def _packed(size: int, toxic, gram: np.ndarray, context: np.ndarray, left) -> np.ndarray:
@@ -236,8 +248,10 @@ def _features(models):
                 first = len(known)
                 if first + len(fresh) > len(table):
                     table = np.concatenate([table[:first], np.zeros((max(first, len(fresh), 4096), 2))])
+                for at in range(0, len(fresh), RATIO_WORDS):
+                    part = fresh[at : at + RATIO_WORDS]
+                    table[first + at : first + at + len(part)] = tool.ratios(part)
                 if fresh:
-                    table[first : first + len(fresh)] = tool.ratios(fresh)
                     known.update(zip(fresh, range(first, first + len(fresh))))
                 rows += [figures_of(table[[*map(known.__getitem__, words)]]) for words in group]
             figures = np.array(rows, dtype=np.float64).reshape(-1, len(FIGURES))
