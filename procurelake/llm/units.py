@@ -36,6 +36,21 @@ def _after_letter(data: np.ndarray) -> np.ndarray:
     return found
 
 
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+
+
+def _before_blank(data: np.ndarray, spaces: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Those of the places of spaces that a blank, perhaps of two or three bytes, or the end of a text follows."""
+    padded = np.concatenate([data, np.zeros(2, dtype=np.uint8)])
+    one, two = padded[spaces + 1], padded[spaces + 2]
+    found = _BLANK[one] | ((one == 0xC2) & ((two == 0x85) | (two == 0xA0))) | ((one == 0xE1) & (two == 0x9A))
+    found |= ((one == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((one == 0xE3) & (two == 0x80))
+    last = np.zeros(len(data) + 1, dtype=bool)
+    last[ends] = True
+    return spaces[found | last[spaces + 1]]
+
+
 class UnitEncoder:
     """Ids as the library gives them for whole texts, each followed by ``end_id``.
 
@@ -111,13 +126,16 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` one after the other, each with the end id, and how many each has."""
-        tangled = np.array([bool(_TANGLED(text)) or any(token in text for token in self.added) for text in texts])
         encoded = [text.encode("utf-8") for text in texts]
         joined = b"".join(encoded)
         data = np.frombuffer(joined, dtype=np.uint8)
         ends = np.cumsum([len(x) for x in encoded], dtype=np.int64)
         origin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        begins = (data == _SPACE) | _after_letter(data)
+        spaces = data == _SPACE
+        tangled = np.array([any(token in text for token in self.added) for text in texts])
+        for at in np.unique(np.searchsorted(ends, _before_blank(data, np.flatnonzero(spaces), ends), "right")):
+            tangled[at] |= bool(_TANGLED(texts[at]))
+        begins = spaces | _after_letter(data)
         begins[origin[origin < len(data)]] = True
         first = np.flatnonzero(begins)
         last = np.append(first[1:], len(data))
@@ -143,13 +161,16 @@ class UnitEncoder:
         starts[wide], sizes[wide] = places[: len(wide)], counts[: len(wide)]
         # rows in the order of the texts; each text ends with the end id, which is the pool's first
         count = len(texts)
-        owner = np.concatenate([owner, whole, np.arange(count)])
-        order = np.argsort(owner, kind="stable")
-        starts = np.concatenate([starts, places[len(wide) :], np.zeros(count, dtype=np.int64)])[order]
-        sizes = np.concatenate([sizes, counts[len(wide) :], np.ones(count, dtype=np.int64)])[order]
+        if len(whole):
+            at = np.searchsorted(owner, whole)
+            owner = np.insert(owner, at, whole)
+            starts, sizes = np.insert(starts, at, places[len(wide) :]), np.insert(sizes, at, counts[len(wide) :])
+        at = np.searchsorted(owner, np.arange(count), "right")
+        owner = np.insert(owner, at, np.arange(count))
+        starts, sizes = np.insert(starts, at, 0), np.insert(sizes, at, 1)
         shift = np.cumsum(sizes) - sizes
         ids = pool[np.repeat(starts - shift, sizes) + np.arange(int(sizes.sum()))]
-        return ids, np.bincount(owner[order], weights=sizes, minlength=count).astype(np.int64)
+        return ids, np.bincount(owner, weights=sizes, minlength=count).astype(np.int64)
 
 
 def groups(texts: list[str], points: int = 1 << 19) -> Iterator[list[str]]:
