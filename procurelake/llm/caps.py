@@ -8,15 +8,15 @@ directions. M grows with the root of the number of vectors, so a filter holds ab
 
 Vectors of a filter are compared in double precision. A filter of more than ``TILE`` vectors is cut into tiles and every pair of
 tiles is a piece of work of its own. A pair that shares several filters counts where their number is smallest.
-Nothing is written per pair: a tile gives each vector's number of links and a spanning forest. Recall
-is a matter of the expected number of filters of a vector, ``FILTERS``; tests measure it against all pairs.
+Nothing is written per pair: a tile gives each vector's number of links and a spanning forest. A vector
+belongs to ``FILTERS`` filters on average, and to more where M is so large that fewer than ``RECALL`` of the pairs at the cosine
+bound would share one; both are taken from the code in use, so recall does not fall as the table grows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ from procurelake.session import staged
 
 COSINE = 0.93
 FILTERS = 32
+RECALL = 0.99
+PAIRS, BEST = 2000, 128
 LEAST_CODES, MOST_CODES = 32, 4096
 TILE = 1024
 SEED = 20240611
@@ -45,17 +47,53 @@ def _codes(size: int, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rotation, halves[0], halves[1]
 
 
-def threshold(size: int, codes: int, filters: float) -> float:
-    """What a random unit vector exceeds on ``filters`` of the directions on average."""
-    share = min(0.5, filters / codes**2)
-    return NormalDist().inv_cdf(1 - share) / np.sqrt(size)
+def _quantile(size: int, share: float) -> float:
+    """What a random unit vector exceeds on ``share`` of all unit directions: its sine is spread as the cosine's power size - 2."""
+    angles = np.linspace(np.pi / 2, -np.pi / 2, 400_001)
+    weights = np.cumsum(np.maximum(np.cos(angles), 0) ** max(size - 2, 0))
+    return float(np.sin(angles[np.searchsorted(weights, share * weights[-1])]))
 
 
-def filters_of(vectors: np.ndarray, codes: int, filters: float) -> list[np.ndarray]:
+def _shared(size: int, codes: int, cosine: float) -> np.ndarray:
+    """The highest threshold at which each of ``PAIRS`` random pairs with the cosine shares a direction, or less.
+
+    Only the ``BEST`` directions of each half are paired, which can miss a higher one.
+    """
+    rotation, left, right = _codes(size, codes)
+    rng = np.random.default_rng((SEED, size, codes, 1))
+    u, w = rng.standard_normal((2, PAIRS, size))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= np.sum(u * w, axis=1, keepdims=True) * u
+    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+    v = cosine * u + np.sqrt(max(0.0, 1 - cosine**2)) * w
+    cut, best = size - size // 2, min(BEST, codes)
+    out = np.empty(PAIRS)
+    for at in range(0, PAIRS, 100):
+        sides = [(x[at : at + 100] @ rotation) for x in (u, v)]
+        halves = []
+        for part, code in ((slice(0, cut), left), (slice(cut, size), right)):
+            x, y = (side[:, part] @ code.T for side in sides)
+            top = np.argpartition(-np.minimum(x, y), best - 1, axis=1)[:, :best]
+            halves.append([np.take_along_axis(z, top, axis=1) for z in (x, y)])
+        first, second = (halves[0][side][:, :, None] + halves[1][side][:, None, :] for side in (0, 1))
+        out[at : at + 100] = np.minimum(first, second).max(axis=(1, 2))
+    return out
+
+
+@lru_cache(maxsize=64)
+def threshold(size: int, codes: int, filters: float, cosine: float = COSINE) -> float:
+    """What a random unit vector exceeds on ``filters`` of the directions on average, or less for ``RECALL`` of the pairs with the cosine."""
+    bound = _quantile(size, min(0.5, filters / codes**2))
+    if size < 2 or not -1 < cosine < 1:
+        return bound
+    return min(bound, float(np.quantile(_shared(size, codes, cosine), 1 - RECALL)))
+
+
+def filters_of(vectors: np.ndarray, codes: int, filters: float, cosine: float = COSINE) -> list[np.ndarray]:
     """Filters of each unit vector, ascending; the best direction always belongs."""
     size = vectors.shape[1]
     rotation, left, right = _codes(size, codes)
-    bound = threshold(size, codes, filters)
+    bound = threshold(size, codes, filters, cosine)
     turned = vectors @ rotation
     cut = size - size // 2
     a, b = turned[:, :cut] @ left.T, turned[:, cut:] @ right.T
@@ -68,13 +106,13 @@ def filters_of(vectors: np.ndarray, codes: int, filters: float) -> list[np.ndarr
     return out
 
 
-def _decode(codes: int, filters: float):
+def _decode(codes: int, filters: float, cosine: float):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, rows in batch.groupby("size"):
                 vectors = np.stack(list(rows["embedding"])).astype(np.float64)
                 unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-                yield pd.DataFrame({"node": rows["node"].array, "filters": filters_of(unit, codes, filters)})
+                yield pd.DataFrame({"node": rows["node"].array, "filters": filters_of(unit, codes, filters, cosine)})
 
     return work
 
@@ -184,7 +222,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, filters: float = FI
     reps = staged(distinct.select(F.monotonically_increasing_id().alias("node"), "*", F.size("embedding").alias("size")), "vectors")
     count = reps.count()
     codes = int(min(MOST_CODES, max(LEAST_CODES, np.ceil(np.sqrt(count)))))
-    decoded = staged(reps.select("node", "embedding", "size").mapInPandas(_decode(codes, filters), "node long, filters array<long>"), "filters")
+    decoded = staged(reps.select("node", "embedding", "size").mapInPandas(_decode(codes, filters, cosine), "node long, filters array<long>"), "filters")
 
     spread = decoded.select("node", F.explode("filters").alias("number")).join(reps.select("node", "label", "size"), "node")
     sizes = spread.groupBy("label", "size", "number").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

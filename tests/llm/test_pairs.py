@@ -182,6 +182,18 @@ def test_near_vectors_against_all_pairs(spark):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("codes", [32, 448, 3163])
+def test_near_vectors_share_filters_at_any_number_of_codes(codes):
+    rng = np.random.default_rng(99)
+    u, w = rng.standard_normal((2, 300, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= np.sum(u * w, axis=1, keepdims=True) * u
+    v = 0.931 * u + np.sqrt(1 - 0.931**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    a, b = (caps.filters_of(x, codes, caps.FILTERS) for x in (u, v))
+    assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b)]) >= 0.97
+    assert np.mean([len(x) for x in a]) >= caps.FILTERS
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
