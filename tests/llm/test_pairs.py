@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from procurelake.llm import caps, components, decontaminate, simhash, substring
+from procurelake.llm import caps, components, decontaminate, minhash, simhash, substring
 from procurelake.llm.fmindex import FMIndex
 
 LONG = " ".join(f"w{i}" for i in range(60_000))
@@ -93,6 +94,40 @@ def test_simhash_groups(spark, shard):
     assert simhash.near_copies(documents(spark, [])).count() == 0
 
 
+def test_near_copies_of_the_pipeline_against_all_pairs(spark):
+    rnd = random.Random(17)
+    rows = [(i, prose(rnd, rnd.randint(40, 300))) for i in range(60)]
+    for i in range(60):
+        for edits in (1, 2, 3, 5):
+            words = rows[i][1].split()
+            for at in rnd.sample(range(len(words)), edits):
+                words[at] = prose(rnd, 1)
+            rows.append((100 * (i + 1) + edits, " ".join(words)))
+    rows += [(9000, ""), (9001, None), (9002, "one two"), (9003, "ONE two"), (9004, "one two three"), (3, rows[3][1]), (None, rows[4][1])]
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(t) for _, t in rows]
+    forest, linked = Forest(), 0
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x == y or len(x & y) >= 0.8 * len(x | y):
+                forest.join(a, b)
+                linked += x != y
+    low = defaultdict(list)
+    for at, (i, _) in enumerate(rows):
+        if i is not None:
+            low[forest.find(at)].append(i)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(map(min, low.values()))
+    assert linked > 100 and len(want) < 220
+    for kept in (corpus_pipeline.drop_near_copies(spark, docs, ""), minhash.keep_one(docs, tile=2)):
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+    assert minhash.keep_one(docs.limit(0)).count() == 0
+
+
 @settings(max_examples=60)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=25), min_size=1, max_size=6), st.lists(st.integers(-1, 2), max_size=25), st.integers(2, 7))
 def test_fm_index_windows(texts, query, window):
