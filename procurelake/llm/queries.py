@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, caps, chat, decontaminate, pages, simhash, substring, tokenfile, toxicity, warc
+from procurelake.llm import bpe, caps, chat, decontaminate, pages, ranked, simhash, substring, tokenfile, toxicity, warc
 from procurelake.llm.shipping import ship
 from procurelake.session import scratch_path
 
@@ -115,6 +115,29 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("text_key")
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id,
+    list_distinct(regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+sizes AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, sizes GROUP BY term, docs),
+norms AS (SELECT r, doc_id, 50 + ((50 * len(w) * docs) // terms) AS m FROM d, sizes WHERE len(w) > 0),
+scores AS (SELECT q, item_id, r, doc_id, CAST(sum(weights.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM (SELECT q, item_id, unnest(w) AS term FROM i) JOIN weights USING (term) JOIN tf USING (term) JOIN norms USING (r)
+  GROUP BY q, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_simhash": op2_simhash,
@@ -126,5 +149,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
+    "op13_ranked_search": op13_ranked_search,
 }
-CHECKS = {"op1_chat_formatting": OP1_SQL, "op4_warc": OP4_SQL, "op6_substring": OP6_SQL}
+CHECKS = {"op1_chat_formatting": OP1_SQL, "op4_warc": OP4_SQL, "op6_substring": OP6_SQL, "op13_ranked_search": OP13_SQL}
