@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, caps, chat, decontaminate, pages, ranked, simhash, substring, tokenfile, toxicity, warc
+from procurelake.llm import bpe, caps, chat, collocations, decontaminate, pages, ranked, simhash, substring, tokenfile, toxicity, warc
 from procurelake.llm.shipping import ship
 from procurelake.session import scratch_path
 
@@ -115,11 +115,43 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("text_key")
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    list_filter(regexp_split_to_array(unnest(regexp_split_to_array({_SMALL}, '[.,;:!?
+-]')), '[ 	]+'), lambda x: x <> '') AS w
+  FROM documents),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+    FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k))
+  GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, size, phrase, a, w, unnest(range(1, size)) AS cut FROM c),
+scored AS (SELECT cuts.lang, cuts.size, cuts.phrase, cuts.a, cuts.w, cuts.cut, x.f AS l, y.f AS r,
+    CAST((CAST(2000000 AS HUGEINT) * cuts.a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.k = cuts.cut AND x.phrase = array_to_string(cuts.w[1:cuts.cut], ' ')
+  JOIN f y ON y.lang = cuts.lang AND y.k = cuts.size - cuts.cut AND y.phrase = array_to_string(cuts.w[cuts.cut + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+spans AS (SELECT lang, a AS f, w, size, unnest(range(2, size)) AS k FROM c WHERE size > 2),
+covers AS (SELECT lang, phrase, max(f) AS cover
+  FROM (SELECT lang, f, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, size - k + 2)]) AS phrase FROM spans)
+  GROUP BY lang, phrase)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest LEFT JOIN covers USING (lang, phrase) JOIN totals USING (lang)
+WHERE cover IS NULL OR 100 * cover < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
 def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP13_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -149,6 +181,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
+    "op12_collocations": op12_collocations,
     "op13_ranked_search": op13_ranked_search,
 }
-CHECKS = {"op1_chat_formatting": OP1_SQL, "op4_warc": OP4_SQL, "op6_substring": OP6_SQL, "op13_ranked_search": OP13_SQL}
+CHECKS = {"op1_chat_formatting": OP1_SQL, "op4_warc": OP4_SQL, "op6_substring": OP6_SQL, "op12_collocations": OP12_SQL, "op13_ranked_search": OP13_SQL}
