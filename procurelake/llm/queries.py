@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procurelake.llm import bpe, caps, chat, collocations, decontaminate, pages, ranked, simhash, substring, tokenfile, toxicity, warc
+from procurelake.llm import bpe, caps, chat, collocations, decontaminate, pages, randomness, ranked, simhash, substring, tokenfile, toxicity, warc
 from procurelake.llm.shipping import ship
 from procurelake.session import scratch_path
 
@@ -115,6 +115,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("text_key")
 
 
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return randomness.digests(randomness.scan(table(spark, folder, "documents")))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
@@ -123,7 +127,8 @@ _SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 OP12_SQL = rf"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
     list_filter(regexp_split_to_array(unnest(regexp_split_to_array({_SMALL}, '[.,;:!?
--]')), '[ 	]+'), lambda x: x <> '') AS w
+-
+]')), '[ 	]+'), lambda x: x <> '') AS w
   FROM documents),
 totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
 f AS (SELECT lang, k, phrase, count(*) AS f
@@ -181,6 +186,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
+    "op11_secrets": op11_secrets,
     "op12_collocations": op12_collocations,
     "op13_ranked_search": op13_ranked_search,
 }

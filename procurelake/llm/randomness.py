@@ -147,20 +147,24 @@ def ordinary(pairs: int, n: int, shares: np.ndarray) -> float:
     return _tail((mean - pairs - 0.5) / deviation)
 
 
-def power(n: int, shares: np.ndarray, alpha: float = ALPHA) -> float:
-    """Chance that a string drawn evenly has fewer equal pairs than all but ``alpha`` of the text-like ones."""
+def power(n: int, shares: np.ndarray) -> float:
+    """Chance that a string drawn evenly has fewer equal pairs than all but one in a thousand of the text-like ones."""
     letters = len(shares)
     mean, deviation = _moments(n, shares)
     own, spread = _moments(n, np.full(letters, 1 / letters))
-    bound = mean - 3.09 * deviation  # the one in a thousand point of a normal value
+    bound = mean - 3.09 * deviation  # that point of a normal value
     return _tail((own - bound) / spread)
 
 
 def alphabet_shares(counts: np.ndarray) -> list[np.ndarray]:
-    """Shares of the symbols of each encoding among all characters of its alphabet; none seen: even shares."""
+    """Shares of the symbols of each encoding among all characters of its alphabet; none seen: even shares.
+
+    Where an alphabet has letters of one case only, the other case counts as well: text in capitals is text.
+    """
     found = []
     for chars in ALPHABETS.values():
         own = counts[[ord(c) for c in chars]].astype(float)
+        own += [counts[ord(c.swapcase())] if c.swapcase() not in chars else 0 for c in chars]
         found.append(own / own.sum() if own.sum() else np.full(len(chars), 1 / len(chars)))
     return found
 
