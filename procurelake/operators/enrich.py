@@ -92,10 +92,10 @@ def iso_dates(df: DataFrame) -> DataFrame:
     )
 
 
-def source_rank(tags: tuple[str, ...] = SOURCE_PRIORITY) -> Column:
+def source_rank(tags: tuple[str, ...] = SOURCE_PRIORITY, source: str = "source") -> Column:
     rank = F.lit(len(tags))
     for place, tag in enumerate(tags):
-        rank = F.when(F.col("source") == tag, F.lit(place)).otherwise(rank)
+        rank = F.when(F.col(source) == tag, F.lit(place)).otherwise(rank)
     return rank
 
 

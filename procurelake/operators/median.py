@@ -1,13 +1,13 @@
-"""Exact grouped median without gathering a group in one task.
+"""Exact grouped median by rank selection, without gathering a group in one task.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer,
-and a window per group sorts it in one task. Here values are first counted per
-(group, value); the counts are added up per band of values; the one or two bands
-that hold the middle ranks are found from the band totals, and only they are looked at further. One
-band spans 1/1024 of an octave at first, so a group has a bounded number of bands whatever its size. Values
-that lie close together, such as large numbers in sequence, share such a band, so it is cut into ``_SLICES`` equal
-slices between its own smallest and largest value, twice; what is ordered in the end is
-one slice of a slice.
+and a window per group sorts it in one task. Here values are counted per (group, value), the counts are
+range-partitioned once by (group, value) and stored with the number of their partition. The totals per group and
+partition tell which one or two partitions of a group hold its middle ranks, and only those partitions are
+read again and ranked. Partitions are of even size whatever the values are, so neither a large group nor values that lie
+close together make a large task.
+
+The counts are stored, not only shuffled, since both steps must see the same partitions.
 """
 
 from __future__ import annotations
@@ -15,74 +15,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BANDS_PER_OCTAVE = 1024
-_SLICES = 1024
-_ROUNDS = 2
-_SHIFT = 1100 * _BANDS_PER_OCTAVE
-_MAX_LOG2 = 1025.0
-
-
-def _band(v: Column) -> Column:
-    """A band number that never falls when ``v`` rises."""
+from procurelake.session import staged
 
-    def magnitude(x: Column) -> Column:
-        return F.floor(F.least(F.log2(x), F.lit(_MAX_LOG2)) * _BANDS_PER_OCTAVE) + F.lit(_SHIFT)
-
-    return (
-        F.when(v > 0, magnitude(v))
-        .when(v < 0, -magnitude(-v))
-        .otherwise(F.lit(0).cast("bigint"))
-    )
 
+def exact_median(df: DataFrame, keys: list[str], value: Column, name: str = "median", times: Column | None = None) -> DataFrame:
+    """One row per group of non-NULL ``keys``: the keys and the median of the present values.
 
-def exact_median(df: DataFrame, keys: list[str], value: Column, name: str = "median") -> DataFrame:
-    """One row per group of non-NULL ``keys``: the keys and the median of the present values."""
+    A row stands for ``times`` equal values, one by default.
+    """
     number = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
-    rows = df.select(*keys, number.alias("_v")).withColumn("_band", _band(F.col("_v")))
-    # The join below would infer the same conditions on one of its sides only; stated
-    # here they keep both sides equal, so that the counts are shuffled once and reused.
-    for name_ in [*keys, "_v", "_band"]:
-        rows = rows.where(F.col(name_).isNotNull())
-    counts = rows.groupBy(*keys, "_band", "_v").agg(F.count("*").alias("_n"))
-    bands = counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("_in_band"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    total = F.sum("_in_band").over(Window.partitionBy(*keys))
-    ranks = {"_lo": (total + 1) / 2, "_hi": total / 2 + 1}
-    bands = bands.withColumns({name_: F.floor(rank) for name_, rank in ranks.items()}).withColumn("_start", F.lit(0).cast("bigint"))
-    middle = _middle(bands, keys, "_band")
-    part = [*keys, "_band"]
-    kept = counts.join(middle, part)
-    for number in range(_ROUNDS):
-        slice_ = f"_slice{number}"
-        width = (F.col("_max") - F.col("_min")) / _SLICES
-        place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_min")) / width), F.lit(_SLICES - 1))).otherwise(F.lit(0))
-        sliced = kept.withColumn(slice_, place).drop("_min", "_max")
-        sums = sliced.groupBy(*part, slice_).agg(
-            F.sum("_n").alias("_in_band"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-            *[F.first(c).alias(c) for c in ("_start", "_lo", "_hi")],
-        )
-        found = _middle(sums, part, slice_)
-        part = [*part, slice_]
-        kept = sliced.drop("_start", "_lo", "_hi").join(found, part)
-    within = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = kept.withColumn("_to", F.col("_start") + F.sum("_n").over(within)).withColumn("_from", F.col("_to") - F.col("_n"))
+    rows = df.select(*keys, number.alias("_v"), (F.lit(1) if times is None else times).cast("bigint").alias("_n"))
+    for key in [*keys, "_v"]:
+        rows = rows.where(F.col(key).isNotNull())
+    counts = rows.groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
+    stored = staged(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "ranks")
+    totals = stored.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in_part"))
+    running = Window.partitionBy(*keys).orderBy("_part")
+    whole = F.sum("_in_part").over(Window.partitionBy(*keys))
+    placed = totals.withColumns(
+        {
+            "_start": F.sum("_in_part").over(running) - F.col("_in_part"),
+            "_lo": F.floor((whole + 1) / 2),
+            "_hi": F.floor(whole / 2 + 1),
+        }
+    )
+    upto = F.col("_start") + F.col("_in_part")
+    held = placed.where(_covers("_lo", F.col("_start"), upto) | _covers("_hi", F.col("_start"), upto)).drop("_in_part")
+    within = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = stored.join(held, [*keys, "_part"]).withColumn("_to", F.col("_start") + F.sum("_n").over(within))
+    before = F.col("_to") - F.col("_n")
     return (
         ranked.groupBy(*keys)
         .agg(
-            F.max(F.when(_covers("_lo", "_from", "_to"), F.col("_v"))).alias("_a"),
-            F.max(F.when(_covers("_hi", "_from", "_to"), F.col("_v"))).alias("_b"),
+            F.max(F.when(_covers("_lo", before, F.col("_to")), F.col("_v"))).alias("_a"),
+            F.max(F.when(_covers("_hi", before, F.col("_to")), F.col("_v"))).alias("_b"),
         )
         .select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(name))
     )
 
 
-def _covers(rank: str, before: str, upto: str) -> Column:
-    return (F.col(rank) > F.col(before)) & (F.col(rank) <= F.col(upto))
-
-
-def _middle(sums: DataFrame, part: list[str], band: str) -> DataFrame:
-    """The bands of each part that hold a middle rank, with the number of values before them as ``_start``."""
-    running = Window.partitionBy(*part).orderBy(band).rowsBetween(Window.unboundedPreceding, 0)
-    upto = sums.withColumn("_upto", F.col("_start") + F.sum("_in_band").over(running))
-    upto = upto.withColumn("_start", F.col("_upto") - F.col("_in_band"))
-    held = upto.where(_covers("_lo", "_start", "_upto") | _covers("_hi", "_start", "_upto"))
-    return held.select(*part, band, "_start", "_lo", "_hi", "_min", "_max")
+def _covers(rank: str, before: Column, upto: Column) -> Column:
+    return (F.col(rank) > before) & (F.col(rank) <= upto)

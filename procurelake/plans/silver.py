@@ -20,7 +20,7 @@ _STORED = "record_hash string, year string, month string"
 
 def stored_hashes(spark, path: str) -> DataFrame:
     """Hashes already stored, with their partition: columns of the Silver table, nothing kept beside it."""
-    if not scans._exists(spark, path):
+    if not scans.exists(spark, path):
         return spark.createDataFrame([], _STORED)
     return spark.read.schema(_STORED).option("basePath", path).parquet(path)
 

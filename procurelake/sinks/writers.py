@@ -95,9 +95,19 @@ def write_relational_silver(df: DataFrame, path: str, mode: str = "append") -> N
     _partitioned(relational_silver_rows(df), SILVER_KEYS, mode).parquet(path)
 
 
-def write_gold(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The unified table by country and year."""
-    _partitioned(df, GOLD_KEYS, mode).parquet(path)
+def _overwrite_mode(dynamic: bool) -> str:
+    """Dynamic: only the partitions that have rows are replaced."""
+    return "dynamic" if dynamic else "static"
+
+
+def write_gold(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = False) -> None:
+    """The unified table by country and year; ``dynamic`` replaces the partitions among the rows and leaves the others."""
+    _partitioned(df, GOLD_KEYS, mode).option("partitionOverwriteMode", _overwrite_mode(dynamic)).parquet(path)
+
+
+def write_facts(df: DataFrame, path: str, dynamic: bool = False) -> None:
+    """Partial aggregates by year."""
+    _partitioned(df, ["year"], "overwrite").option("partitionOverwriteMode", _overwrite_mode(dynamic)).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -100,17 +100,24 @@ def notices(spark: SparkSession, path: str) -> DataFrame:
     return scan.withColumn("source_file", file_path())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder. One that begins with a scheme is taken as an encoded address, as file paths of rows are."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path) if re.match("[a-z0-9+.-]+:", path) else path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def relational_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame | None]:
     """The five tables; a missing file gives None. Link tables carry ``_row`` for first-wins."""
     tables: dict[str, DataFrame | None] = {}
     for name, file in RELATIONAL_FILES.items():
         path = f"{folder}/{file}"
-        if not _exists(spark, path):
+        if not exists(spark, path):
             tables[name] = None
             continue
         scan = spark.read.schema(schemas.RELATIONAL_SCHEMAS[name]).parquet(path)
@@ -147,9 +154,10 @@ def files_without_rows(spark: SparkSession, root: str, source: str, rows: DataFr
 
 
 def silver(
-    spark: SparkSession, root: str, source: str, schema: T.StructType | None = None, skip_unreadable: bool = False
+    spark: SparkSession, root: str, source: str, schema: T.StructType | None = None, skip_unreadable: bool = False,
+    files: list[str] | None = None,
 ) -> DataFrame | None:
-    """All Parquet files of one source, without state and quality files; None if the source has none.
+    """All Parquet files of one source, or those listed, without state and quality files; None if the source has none.
 
     An unreadable file fails the job unless ``skip_unreadable`` is set; ``files_without_rows`` then lists what gave nothing.
 
@@ -157,12 +165,12 @@ def silver(
     name is read from there. Without a ``schema`` the footers of all files are merged.
     """
     path = f"{root}/{source}"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     reader = spark.read.option("ignoreCorruptFiles", skip_unreadable)
     reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
     try:
-        scan = reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
+        scan = reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(*(files or [path]))
     except AnalysisException as error:
         if error.getCondition() in _ABSENT:
             return None

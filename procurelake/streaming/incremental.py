@@ -62,7 +62,7 @@ def append_ledger(entries: DataFrame, path: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The ledger, empty before its first entry."""
-    if not scans._exists(spark, path):
+    if not scans.exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -96,7 +96,7 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
 def _others(spark: SparkSession, target: str, stream: str, batch_id: int) -> DataFrame:
     """Hashes in all folders but the one of this batch: one column of the target table."""
     empty = spark.createDataFrame([], "record_hash string")
-    if not scans._exists(spark, target):
+    if not scans.exists(spark, target):
         return empty
     stored = spark.read.schema(f"record_hash string, {STREAM} string, {BATCH} bigint").parquet(target)
     return stored.where((F.col(STREAM) != stream) | (F.col(BATCH) != batch_id)).select("record_hash")

