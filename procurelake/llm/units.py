@@ -124,6 +124,35 @@ class UnitEncoder:
         h[h == 0] = 1
         return h
 
+    def _short_units(self, joined: bytes, first: np.ndarray, last: np.ndarray, hashes: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool that begins with the end id, and where in it the ids of each unit are, zero for units that are not short.
+
+        The table takes at most a quarter of its slots from a slice of the units, so a text with more distinct units than
+        the table has slots is encoded as well; the ids of a slice are copied before the table may be emptied.
+        """
+        starts, sizes = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+        pools, used = [self.pool[:1]], 1
+        step = max(TABLE // 4, 1)
+        for begin in range(0, len(short), step):
+            part = short[begin : begin + step]
+            names, at = np.unique(hashes[part], return_index=True)
+            if self.count + len(names) > TABLE // 2:
+                self._clear()
+            fresh = self.keys[self._find(names)] == 0
+            where = part[at[fresh]]
+            if len(where):
+                self._add(names[fresh], *self._library([joined[a:b].decode() for a, b in zip(first[where], last[where])]))
+            slots = self._find(hashes[part])
+            starts[part], sizes[part] = self.starts[slots], self.sizes[slots]
+            if len(short) <= step:
+                return self.pool[: self.used], starts, sizes
+            n = sizes[part]
+            shift = np.cumsum(n) - n
+            pools.append(self.pool[np.repeat(starts[part] - shift, n) + np.arange(int(n.sum()))])
+            starts[part] = used + shift
+            used += len(pools[-1])
+        return np.concatenate(pools), starts, sizes
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` one after the other, each with the end id, and how many each has."""
         encoded = [text.encode("utf-8") for text in texts]
@@ -144,20 +173,12 @@ class UnitEncoder:
         first, last, owner = first[plain], last[plain], owner[plain]
         hashes = self._hashes(data, first, last)
         short = last - first <= LONG
-        names, at = np.unique(hashes[short], return_index=True)
-        if self.count + len(names) > TABLE // 2:
-            self._clear()
-        fresh = self.keys[self._find(names)] == 0
-        where = np.flatnonzero(short)[at[fresh]]
-        if len(where):
-            self._add(names[fresh], *self._library([joined[a:b].decode() for a, b in zip(first[where], last[where])]))
-        slots = self._find(hashes)
-        starts, sizes = self.starts[slots].astype(np.int64), self.sizes[slots].astype(np.int64)
+        held, starts, sizes = self._short_units(joined, first, last, hashes, np.flatnonzero(short))
         # long units and tangled texts: their own ids, after the pool
         wide, whole = np.flatnonzero(~short), np.flatnonzero(tangled)
         own, counts = self._library([*(joined[first[i] : last[i]].decode() for i in wide), *(texts[i] for i in whole)])
-        pool = np.concatenate([self.pool[: self.used], own])
-        places = self.used + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)[: len(counts)]
+        pool = np.concatenate([held, own])
+        places = len(held) + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)[: len(counts)]
         starts[wide], sizes[wide] = places[: len(wide)], counts[: len(wide)]
         # rows in the order of the texts; each text ends with the end id, which is the pool's first
         count = len(texts)

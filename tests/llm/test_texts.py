@@ -8,6 +8,7 @@ import zipfile
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -115,6 +116,24 @@ def test_unit_table_is_emptied_when_full(monkeypatch):
         assert small.encode([text])[0].tolist() == [*small.tool.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_units_beyond_the_table(monkeypatch):
+    """A text with more distinct units than the table has slots, alone and among others."""
+    monkeypatch.setattr(units, "TABLE", 1024)
+    small = units.UnitEncoder(tokenfile.vocabulary_path(), 0)
+    texts = [" ".join(f"w{i}" for i in range(5000)), "short", "", " ".join(f"w{i % 700}" for i in range(5000)) + " <|endoftext|>"]
+    ids, sizes = small.encode(texts)
+    want = [[*small.tool.encode(text, add_special_tokens=False).ids, 0] for text in texts]
+    assert ids.tolist() == [i for row in want for i in row] and sizes.tolist() == [len(row) for row in want]
+
+
+def test_long_text_of_distinct_words():
+    text = " ".join(np.base_repr(i * 7919, 36) for i in range(3_000_000))
+    tool = tokenfile.encoder(tokenfile.vocabulary_path(), 0)
+    ids, sizes = tool.encode([text])
+    want = tool.tool.encode(text, add_special_tokens=False).ids
+    assert sizes.tolist() == [len(want) + 1] and (ids[:-1] == np.array(want)).all() and ids[-1] == 0
+
+
 def test_token_files(spark):
     rnd = random.Random(5)
     rows = [(i * 3 % 101, prose(rnd, rnd.randint(0, 60))) for i in range(150)] + [(None, "n"), (7, None), (8, ""), (9, "long " * 30_000), (9, "long " * 30_000)]
