@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +26,13 @@ MOST = 4
 TOP = 2000
 SHARE = 80
 SCALE = 2_000_000
-SLICE = 1 << 20
+SLICE = 1 << 22
 NO_LANG = "und"
 _SALTS = 16
-_ROWS = 1 << 16
 _BREAK = b"."
-_RUN = "lang string, phrase string, size int, n long"
-_RUN_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+#: A row of a run: the first word or two, by which runs are merged, and the words after them.
+_RUN = "lang string, prefix string, rest string, n long"
+_RUN_ARROW = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("rest", pa.string()), ("n", pa.int64())])
 
 #: Capitals of ASCII as small letters, what parts pieces as a break, the tab as a space.
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x2E if chr(c) in ".,;:!?\n\v\f\r" else 0x20 if c == 9 else c for c in range(256))
@@ -55,29 +56,17 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
     yield from texts.items()
 
 
-def _batch(rows: list[tuple[str, bytes, int, int]]) -> pa.RecordBatch:
-    lang, phrase, size, n = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())], schema=_RUN_ARROW
-    )
-
-
-def _packed(rows: Iterator[tuple[str, bytes, int, int]]) -> Iterator[pa.RecordBatch]:
-    some: list[tuple[str, bytes, int, int]] = []
-    for row in rows:
-        some.append(row)
-        if len(some) >= _ROWS:
-            yield _batch(some)
-            some = []
-    if some:
-        yield _batch(some)
-
-
 def _count_words(limit: int):
     """The root of the trie alone: words by language, passed on as a sorted run when there are ``limit`` of them."""
 
     def run(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        yield from _packed((lang, word, 1, n) for lang, found in counts.items() for word, n in sorted(found.items()))
+        for lang, found in counts.items():
+            words = sorted(found)
+            for at in range(0, len(words), hattrie.RUN):
+                some = words[at : at + hattrie.RUN]
+                texts = pa.array(some, pa.binary()).cast(pa.string())
+                n = np.fromiter(map(found.__getitem__, some), np.int64, len(some))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), texts, pa.repeat(pa.scalar(""), len(some)), pa.array(n)], schema=_RUN_ARROW)
 
     def work(batches):
         counts: dict[str, Counter] = {}
@@ -109,6 +98,12 @@ class _Words:
         self.hashes = np.zeros(1, dtype=np.uint64)
         self.size = 0
 
+    def order(self) -> np.ndarray:
+        """Place of each word among all in byte order."""
+        place = np.empty(len(self.words), dtype=np.int64)
+        place[sorted(range(len(self.words)), key=self.words.__getitem__)] = np.arange(len(self.words))
+        return place
+
     def number(self, tokens: list[bytes], lang: str) -> np.ndarray:
         ids = self.ids.setdefault(lang, {_BREAK: 0})
         fresh = list(set(tokens) - ids.keys())
@@ -132,15 +127,19 @@ def _count_sequences(sizes: tuple[int, ...], words, pairs, limit: int):
         known = _Words(words.value)
         tries = {size: hattrie.HatTrie(size) for size in sizes}
 
-        def spill(keep: int) -> Iterator[tuple[str, bytes, int, int]]:
-            share = keep // len(tries)
-            for size, trie in tries.items():
-                for run in trie.spill(known.words, share):
-                    for phrase, first, n in run:
-                        yield known.langs[first], phrase, size, n
-
         def rows(keep: int) -> Iterator[pa.RecordBatch]:
-            yield from _packed(spill(keep))
+            if not any(trie.count for trie in tries.values()):
+                return
+            place = known.order()
+            words, langs = pa.array(known.words, pa.binary()).cast(pa.string()), pa.array(known.langs)
+            for trie in tries.values():
+                for ids, n in trie.spill(keep // len(tries)):
+                    order = np.lexsort(place[ids].T[::-1])
+                    ids, n = ids[order], n[order]
+                    texts = [words.take(pa.array(column)) for column in ids.T]
+                    prefix = pc.binary_join_element_wise(*texts[:2], " ")
+                    rest = pc.binary_join_element_wise(*texts[2:], " ") if len(texts) > 2 else pa.repeat(pa.scalar(""), len(n))
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(ids[:, 0])), prefix, rest, pa.array(n)], schema=_RUN_ARROW)
 
         for batch in batches:
             for lang, texts in _by_lang(batch):
@@ -166,10 +165,13 @@ def _count_sequences(sizes: tuple[int, ...], words, pairs, limit: int):
 
 
 def _merged(runs: DataFrame) -> DataFrame:
-    """Sums of the runs' counts, merged in partitions by prefix."""
-    prefix = F.substring_index("phrase", " ", 2).alias("prefix")
-    dealt = runs.select("lang", prefix, "phrase", "size", "n").repartition("lang", "prefix")
-    return dealt.groupBy("lang", "prefix", "phrase", "size").agg(F.sum("n").alias("f")).drop("prefix")
+    """``lang, phrase, size, f``: sums of the runs' counts, merged in partitions by prefix."""
+    sums = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "rest").agg(F.sum("n").alias("f"))
+    alone = F.col("rest") == ""
+    phrase = F.when(alone, F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
+    words = lambda c: F.size(F.split(c, " "))
+    size = F.when(alone, words("prefix")).otherwise(words("rest") + 2)
+    return sums.select("lang", phrase.alias("phrase"), size.alias("size"), "f")
 
 
 def counts(docs: DataFrame, least: int = LEAST, most: int = MOST, limit: int = hattrie.LIMIT) -> tuple[DataFrame, DataFrame]:

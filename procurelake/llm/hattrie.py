@@ -3,7 +3,7 @@
 At the root, words share hash containers. A container that outgrows ``BURST`` bursts: shared by several first words, it
 becomes one container for each of them; filled by one first word, it becomes a node of its own, with one container for each
 second word. The trie's size is bounded: at ``LIMIT`` sequences whole subtrees of first words, the largest
-ones first, leave it as sorted runs until half is free; merging the runs is left to the caller.
+ones first, leave it in runs until half is free; sorting by words and merging the runs is left to the caller.
 
 Words are known by ids of a task's own dictionary, which is bounded as well: when it is full, everything is spilled and
 the ids begin anew.
@@ -18,8 +18,9 @@ import numpy as np
 BURST = 4096
 LIMIT = 1 << 20
 SHARED = 256
+RUN = 1 << 17
 BITS = 21  # of a word id
-WORDS = 1 << (BITS - 1)
+WORDS = 900_000  # a slice of text may add as many again
 _LOW = (1 << BITS) - 1
 
 
@@ -28,7 +29,8 @@ class HatTrie:
 
     def __init__(self, size: int) -> None:
         self.size = size
-        self.shift = BITS * (size - 2) if size > 1 else 0  # to the second id of the packed others
+        self.shift = BITS * (size - 2)  # to the second id of the packed others
+        self.whole = BITS * (size - 1)  # to the first id of a packed sequence
         self._clear()
 
     def _clear(self) -> None:
@@ -61,14 +63,14 @@ class HatTrie:
         self.count += len(table) - before
 
     def _into_shared(self, bucket: int, head: int, rest: list[int], counts: list[int]) -> None:
-        table, base = self.shared[bucket], head << (BITS * 3)
+        table, base = self.shared[bucket], head << self.whole
         self._put(table, [base | key for key in rest], counts)
         if len(table) > BURST:
             self.shared[bucket], self.burst[bucket] = {}, True
-            low = (1 << (BITS * 3)) - 1
+            low = (1 << self.whole) - 1
             for key, n in table.items():
-                self.pure.setdefault(key >> (BITS * 3), {})[key & low] = n
-            for first in {key >> (BITS * 3) for key in table}:
+                self.pure.setdefault(key >> self.whole, {})[key & low] = n
+            for first in {key >> self.whole for key in table}:
                 self._grow(first)
 
     def _into_pure(self, head: int, rest: list[int], counts: list[int]) -> None:
@@ -95,40 +97,52 @@ class HatTrie:
                 table[key] = n
                 self.count += 1
 
-    def _subtree(self, head: int) -> Iterator[tuple[int, int]]:
-        tables = self.pure[head].values() if head in self.nodes else [self.pure[head]]
-        for table in tables:
-            yield from table.items()
-
     def _size(self, head: int) -> int:
         return sum(map(len, self.pure[head].values())) if head in self.nodes else len(self.pure[head])
 
-    def _ids(self, head: int, rest: int) -> tuple[int, ...]:
-        return head, *((rest >> (BITS * at)) & _LOW for at in range(self.size - 2, -1, -1))
+    def spill(self, keep: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Runs of (sequences, counts) of whole subtrees, until at most ``keep`` sequences stay; a sequence is a row of ids."""
+        heads: list[int] = []
+        times: list[int] = []  # how many sequences of the run each head begins
+        keys: list[int] = []
+        counts: list[int] = []
+
+        def run() -> tuple[np.ndarray, np.ndarray]:
+            others = np.array(keys, dtype=np.int64)
+            ids = [np.repeat(np.array(heads, dtype=np.int64), times), *((others >> (BITS * at)) & _LOW for at in range(self.size - 2, -1, -1))]
+            return np.stack(ids, axis=1), np.array(counts, dtype=np.int64)
 
-    def spill(self, words: list[bytes], keep: int = 0) -> Iterator[list[tuple[bytes, int, int]]]:
-        """Sorted runs of (sequence, first id, count), one for each subtree that leaves, until at most ``keep`` sequences stay."""
-        for head in sorted(self.pure, key=self._size, reverse=True):
+        order = sorted(self.pure, key=self._size, reverse=True) if keep else list(self.pure)
+        for head in order:
             if self.count <= keep:
-                return
-            yield self._run(((head, key, n) for key, n in self._subtree(head)), words)
-            self.count -= self._size(head)
-            del self.pure[head]
+                break
+            before, subtree = len(keys), self.pure.pop(head)
+            for table in subtree.values() if head in self.nodes else (subtree,):
+                keys += table
+                counts += table.values()
+            heads.append(head)
+            times.append(len(keys) - before)
+            self.count -= times[-1]
             self.nodes.discard(head)
-        low = (1 << (BITS * 3)) - 1
+            if len(keys) >= RUN:
+                yield run()
+                heads, times, keys, counts = [], [], [], []
+        low = (1 << self.whole) - 1
         for bucket in sorted(range(SHARED), key=lambda b: len(self.shared[b]), reverse=True):
-            if self.count <= keep:
-                return
             table = self.shared[bucket]
-            yield self._run(((key >> (BITS * 3), key & low, n) for key, n in table.items()), words)
+            if self.count <= keep or not table:
+                break
+            heads += [key >> self.whole for key in table]
+            times += [1] * len(table)
+            keys += [key & low for key in table]
+            counts += table.values()
             self.count -= len(table)
             self.shared[bucket] = {}
+        if keys:
+            yield run()
         if not self.count:
             self._clear()
 
-    def _run(self, rows: Iterator[tuple[int, int, int]], words: list[bytes]) -> list[tuple[bytes, int, int]]:
-        return sorted((b" ".join([words[i] for i in self._ids(head, rest)]), head, n) for head, rest, n in rows)
-
 
 def windows(ids: np.ndarray, pairs: np.ndarray, sizes: tuple[int, ...], seen: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Distinct windows of ``ids`` by size, as ``size, firsts, others, counts``, in ascending order.
