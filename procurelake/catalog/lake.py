@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procurelake import schemas
-from procurelake.catalog import query
-from procurelake.catalog.silver import _MAPPED_SQL, _REASON, _notices, releases, relational_tables
-from procurelake.catalog.tenders import AS_OF, WITH_GOLD, WITH_SILVER, date_sql, gold, money_sql, silver, table
+from procurelake.catalog import CHECKS, QUERIES, query
+from procurelake.catalog import quality as _quality  # noqa: F401
+from procurelake.catalog.silver import (
+    _MAPPED_LIST, _MAPPED_SQL, _NOTICES_LIST, _NOTICES_SQL, _REASON, _contract_rows, _contracts_silver, _flat, _notices, releases,
+    relational_tables,
+)
+from procurelake.catalog.tenders import AS_OF, WITH_GOLD, WITH_SILVER, date_sql, gold, mean_sql, money_sql, silver, table
 from procurelake.functions import keys
 from procurelake.functions.money import money_sum
 from procurelake.operators import aggregates, enrich, mapping, notices, profile, relational, validation
@@ -40,12 +44,12 @@ def bronze_days(spark, sf_dir):
 
 @query(
     "bronze_append",
-    f"""{WITH_SILVER} SELECT {_RELEASE_DAY} AS release_date, COUNT(*) AS records FROM raw WHERE seq % 10 = 3 GROUP BY 1""",
+    f"""{WITH_SILVER} SELECT {_RELEASE_DAY} AS release_date, COUNT(*) AS records FROM raw GROUP BY 1""",
 )
 def bronze_append(spark, sf_dir):
     """A second call into the same store counts its own releases only."""
     path = scratch_path(spark, "bronze")
-    rows = releases(spark, sf_dir).where("seq % 10 = 3").drop("seq")
+    rows = releases(spark, sf_dir).drop("seq")
     writers.write_bronze(rows, path, "2025-03-15T00:00:00Z")
     return writers.write_bronze(rows, path, "2025-03-16T00:00:00Z")
 
@@ -53,12 +57,12 @@ def bronze_append(spark, sf_dir):
 @query(
     "bronze_license",
     f"""{WITH_SILVER} SELECT 'dados.gov.pt' AS portal, 2 AS restrictions, '2025-03-15T00:00:00Z' AS extracted, COUNT(*) AS records
-      FROM raw WHERE seq % 10 = 3 AND {_RELEASE_DAY} IS NOT NULL""",
+      FROM raw WHERE {_RELEASE_DAY} IS NOT NULL""",
 )
 def bronze_license(spark, sf_dir):
     """The licence block of stored releases, read back."""
     path = scratch_path(spark, "bronze")
-    writers.write_bronze(releases(spark, sf_dir).where("seq % 10 = 3").drop("seq"), path, "2025-03-15T00:00:00Z")
+    writers.write_bronze(releases(spark, sf_dir).drop("seq"), path, "2025-03-15T00:00:00Z")
     stored = spark.read.schema("license struct<portal:string,restrictions:array<string>,extraction_timestamp:string>").json(path)
     return stored.groupBy(
         F.col("license.portal").alias("portal"), F.size("license.restrictions").alias("restrictions"),
@@ -69,66 +73,127 @@ def bronze_license(spark, sf_dir):
 @query(
     "bronze_files_per_country",
     f"""{WITH_SILVER}, held AS (SELECT DISTINCT {_COUNTRY} AS country FROM raw)
-      SELECT w.country, held.country IS NOT NULL AS has_files FROM (VALUES ('atlantis'), ('kosovo'), ('uk'), ('portugal'), ('nowhere')) w(country)
-      LEFT JOIN held USING (country)""",
+      SELECT w.country, held.country IS NOT NULL AS has_files, true AS as_read, true AS bytes_as_read
+      FROM (VALUES ('atlantis'), ('kosovo'), ('uk'), ('portugal'), ('nowhere')) w(country) LEFT JOIN held USING (country)""",
 )
 def bronze_files_per_country(spark, sf_dir):
-    """Files per expected country, those without any included; their number depends on the writer."""
+    """Files and bytes per expected country, those without any included. Their number depends on the writer, so it is held against
+    the files that a scan of the content reports."""
     path = scratch_path(spark, "bronze")
     releases(spark, sf_dir).select("country", "ocid").hint("rebalance", "country").write.mode("overwrite").partitionBy("country").json(path)
     expected = spark.createDataFrame([(c,) for c in ("atlantis", "kosovo", "uk", "portugal", "nowhere")], "country string")
     listing = scans.file_listing(spark, path, "*.json")
-    return profile.files_per_country(listing, expected, path.rsplit("/", 1)[1]).select("country", (F.col("files") > 0).alias("has_files"))
+    found = profile.files_per_country(listing, expected, path.rsplit("/", 1)[1])
+    scan = spark.read.schema("ocid string, country string").json(path)
+    per_file = scan.groupBy("country", F.col("_metadata.file_path")).agg(F.max("_metadata.file_size").alias("n"))
+    read = per_file.groupBy("country").agg(F.count("*").alias("read"), F.sum("n").alias("bytes"))
+    nothing = F.lit(0).cast("bigint")
+    return found.join(read, "country", "left").select(
+        "country", (F.col("files") > 0).alias("has_files"), (F.col("files") == F.coalesce("read", nothing)).alias("as_read"),
+        (F.col("size_bytes") == F.coalesce("bytes", nothing)).alias("bytes_as_read"),
+    )
 
 
-@query(
-    "release_lines_to_silver",
-    f"""{_MAPPED_SQL} SELECT {_COUNTRY} AS source_country, COUNT(*) AS records, COUNT(DISTINCT record_hash) AS hashes,
-      COUNT(DISTINCT procurement_method) AS methods, CAST(SUM(num_awards) AS BIGINT) AS awards FROM hashed WHERE ({_REASON}) IS NULL GROUP BY 1""",
-)
+_ROWS_SQL = f"{_MAPPED_SQL} SELECT {_MAPPED_LIST.removeprefix('seq, ')} FROM hashed WHERE ({_REASON}) IS NULL"
+
+
+@query("release_lines_to_silver", _ROWS_SQL)
 def release_lines_to_silver(spark, sf_dir):
-    """JSON lines below country folders, read with the release schema, mapped and validated."""
+    """JSON lines below country folders, read with the release schema, mapped and validated: all rows."""
     path = scratch_path(spark, "lines")
     rows = releases(spark, sf_dir).drop("seq", "source_file")
     rows.write.mode("overwrite").partitionBy("country").json(path)
     lines = scans.good_lines(scans.release_lines(spark, path))
     named = lines.withColumn("country", scans.country_of_path(F.col("source_file"), path.rsplit("/", 1)[1]))
-    kept = mapping.transform_releases(scans.spread(named))
-    return kept.groupBy("source_country").agg(
-        F.count("*").alias("records"), F.count_distinct("record_hash").alias("hashes"),
-        F.count_distinct("procurement_method").alias("methods"), F.sum("num_awards").alias("awards"),
-    )
+    return _flat(mapping.transform_releases(scans.spread(named)))
 
 
 @query(
-    "envelopes_to_silver",
-    f"""{WITH_SILVER} SELECT {_COUNTRY} AS country, COUNT(*) AS records,
-      COUNT(*) FILTER (starts_with(ocid, 'ocds-')) AS valid_ocids FROM raw GROUP BY 1""",
+    "release_line_rejects",
+    """WITH lines AS (SELECT o_orderkey, 'ocds-' || o_orderkey AS ocid, o_orderkey % 9 = 4 AS broken FROM orders),
+        counts AS (SELECT COUNT(*) FILTER (NOT broken) AS good, COUNT(*) FILTER (broken) AS bad FROM lines)
+      SELECT CASE WHEN broken THEN 'bad' ELSE 'good' END AS side, CASE WHEN broken THEN '{"ocid": "' || ocid || '", ' ELSE ocid END AS content,
+        CASE WHEN broken THEN bad ELSE good END AS of_side FROM lines, counts""",
 )
+def release_line_rejects(spark, sf_dir):
+    """Good, broken and blank lines in compressed files: both sides, and how many rows each has, from one pass."""
+    path = scratch_path(spark, "lines") + "/files"
+    ocid = F.concat(F.lit("ocds-"), F.col("o_orderkey").cast("string"))
+    start = F.concat(F.lit('{"ocid": "'), ocid, F.lit('", '))
+    line = F.when(F.col("o_orderkey") % 9 == 4, start).otherwise(F.concat(start, F.lit('"id": "1"}')))
+    blank = F.when(F.col("o_orderkey") % 5 == 0, F.array(line, F.lit("  "), F.lit(""))).otherwise(F.array(line))
+    table(spark, sf_dir, "orders").select(F.explode(blank).alias("value")).write.option("compression", "gzip").text(path)
+    good, bad, counts = scans.split_lines(scans.release_lines(spark, path))
+    sides = good.select(F.lit("good").alias("side"), F.col("ocid").alias("content")).unionAll(bad.select(F.lit("bad"), scans.BAD_LINE))
+    return sides.withColumn("of_side", F.when(F.col("side") == "good", F.lit(counts["good"])).otherwise(F.lit(counts["bad"])).cast("bigint"))
+
+
+def _write_envelopes(spark, sf_dir: str, path: str) -> None:
+    """One file per country and month, each one envelope of many records, indented by two blanks."""
+    rows = releases(spark, sf_dir)
+    release = F.struct(*[n for n in schemas.RELEASE_SCHEMA.names if n in rows.columns])
+    month = F.coalesce(F.substring(F.col("tender.tenderPeriod.startDate"), 1, 7), F.lit("none"))
+    body = F.concat(F.lit("    {\n      "), F.regexp_replace(F.to_json(release), r"^\{|\}$", ""), F.lit("\n    }"))
+    envelopes = rows.groupBy("country", month.alias("month")).agg(F.array_join(F.collect_list(body), ",\n").alias("records"), F.count("*").alias("n"))
+    text = F.concat(F.lit('{\n  "records": [\n'), "records", F.lit('\n  ],\n  "count": '), F.col("n").cast("string"), F.lit("\n}"))
+    envelopes.select("country", "month", text.alias("value")).write.mode("overwrite").partitionBy("country", "month").text(path)
+
+
+@query("envelopes_to_silver", _ROWS_SQL)
 def envelopes_to_silver(spark, sf_dir):
+    """Files of one envelope with many records below country folders, cut at their records, mapped and validated: all rows."""
+    path = scratch_path(spark, "envelopes")
+    _write_envelopes(spark, sf_dir, path)
+    records = scans.envelope_records(spark, path, path.rsplit("/", 1)[1], glob="*.txt")
+    return _flat(mapping.transform_releases(scans.good_lines(records).drop("source_file", "_row")))
+
+
+@query("envelope_objects_to_silver", _ROWS_SQL)
+def envelope_objects_to_silver(spark, sf_dir):
+    """The same files, each read as one object."""
+    path = scratch_path(spark, "envelopes")
+    _write_envelopes(spark, sf_dir, path)
+    found = scans.envelopes(spark, path, path.rsplit("/", 1)[1], glob="*.txt")
+    return _flat(mapping.transform_releases(found.drop("source_file", "_row")))
+
+
+@query(
+    "envelope_lines_to_silver",
+    f"""{WITH_SILVER} SELECT {_COUNTRY} AS country, ocid FROM raw""",
+)
+def envelope_lines_to_silver(spark, sf_dir):
     """Envelopes below country folders, one per line, exploded into their releases."""
     path = scratch_path(spark, "envelopes")
     rows = releases(spark, sf_dir)
     release = F.struct(*[n for n in schemas.RELEASE_SCHEMA.names if n in rows.columns])
     lines = rows.select("country", F.array(release).alias("records"), F.lit(1).alias("count"))
     lines.write.mode("overwrite").partitionBy("country").json(path)
-    found = scans.envelopes(spark, path, path.rsplit("/", 1)[1], glob="*.json", per_line=True)
-    return found.groupBy("country").agg(
-        F.count("*").alias("records"), F.count_if(F.col("ocid").startswith("ocds-")).alias("valid_ocids")
-    )
+    return scans.envelopes(spark, path, path.rsplit("/", 1)[1], glob="*.json", per_line=True).select("country", "ocid")
 
 
-@query(
-    "notices_to_silver",
-    f"""{WITH_SILVER} SELECT CASE WHEN seq % 6 = 0 THEN 'germany' WHEN seq % 6 = 1 THEN 'xyz' WHEN seq % 6 IN (2, 3, 4)
-      THEN 'portugal' ELSE 'unknown' END AS source_country, COUNT(*) AS records FROM raw GROUP BY 1""",
-)
+@query("notices_to_silver", f"{_NOTICES_SQL} SELECT {_NOTICES_LIST.removeprefix('seq, ')} FROM m")
 def notices_to_silver(spark, sf_dir):
-    """Nested Parquet notices written and scanned with their schema."""
+    """Nested Parquet notices written, scanned with their schema and mapped: all rows."""
     path = scratch_path(spark, "ted")
     _notices(spark, sf_dir).drop("seq", "source_file").write.mode("overwrite").parquet(path)
-    mapped = notices.map_notices(scans.notices(spark, path))
-    return mapped.groupBy("source_country").agg(F.count("*").alias("records"))
+    return _flat(notices.map_notices(scans.notices(spark, path)))
+
+
+@query(
+    "contract_files_to_silver",
+    CHECKS["contracts_to_silver"],
+)
+def contract_files_to_silver(spark, sf_dir):
+    """Contract rows as CSV files of two headers in one folder, with quotes and line breaks in a text, read and mapped."""
+    path = scratch_path(spark, "contracts") + "/files"
+    rows = _contract_rows(spark, sf_dir).withColumn("descContrato", F.when(F.col("objectoContrato") == "", "desc").otherwise('a "b",\n c'))
+    for half, columns in ((0, sorted(rows.columns)), (1, [c for c in rows.columns if c != "descContrato"])):
+        title = F.when(F.col("objectoContrato") == "", "desc").otherwise(F.col("objectoContrato"))
+        part = rows if half == 0 else rows.withColumn("objectoContrato", title)
+        part.where(F.col("seq") % 2 == half).select(*[c for c in columns if c != "seq"]).write.mode("append").option("header", True).option(
+            "escape", '"'
+        ).option("emptyValue", "").csv(path)
+    return _contracts_silver(scans.contract_rows(spark, path))
 
 
 @query(
@@ -198,54 +263,132 @@ def gold_build(spark, sf_dir):
     )
 
 
+_SUMS = f"COUNT(ocid) AS total_records, {money_sql()} AS total_value, {mean_sql()} AS avg_value"
+
+
 @query(
     "gold_tables",
-    f"""{WITH_GOLD} SELECT 'country_summary' AS name, COUNT(DISTINCT source_country) AS row_count FROM gold
-      UNION ALL SELECT 'monthly_trends', COUNT(DISTINCT year * 100 + month) FROM gold WHERE year > 0
-      UNION ALL SELECT 'category_analysis', COUNT(DISTINCT source_country || '|' || procurement_category_standardized) FROM gold
-      UNION ALL SELECT 'top_buyers', least(100, COUNT(DISTINCT source_country || '|' || buyer_name)) FROM gold WHERE buyer_name <> ''
-      UNION ALL SELECT 'top_suppliers', least(100, COUNT(DISTINCT source_country || '|' || s))
-        FROM (SELECT source_country, unnest(supplier_names) AS s FROM gold)""",
+    f"""{WITH_GOLD}, suppliers AS (SELECT *, unnest(supplier_names) AS supplier FROM gold),
+      named AS (SELECT source_country, COUNT(DISTINCT supplier) AS n FROM suppliers GROUP BY 1)
+      SELECT 'country_summary' AS name, source_country AS a, '' AS b, {_SUMS}, round(median(tender_value_amount), 4) AS median,
+        COUNT(DISTINCT buyer_name) AS buyers, any_value(coalesce(n, 0)) AS others, MIN(publication_date) AS first_day, MAX(publication_date) AS last_day
+        FROM gold LEFT JOIN named USING (source_country) GROUP BY source_country
+      UNION ALL SELECT 'monthly_trends', CAST(year AS VARCHAR), CAST(month AS VARCHAR), {_SUMS}, NULL, COUNT(DISTINCT buyer_name),
+        COUNT(DISTINCT source_country), NULL, NULL FROM gold WHERE year > 0 GROUP BY year, month
+      UNION ALL SELECT 'category_analysis', source_country, procurement_category_standardized, {_SUMS}, NULL, NULL, NULL, NULL, NULL
+        FROM gold GROUP BY source_country, procurement_category_standardized
+      UNION ALL (SELECT 'top_buyers', buyer_name, source_country, {_SUMS}, NULL, NULL, NULL, NULL, NULL FROM gold WHERE buyer_name <> ''
+        GROUP BY buyer_name, source_country ORDER BY total_records DESC, buyer_name, source_country LIMIT 100)
+      UNION ALL (SELECT 'top_suppliers', supplier, source_country, {_SUMS}, NULL, NULL, NULL, NULL, NULL FROM suppliers WHERE supplier <> ''
+        GROUP BY supplier, source_country ORDER BY total_records DESC, supplier, source_country LIMIT 100)""",
 )
 def gold_tables(spark, sf_dir):
-    """The five aggregate tables and the reports, written from the stored unified table."""
+    """The five aggregate tables, written from the stored unified table and read back: all rows and values."""
     path, folder = scratch_path(spark, "gold"), scratch_path(spark, "aggregates")
     writers.write_gold(enrich.gold_columns(gold(spark, sf_dir)), path)
-    stored = scans.gold(spark, path)
-    paths = gold_plan.build_aggregates(stored, folder)
-    gold_plan.build_reports(stored, scratch_path(spark, "reports"))
-    counts = [
-        spark.read.parquet(p).agg(F.lit(name).alias("name"), F.count("*").alias("row_count")) for name, p in paths.items()
-    ]
-    whole = counts[0]
-    for part in counts[1:]:
-        whole = whole.unionByName(part)
+    return _five_tables(spark, gold_plan.build_aggregates(scans.gold(spark, path), folder))
+
+
+def _five_tables(spark, paths: dict[str, str]) -> DataFrame:
+    """All tables in one shape."""
+    shape = {
+        "country_summary": ("source_country", None, "total_value_sum", "num_buyers", "num_suppliers"),
+        "monthly_trends": ("year", "month", "total_value", "num_buyers", "num_countries"),
+        "category_analysis": ("source_country", "procurement_category_standardized", "total_value", None, None),
+        "top_buyers": ("buyer_name", "source_country", "total_value", None, None),
+        "top_suppliers": ("supplier_name", "source_country", "total_value", None, None),
+    }
+    whole = None
+    for name, path in paths.items():
+        rows = spark.read.parquet(path)
+        a, b, total, buyers, others = shape[name]
+        some = lambda c, kind, rows=rows: (F.col(c) if c in rows.columns else F.lit(None)).cast(kind)
+        part = rows.select(
+            F.lit(name).alias("name"), F.col(a).cast("string").alias("a"), (F.col(b).cast("string") if b else F.lit("")).alias("b"),
+            "total_records", F.col(total).alias("total_value"), "avg_value", F.round(some("median_value", "double"), 4).alias("median"),
+            some(buyers, "bigint").alias("buyers"), some(others, "bigint").alias("others"),
+            some("date_range_start", "string").alias("first_day"), some("date_range_end", "string").alias("last_day"),
+        )
+        whole = part if whole is None else whole.unionByName(part)
     return whole
 
 
+_ALL_SQL = f"{WITH_GOLD} SELECT * EXCLUDE (seq, supplier_ids, supplier_names, document_urls), array_to_string(supplier_names, '|') AS names FROM gold"
+
+
+@query("gold_refresh", _ALL_SQL)
+def gold_refresh(spark, sf_dir):
+    """The unified table built from the first Silver batches and refreshed with the others: all rows as from one build."""
+    root, path = scratch_path(spark, "silver"), f"{scratch_path(spark, 'gold')}/unified"
+    tenders = staged(silver(spark, sf_dir), "silver")
+    for batch, condition in (("1", "seq % 4 IN (1, 2, 3) OR seq % 5 = 0"), ("2", "seq % 4 = 0 AND seq % 5 <> 0")):
+        for folder, tag in gold_plan.SOURCE_FOLDERS.items():
+            part = tenders.where((F.col("source") == tag) & F.expr(condition)).drop("source", "seq")
+            part.write.parquet(f"{root}/{folder}/batch={batch}")
+        gold_plan.refresh_unified(spark, root, path, AS_OF)
+    stored = scans.gold(spark, path)
+    return stored.withColumn("names", F.array_join("supplier_names", "|")).drop("supplier_ids", "supplier_names", "document_urls")
+
+
+def _report(spark, sf_dir: str, name: str, schema: str) -> DataFrame:
+    paths = gold_plan.build_reports(staged(enrich.gold_columns(gold(spark, sf_dir).drop("seq")), "gold"), scratch_path(spark, "reports"))
+    return spark.read.schema(schema).json(paths[name])
+
+
 @query(
     "gold_reports",
-    f"""{WITH_GOLD} SELECT COUNT(*) AS total_records, COUNT(DISTINCT source_country) AS countries,
+    f"""{WITH_GOLD} SELECT COUNT(*) AS total_records, COUNT(DISTINCT source_country) AS countries, MIN(publication_date) AS first_date,
+      MAX(publication_date) AS last_date, round(AVG(data_completeness_score), 6) AS avg_completeness,
       COUNT(*) FILTER (date_quality_flag = 'valid') AS valid_dates, COUNT(*) FILTER (is_future_date) AS future_dates FROM gold""",
 )
 def gold_reports(spark, sf_dir):
     """The overview report as written to JSON, read back."""
-    folder = scratch_path(spark, "reports")
-    paths = gold_plan.build_reports(staged(gold(spark, sf_dir), "gold"), folder)
-    schema = "total_records bigint, countries bigint, valid_dates bigint, future_dates bigint"
-    return spark.read.schema(schema).json(paths["overview"])
+    schema = "total_records bigint, countries bigint, first_date string, last_date string, avg_completeness double, valid_dates bigint, future_dates bigint"
+    return _report(spark, sf_dir, "overview", schema).withColumn("avg_completeness", F.round("avg_completeness", 6))
+
+
+@query("gold_reports_coverage", CHECKS["gold_coverage"])
+def gold_reports_coverage(spark, sf_dir):
+    """The coverage report as written to JSON, read back."""
+    built = gold_plan.build_reports(staged(enrich.gold_columns(gold(spark, sf_dir).drop("seq")), "gold"), scratch_path(spark, "reports"))
+    return spark.read.schema(QUERIES["gold_coverage"](spark, sf_dir).schema).json(built["coverage"])
+
+
+@query("gold_reports_validation", CHECKS["gold_validation"])
+def gold_reports_validation(spark, sf_dir):
+    """The validation report as written to JSON, read back."""
+    return _report(spark, sf_dir, "validation", "metric string, value double")
+
+
+@query(
+    "gold_reports_deduplication",
+    f"""{WITH_GOLD} SELECT COUNT(*) AS total_records, COUNT(DISTINCT ocid) AS unique_ocids, COUNT(*) - COUNT(DISTINCT ocid) AS duplicate_ocids,
+      1 - CAST(COUNT(DISTINCT ocid) AS DOUBLE) / COUNT(*) AS deduplication_rate FROM gold""",
+)
+def gold_reports_deduplication(spark, sf_dir):
+    """The identity report as written to JSON, read back."""
+    schema = "total_records bigint, unique_ocids bigint, duplicate_ocids bigint, deduplication_rate double"
+    return _report(spark, sf_dir, "deduplication", schema)
 
 
 @query(
     "file_stats",
-    f"""{WITH_SILVER} SELECT source AS source_country, COUNT(*) AS records FROM silver GROUP BY source""",
+    f"""{WITH_SILVER} SELECT source AS source_country, COUNT(*) AS records, true AS files_as_listed, true AS size_as_listed FROM silver GROUP BY source""",
 )
 def file_stats(spark, sf_dir):
-    """Files, records and size per partition of a stored table; sizes depend on the writer, so only records are compared."""
+    """Files, records and size per partition of a stored table; files and sizes depend on the writer, so they are held
+    against a listing, sizes to a hundredth of a megabyte."""
     path = scratch_path(spark, "silver")
     tenders = silver(spark, sf_dir).withColumn("source_country", F.col("source")).drop("source")
     writers.write_silver(tenders, path, mode="overwrite")
-    return silver_plan.silver_totals(spark, path).select("source_country", "records")
+    country = F.regexp_extract("path", "/source_country=([^/]+)/", 1)
+    listed = scans.file_listing(spark, path, "*.parquet").groupBy(country.alias("source_country")).agg(
+        F.count("*").alias("listed"), F.sum("length").alias("bytes")
+    )
+    close = F.abs(F.col("size_mb") - F.col("bytes") / F.lit(1024 * 1024)) < 0.01
+    return silver_plan.silver_totals(spark, path).join(listed, "source_country").select(
+        "source_country", "records", (F.col("files") == F.col("listed")).alias("files_as_listed"), close.alias("size_as_listed")
+    )
 
 
 @query(
@@ -289,12 +432,12 @@ def parquet_limit(spark, sf_dir):
 @query(
     "export_csv_arrays",
     f"""{WITH_GOLD} SELECT ocid, '[' || array_to_string(list_transform(supplier_names, lambda x: '"' || replace(x, '"', '\\"') || '"'), ',') || ']' AS suppliers
-      FROM gold WHERE len(supplier_names) > 0""",
+      FROM gold""",
 )
 def export_csv_arrays(spark, sf_dir):
     """Array columns as JSON text in CSV, read back."""
     path = scratch_path(spark, "export")
-    rows = gold(spark, sf_dir).where(F.size("supplier_names") > 0)
+    rows = gold(spark, sf_dir)
     writers.export(rows.select("ocid", F.col("supplier_names").alias("suppliers")), path, "csv")
     return spark.read.schema("ocid string, suppliers string").option("header", True).option("escape", '"').csv(path)
 

@@ -284,16 +284,16 @@ _MAPPED_SQL = f"""{WITH_SILVER}, named AS (
 _MAPPED_LIST = ", ".join(("seq", *_MAPPED_SCALARS, "supplier_ids", "supplier_names", "document_urls", "record_hash"))
 
 
-def _flat(mapped: DataFrame) -> DataFrame:
+def _flat(mapped: DataFrame, *keep: str) -> DataFrame:
     joined = {n: F.array_join(n, "|") for n in schemas.SILVER_ARRAYS}
     return mapped.withColumns(joined).select(
-        "seq", *_MAPPED_SCALARS, "supplier_ids", "supplier_names", "document_urls", "record_hash"
+        *keep, *_MAPPED_SCALARS, "supplier_ids", "supplier_names", "document_urls", "record_hash"
     )
 
 
 @query("map_releases", f"{_MAPPED_SQL} SELECT {_MAPPED_LIST} FROM hashed")
 def map_releases(spark, sf_dir):
-    return _flat(mapping.map_releases(releases(spark, sf_dir), keep=("seq",)))
+    return _flat(mapping.map_releases(releases(spark, sf_dir), keep=("seq",)), "seq")
 
 
 @query(
@@ -382,9 +382,7 @@ _NO_DURATION = "CASE WHEN lower({0}) NOT LIKE '% dia%' THEN {1} END"
 _RAW_PUBLISHED = "coalesce(publication_date, award_date, CASE WHEN seq % 5 <> 0 THEN tender_end_date END)"
 
 
-@query(
-    "map_notices",
-    f"""{WITH_SILVER}, m AS (SELECT seq, 'ocds-ted-' || tender_id AS ocid, {_COUNTRY_TIERS} AS source_country, tender_id,
+_NOTICES_SQL = f"""{WITH_SILVER}, m AS (SELECT seq, 'ocds-ted-' || tender_id AS ocid, {_COUNTRY_TIERS} AS source_country, tender_id,
         tender_id AS source_publication_id, {text_sql("tender_title")} AS tender_title,
         {_NO_DURATION.format(_RAW_PUBLISHED, date_sql(_RAW_PUBLISHED))} AS publication_date,
         award_date AS tender_start_date, award_date,
@@ -399,12 +397,14 @@ _RAW_PUBLISHED = "coalesce(publication_date, award_date, CASE WHEN seq % 5 <> 0
         coalesce(array_to_string(supplier_ids, '|'), '') AS supplier_ids,
         coalesce(array_to_string(supplier_names, '|'), '') AS supplier_names,
         CASE WHEN seq % 2 = 0 THEN 'http://p/' || tender_id || '|' ELSE '' END || 'http://s/' || tender_id AS document_urls
-      FROM raw)
-      SELECT {_MAPPED_LIST.replace(", record_hash", "")},
-        {hash_sql("ocid", "tender_id", "publication_date", "buyer_name")} AS record_hash FROM m""",
-)
+      FROM raw)"""
+_NOTICES_LIST = f"""{_MAPPED_LIST.replace(", record_hash", "")},
+        {hash_sql("ocid", "tender_id", "publication_date", "buyer_name")} AS record_hash"""
+
+
+@query("map_notices", f"{_NOTICES_SQL} SELECT {_NOTICES_LIST} FROM m")
 def map_notices(spark, sf_dir):
-    return _flat(notices.map_notices(_notices(spark, sf_dir), keep=("seq",)))
+    return _flat(notices.map_notices(_notices(spark, sf_dir), keep=("seq",)), "seq")
 
 
 @query(
@@ -476,7 +476,11 @@ def party_list(spark, sf_dir):
         CAST(CASE WHEN num_lots IS NULL THEN 0 ELSE 1 END AS BIGINT) AS num_awards FROM c WHERE contract IS NOT NULL""",
 )
 def contracts_to_silver(spark, sf_dir):
-    nested = contracts.contracts_to_releases(_contract_rows(spark, sf_dir), 2025)
+    return _contracts_silver(_contract_rows(spark, sf_dir))
+
+
+def _contracts_silver(rows: DataFrame) -> DataFrame:
+    nested = contracts.contracts_to_releases(rows, 2025)
     portugal = mapping.default_registry().only("portugal")  # contract rows have one shape
     kept = mapping.transform_releases(nested.withColumn("country", F.lit("portugal")), registry=portugal)
     return kept.withColumn("supplier_names", F.array_join("supplier_names", "|")).select(

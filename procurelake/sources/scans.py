@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procurelake import schemas
+from procurelake.session import staged
 
 RELEASE_FILES = "records_*.json"
+# Fixed value: how a record begins in an envelope file of two blanks of indentation.
+RECORD_START = "\n    {\n"
 BAD_LINE = "_bad_line"
 # What Spark calls a folder without files of the kind.
 _ABSENT = ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND")
@@ -62,6 +65,34 @@ def envelopes(
     ).select("_release.*", "country", "source_file", "_row")
 
 
+def envelope_records(
+    spark: SparkSession, path: str, source: str, country: str | None = None, glob: str = RELEASE_FILES, record_start: str = RECORD_START
+) -> DataFrame:
+    """Releases out of files that hold one envelope each; a large file is read by many tasks.
+
+    The text is cut where a record begins, and every piece is parsed by itself. ``record_start`` is what the writer puts there and
+    nowhere else: for indented files a line break, the record's indentation and its brace, which no quoted text can hold, as line
+    breaks are escaped in it; for compact files the brace with a record's first key, which stands unescaped at records only.
+    Records that are no JSON keep their text in ``_bad_line``. ``_row`` orders the records of a file.
+    """
+    fields = schemas.RELEASE_SCHEMA.fields + [T.StructField(BAD_LINE, T.StringType())]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
+    pieces = (
+        spark.read.option("lineSep", record_start).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    )
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    named = F.lit(country) if country else country_of_path(file_path(), source)
+    placed = pieces.select("value", named.alias("country"), file_path().alias("source_file"), place.alias("_row"))
+    # what stands before the first record is the beginning of the envelope
+    records = placed.where(~F.ltrim("value").startswith("{"))
+    opening = record_start[record_start.index("{") :]
+    # an indented record ends at its brace; what follows a compact one, the parser leaves alone
+    ended = F.substring_index("value", record_start.rstrip("\n").replace("{", "}"), 1) if record_start.startswith("\n") else F.col("value")
+    whole = F.concat(F.lit(opening), ended, F.lit("\n}" if record_start.startswith("\n") else ""))
+    parsed = records.withColumn("_release", F.from_json(whole, T.StructType(fields), options))
+    return parsed.select("_release.*", "country", "source_file", "_row")
+
+
 def release_lines(spark: SparkSession, path: str) -> DataFrame:
     """One release per line, gzip or not. Lines that are no JSON keep their text in ``_bad_line``.
 
@@ -84,6 +115,17 @@ def bad_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col(BAD_LINE).isNotNull()).select("source_file", BAD_LINE)
 
 
+def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Good lines, rejected ones, and how many there are of each, from one pass over the files.
+
+    The parse is staged, since both sides and the counts come from it; counts are observed while it is written.
+    """
+    seen = Observation()
+    bad = F.col(BAD_LINE).isNotNull()
+    parsed = staged(lines.observe(seen, F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad")), "lines")
+    return good_lines(parsed), bad_lines(parsed), dict(seen.get)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even partitions after an unsplittable scan; the number is left to adaptive execution."""
     return df.hint("rebalance")
@@ -203,11 +245,31 @@ def parquet(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
 def contract_rows(spark: SparkSession, path: str) -> DataFrame:
     """Contract rows from CSV files, by the names in their header: all columns as text, known ones without a column as NULL.
 
-    Files whose headers differ are read one kind at a time by the caller. Quoted texts may hold line breaks.
+    Files of one folder may have headers that differ in order or in columns; those with the same header are one scan. Headers are read
+    as the first line of each file, one row per file. Quoted texts may hold line breaks.
     """
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    absent = [f for f in schemas.CONTRACT_SCHEMA.fields if f.name not in rows.columns]
-    return rows.withColumns({f.name: F.lit(None).cast("string") for f in absent}) if absent else rows
+    place = F.row_number().over(Window.partitionBy("file").orderBy("place"))
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+    heads = lines.select(file_path().alias("file"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("head"))
+    kinds: dict[str, list[str]] = {}
+    for row in heads.withColumn("nth", place).where("nth = 1").orderBy("file").toLocalIterator():
+        kinds.setdefault(row.head, []).append(_plain_path(spark, row.file))
+    parts = []
+    for files in kinds.values():
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(files)
+        absent = [f for f in schemas.CONTRACT_SCHEMA.fields if f.name not in rows.columns]
+        parts.append(rows.withColumns({f.name: F.lit(None).cast("string") for f in absent}) if absent else rows)
+    if not parts:
+        return spark.createDataFrame([], schemas.CONTRACT_SCHEMA)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
+def _plain_path(spark: SparkSession, address: str) -> str:
+    """The path that an encoded file address names."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(address)).toString()
 
 
 def file_listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -214,3 +214,53 @@ def test_exports(spark, tmp_path):
     assert spark.read.schema("n int, s string").json(str(tmp_path / "json")).orderBy("n").first()["s"] == "a"
     with pytest.raises(ValueError):
         writers.export(df, str(tmp_path / "x"), "xml")
+
+
+@pytest.mark.parametrize("indent", [2, None])
+def test_envelope_files_are_cut_at_records(spark, tmp_path, indent):
+    """Texts that look like borders stay texts, and a file is read by more than one task."""
+    records = [release(ocid=f"ocds-{i}", tender={"id": str(i), "title": 'a\n    {\n "ocid": {"ocid": "x"} },\n    {\n' + "x" * (i % 300)}) for i in range(400)]
+    folder = tmp_path / "s" / "uk"
+    folder.mkdir(parents=True)
+    start = scans.RECORD_START if indent else '{"ocid": '
+    (folder / "records_1.json").write_text(json.dumps({"records": records, "count": 400}, indent=indent), encoding="utf-8")
+    (folder / "records_2.json").write_text(json.dumps({"records": [], "count": 0}, indent=indent), encoding="utf-8")
+    (folder / "records_3.json").write_text(json.dumps({"records": records[:1], "count": 1, "note": "end"}, indent=indent), encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        cut = scans.envelope_records(spark, str(tmp_path / "s"), "s", record_start=start)
+        assert cut.where(F.col("source_file").contains("records_1")).rdd.getNumPartitions() > 3
+        whole = scans.envelopes(spark, str(tmp_path / "s"), "s")
+        columns = [c for c in whole.columns if c != "_row"]
+        show = lambda df: sorted(map(str, df.select(*columns).collect()))
+        assert scans.bad_lines(cut).count() == 0
+        assert show(cut) == show(whole) and cut.count() == 401
+        ordered = [r["ocid"] for r in cut.where(F.col("source_file").contains("records_1")).orderBy("_row").select("ocid").collect()]
+        assert ordered == [f"ocds-{i}" for i in range(400)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_broken_record_of_an_envelope(spark, tmp_path):
+    body = json.dumps({"records": [release(), release(ocid="ocds-2")]}, indent=2).replace('"ocid": "ocds-2"', '"ocid": ocds-2')
+    (tmp_path / "records_1.json").write_text(body, encoding="utf-8")
+    cut = scans.envelope_records(spark, str(tmp_path), "s", country="uk")
+    assert [r["ocid"] for r in scans.good_lines(cut).collect()] == ["ocds-1"]
+    assert "ocds-2" in scans.bad_lines(cut).first()[scans.BAD_LINE]
+
+
+def test_split_lines_counts_both_sides(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join([json.dumps(release()), "", "{", "  ", json.dumps(KOSOVO), "no"]), encoding="utf-8")
+    good, bad, counts = scans.split_lines(scans.release_lines(spark, str(tmp_path)))
+    assert counts == {"good": 2, "bad": 2} and good.count() == 2 and sorted(r[scans.BAD_LINE] for r in bad.collect()) == ["no", "{"]
+
+
+def test_contract_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('idcontrato,descContrato,adjudicante\n1,"x\n""y"", z",A\n2,,B\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("adjudicante,idcontrato,Extra\nC,3,e\n", encoding="utf-8")
+    (tmp_path / "d.csv").write_text('idcontrato,descContrato,adjudicante\n4,q,D\n', encoding="utf-8")
+    rows = {r["idcontrato"]: r for r in scans.contract_rows(spark, str(tmp_path)).collect()}
+    assert set(rows) == set("1234")
+    assert (rows["1"]["descContrato"], rows["1"]["adjudicante"], rows["3"]["adjudicante"]) == ('x\n"y", z', "A", "C")
+    assert (rows["3"]["descContrato"], rows["3"]["Extra"], rows["4"]["Extra"], rows["4"]["descContrato"]) == (None, "e", None, "q")
