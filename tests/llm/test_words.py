@@ -177,9 +177,10 @@ def test_phrases_in_small_tables_and_slices(spark):
 
             batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
             for run in work(iter([batch, batch])):
-                for lang, phrase, size, n in zip(*[run.column(c).to_pylist() for c in ("lang", "phrase", "size", "n")]):
+                for lang, prefix, rest, n in zip(*[run.column(c).to_pylist() for c in ("lang", "prefix", "rest", "n")]):
                     assert lang == "en"
-                    total[size, phrase] += n
+                    words_ = f"{prefix} {rest}".strip(" ").split(" ")
+                    total[len(words_), " ".join(words_)] += n
             want = Counter()
             for text in texts * 2:
                 low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
