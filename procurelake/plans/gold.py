@@ -9,7 +9,7 @@ from procurelake import schemas
 from procurelake.operators import aggregates, enrich, profile, quality
 from procurelake.session import staged, staging
 from procurelake.sinks import writers
-from procurelake.sources import scans
+from procurelake.sources import commits, scans
 from procurelake.streaming import incremental
 
 # Source folder to source tag, in order of priority.
@@ -68,14 +68,15 @@ def _ledger(path: str) -> str:
 
 
 def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """``name, path`` of all Silver files, as they are now."""
-    parts = [
-        scans.file_listing(spark, f"{root}/{name}", "*.parquet").select(F.lit(name).alias("name"), "path")
-        for name in SOURCE_FOLDERS if scans.exists(spark, f"{root}/{name}")
-    ]
+    """``name, path`` of all Silver files that count, as they are now."""
     whole = spark.createDataFrame([], "name string, path string")
-    for part in parts:
-        whole = whole.unionByName(part)
+    for name in SOURCE_FOLDERS:
+        folder = f"{root}/{name}"
+        if scans.exists(spark, folder):
+            known = commits.committed(spark, folder)
+            files = scans.file_listing(spark, folder, "*.parquet")
+            files = files.where(commits.counts(F.col("path"), commits.hidden(spark, folder, known)))
+            whole = whole.unionByName(files.select(F.lit(name).alias("name"), "path"))
     return staged(whole, "listing")
 
 

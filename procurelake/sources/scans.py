@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from procurelake import schemas
 from procurelake.session import staged
+from procurelake.sources import commits
 
 RELEASE_FILES = "records_*.json"
 # Fixed value: how a record begins in an envelope file of two blanks of indentation.
@@ -201,6 +202,7 @@ def silver(
 ) -> DataFrame | None:
     """All Parquet files of one source, or those listed, without state and quality files; None if the source has none.
 
+    Folders of batches that are not in the table's commit log, if it has one, are left out.
     An unreadable file fails the job unless ``skip_unreadable`` is set; ``files_without_rows`` then lists what gave nothing.
 
     Folders may be laid out as ``key=value`` or not; a country that only stands in the folder
@@ -209,6 +211,7 @@ def silver(
     path = f"{root}/{source}"
     if not exists(spark, path):
         return None
+    known = commits.committed(spark, path)
     reader = spark.read.option("ignoreCorruptFiles", skip_unreadable)
     reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
     try:
@@ -220,6 +223,9 @@ def silver(
     data = scan
     for part in _SIDE_FILES:
         data = data.where(~_below(path).contains(part))
+    hidden = commits.hidden(spark, path, known)
+    if hidden:
+        data = data.where(commits.counts(file_path(), hidden))
     marked = data.withColumns({"_file": file_path(), "_row": F.col("_metadata.row_index")})
     country = _folder_value(F.col("_file"), "source_country")
     if "source_country" in marked.columns:

@@ -10,7 +10,7 @@ from procurelake.plans import gold as gold_plan
 from procurelake.plans import questions
 from procurelake.plans import silver as silver_plan
 from procurelake.session import scratch_path, shared_folder
-from procurelake.sources import scans
+from procurelake.sources import commits, scans
 from procurelake.streaming import incremental
 
 
@@ -258,3 +258,41 @@ def test_tables_from_facts_have_no_expand(spark):
 
     for build in aggregates.AGGREGATES.values():
         assert "Expand" not in build(gold)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_loads_at_once_store_each_hash_once(spark, tmp_path, monkeypatch):
+    path, order = str(tmp_path / "silver" / "ted"), [F.col("tender_id")]
+    silver_plan.load_silver(records(spark, range(2)), path, order, "2025-01-10", "x")
+    claim, inner = commits.claim, []
+
+    def second_first(spark_, path_, number, batch):
+        if not inner:
+            inner.append(True)  # the other load began earlier than this one's commit, and is faster
+            silver_plan.load_silver(records(spark, range(1, 6)), path, order, "2025-01-10", "x")
+            unseen = commits.folders(spark, path) - commits.committed(spark, path)
+            assert len(unseen) == 1
+            visible = scans.silver(spark, str(tmp_path / "silver"), "ted", schemas.SILVER_SCHEMA)
+            assert visible.count() == 6 and sum(r["records"] for r in silver_plan.silver_totals(spark, path).collect()) == 6
+        return claim(spark_, path_, number, batch)
+
+    monkeypatch.setattr(commits, "claim", second_first)
+    mine = silver_plan.load_silver(records(spark, range(4, 9)), path, order, "2025-01-10", "x")
+    monkeypatch.setattr(commits, "claim", claim)
+    assert sum(r["records"] for r in mine.collect()) == 3
+    stored = scans.silver(spark, str(tmp_path / "silver"), "ted", schemas.SILVER_SCHEMA)
+    assert sorted(r["ocid"] for r in stored.collect()) == [f"ocds-{n}" for n in range(9)]
+    assert [n for n, _ in commits.entries(spark, path)] == [1, 2, 3]
+    # a folder that a failed load has left is not read, neither by readers nor by the next load
+    records(spark, range(20, 25)).write.parquet(f"{path}/batch=left/source_country=PT/year=2025/month=01")
+    assert scans.silver(spark, str(tmp_path / "silver"), "ted", schemas.SILVER_SCHEMA).count() == 9
+    more = silver_plan.load_silver(records(spark, range(20, 22)), path, order, "2025-01-10", "x")
+    assert sum(r["records"] for r in more.collect()) == 2
+    assert gold_plan._listed(spark, str(tmp_path / "silver")).where(F.col("path").contains("batch=left")).count() == 0
+
+
+def test_table_without_a_log_gets_one(spark, tmp_path):
+    path, order = str(tmp_path / "silver"), [F.col("tender_id")]
+    records(spark, range(3)).drop("source_country").write.parquet(f"{path}/batch=old/source_country=PT/year=2025/month=01")
+    assert silver_plan.load_silver(records(spark, range(5)), path, order, "2025-01-10", "x").agg(F.sum("records")).first()[0] >= 2
+    assert [b for _, b in commits.entries(spark, path)][0] == "old"
+    assert commits.claim(spark, path, 1, "late") is False
