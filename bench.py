@@ -61,11 +61,16 @@ def main() -> None:
         silver = tenders.silver(spark, SF_DIR).persist()
         for name, tag in gold_plan.SOURCE_FOLDERS.items():
             silver.where(F.col("source") == tag).drop("source").write.parquet(f"{root}/{name}")
-        silver.unpersist()
         measure("gold:build", lambda: gold_plan.build_unified(spark, root, path, tenders.AS_OF))
         gold = scans.gold(spark, path)
+        tables = f"{folder}/tables"
+        found: list[aggregates.Facts] = []
+        measure("gold:facts", lambda: found.append(gold_plan.build_facts(gold, tables)))
         for name, build in aggregates.AGGREGATES.items():
-            measure(f"gold:{name}", lambda build=build: drain(build(gold)))
+            measure(f"gold:{name}", lambda build=build: drain(build(found[0])))
+        batch = silver.where("seq % 100 = 0").withColumn("tender_id", F.concat("tender_id", F.lit("-new")))
+        batch.where("source = 'ted'").withColumn("source_publication_id", F.lit("new")).drop("source").write.mode("append").parquet(f"{root}/ted")
+        measure("gold:refresh", lambda: gold_plan.refresh_unified(spark, root, path, tenders.AS_OF))
         ask = lambda *a, **k: drain(questions.ask(gold, *a, **k))
         measure("gold:count", lambda: ask(questions.TOTAL))
         measure("gold:top_countries", lambda: ask(questions.TOP_COUNTRIES, condition="source_country IS NOT NULL"))
@@ -75,7 +80,7 @@ def main() -> None:
         measure("gold:category_share", lambda: ask(questions.CATEGORY_SHARE))
         measure("gold:year_filter", lambda: drain(gold.where("year = 2024").groupBy("source_country").count()))
         lookup = f"{folder}/country_summary.parquet"
-        aggregates.country_summary(gold).write.parquet(lookup)
+        aggregates.country_summary(found[0]).write.parquet(lookup)
         measure("gold:lookup", lambda: drain(spark.read.parquet(lookup).orderBy("source_country")))
         measure("gold:coverage", lambda: drain(quality.coverage_report(gold)))
         measure("gold:validation", lambda: drain(quality.validation_report(gold)))

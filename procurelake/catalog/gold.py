@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from procurelake.catalog import query
 from procurelake.catalog.tenders import (
-    AS_OF, WITH_ENRICHED, WITH_GOLD, WITH_SILVER, country_sql, enriched, gold, mean_sql, money_sql, silver,
+    AS_OF, WITH_ENRICHED, WITH_GOLD, WITH_SILVER, country_sql, enriched, gold, mean_sql, money_sql, silver, unified,
 )
 from procurelake.functions import lookups
 from procurelake.operators import aggregates, enrich, profile
@@ -33,7 +33,7 @@ def unified_enriched(spark, sf_dir):
 
 @query("unified_dedup", f"{WITH_GOLD} SELECT {_LIST} FROM gold")
 def unified_dedup(spark, sf_dir):
-    return gold(spark, sf_dir).select(*_GOLD_COLUMNS)
+    return unified(spark, sf_dir).select(*_GOLD_COLUMNS)
 
 
 _BY_SCORE = """
@@ -86,9 +86,7 @@ def dictionary_lookup(spark, sf_dir):
     SELECT base.*, coalesce(sup.n, 0) AS num_suppliers FROM base LEFT JOIN sup USING (source_country)""",
 )
 def country_summary(spark, sf_dir):
-    # three branches read these columns, so they are computed once
-    columns = ["ocid", "source_country", "tender_value_amount", "buyer_name", "supplier_names", "publication_date"]
-    summary = aggregates.country_summary(staged(gold(spark, sf_dir).select(*columns), "gold"))
+    summary = aggregates.country_summary(gold(spark, sf_dir))
     return summary.withColumn("median_value", F.round("median_value", 4))
 
 

@@ -466,18 +466,27 @@ def incremental_files(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("records"))
 
 
-@query("changed_files", "SELECT event_type FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'click'")
+@query(
+    "changed_files",
+    """SELECT event_type, event_type <> 'view' AS opened_for_content, true AS digest_is_of_content FROM (SELECT DISTINCT event_type FROM events)
+      WHERE event_type NOT IN ('click', 'view')""",
+)
 def changed_files(spark, sf_dir):
-    """Files whose digest is new or differs from the ledger's latest one."""
+    """Files whose digest is new or differs from the ledger's latest one. Of what the ledger holds with the same size and time
+    (clicks) nothing is read; with another time, but the same content (views), nothing is reported."""
     path = scratch_path(spark, "events")
-    table(spark, sf_dir, "events").hint("rebalance", "event_type").write.mode("overwrite").partitionBy(
-        "event_type"
-    ).parquet(path)
-    digests = scans.file_digests(spark, path, "*.parquet")
-    stale = F.when(F.col("key").contains("event_type=click/"), F.col("md5_hash")).otherwise(F.lit("other"))
-    extracted = digests.select("key", stale.alias("md5_hash"), F.lit("2025-01-01").alias("timestamp"))
-    changed = incremental.changed_files(digests, extracted)
-    return changed.select(F.regexp_extract("key", "event_type=([^/]+)/", 1).alias("event_type")).distinct()
+    events = table(spark, sf_dir, "events")
+    events.hint("rebalance", "event_type").write.mode("overwrite").partitionBy("event_type").parquet(path)
+    listing = scans.file_listing(spark, path, "*.parquet")
+    whole = scans.file_digests(spark, path, "*.parquet", modified=True)
+    kind = lambda name: F.col("key").contains(f"event_type={name}/")
+    extracted = whole.where(kind("click") | kind("view")).select(
+        "key", "md5_hash", "size_bytes", F.when(kind("click"), F.col("modified")).alias("modified"), F.lit("2025-01-01").alias("timestamp")
+    )
+    changed = incremental.changed_digests(listing, extracted)
+    same = changed.join(whole.select("key", F.col("md5_hash").alias("_md5")), "key")
+    name = F.regexp_extract("key", "event_type=([^/]+)/", 1).alias("event_type")
+    return same.groupBy(name).agg(F.lit(True).alias("opened_for_content"), F.every(F.col("md5_hash") == F.col("_md5")).alias("digest_is_of_content"))
 
 
 @query(

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procurelake.operators import cleaning, enrich
+from procurelake.session import scratch_path
+from procurelake.sinks import writers
+from procurelake.sources import scans
 
 AS_OF = "2025-03-15"
 TABLES = ("orders", "customer", "nation", "lineitem", "supplier")
@@ -111,11 +114,24 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich(silver(spark, sf_dir), AS_OF)
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unified table: enriched tenders, one per (ocid, source_publication_id)."""
     return enrich.to_gold(silver(spark, sf_dir), AS_OF, [F.col("seq")])
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified table as it is stored by country and year: written once per application and folder, then read by all questions."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{scratch_path(spark, 'unified')}/gold"
+        writers.write_gold(unified(spark, sf_dir), path)
+        _STORED[key] = path
+    return scans.gold(spark, _STORED[key])
+
+
 # ------------------------------------------------------------- check dialect
 def date_sql(c: str) -> str:
     repaired = rf"regexp_replace({c}, ' (\d{{2}}:\d{{2}}:\d{{2}}\.\d+)T\d{{2}}:\d{{2}}:\d{{2}}', 'T\1')"

@@ -16,6 +16,10 @@ def build_session(app: str = "procurelake", master: str | None = None, **conf: s
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if (master or "").startswith("local"):
+        # Without its native library Hadoop starts a process for each local file it makes, so side files with checksums
+        # double the price of every written partition; stores of a cluster are not concerned.
+        builder = builder.config("spark.hadoop.fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",

@@ -289,14 +289,15 @@ def file_listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
-def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """md5 of every file's content, computed where the file is read."""
+def file_digests(spark: SparkSession, path: str | list[str], glob: str = "*", modified: bool = False) -> DataFrame:
+    """md5 of every file's content, computed where the file is read. A file is one value, so it may have 2 GB at most."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(path)
     )
+    when = [F.col("modificationTime").alias("modified")] if modified else []
     return files.select(
-        F.col("path").alias("key"), F.md5("content").alias("md5_hash"), F.col("length").alias("size_bytes")
+        F.col("path").alias("key"), F.md5("content").alias("md5_hash"), F.col("length").alias("size_bytes"), *when
     )

@@ -1,7 +1,7 @@
 """Incremental loading: unseen files, changed files, hashes written once.
 
 The stream twin keeps its file ledger in the checkpoint; every micro-batch writes
-a folder of its own, named after query and batch, and compares with all other folders, so that a
+a folder of its own, named after query and batch, and compares with the hashes of all others, so that a
 batch repeated after a failure replaces its own output and never loses or doubles a row.
 """
 
@@ -20,6 +20,8 @@ from procurelake.sources import scans
 
 STREAM, BATCH = "stream", "batch"
 FILES_PER_BATCH = 1000
+#: Folders of the hash ledger.
+BUCKETS = 256
 
 
 # ------------------------------------------------------------------ batch twin
@@ -51,6 +53,28 @@ def changed_files(digests: DataFrame, extracted: DataFrame) -> DataFrame:
     )
 
 
+def changed_since(listing: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Files of the listing that may have changed: new ones, and those whose size or time of modification is not the one
+    in the ledger's latest entry (``size_bytes``, ``modified``). No file is opened."""
+    known = extracted.groupBy("key").agg(F.max_by(F.struct("size_bytes", "modified"), "timestamp").alias("_known"))
+    files = listing.select(F.col("path").alias("key"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    same = F.col("_known")["size_bytes"].eqNullSafe(F.col("size_bytes")) & F.col("_known")["modified"].eqNullSafe(F.col("modified"))
+    return files.join(known, "key", "left").where(~F.coalesce(same, F.lit(False))).drop("_known")
+
+
+def changed_digests(listing: DataFrame, extracted: DataFrame) -> DataFrame:
+    """``key, md5_hash, size_bytes, modified`` of the files that are new or whose content differs from the ledger's latest entry.
+
+    Only files that ``changed_since`` names are opened; their paths go to the scan through the driver, their content doesn't.
+    """
+    spark = listing.sparkSession
+    maybe = changed_since(listing, extracted)
+    paths = [row.key for row in maybe.select("key").toLocalIterator()]
+    fresh = scans.file_digests(spark, paths, modified=True) if paths else maybe.select("key", F.lit("").alias("md5_hash"), "size_bytes", "modified")
+    known = extracted.groupBy("key").agg(F.max_by("md5_hash", "timestamp").alias("_known"))
+    return fresh.join(known, "key", "left").where(~F.col("_known").eqNullSafe(F.col("md5_hash"))).drop("_known")
+
+
 def pending_keys(wanted: DataFrame, extracted: DataFrame, key: str = "key") -> DataFrame:
     """Publications and years not extracted so far."""
     return wanted.join(extracted.select(key), key, "left_anti")
@@ -93,15 +117,67 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
 
 
-def _others(spark: SparkSession, target: str, stream: str, batch_id: int) -> DataFrame:
-    """Hashes in all folders but the one of this batch: one column of the target table."""
-    empty = spark.createDataFrame([], "record_hash string")
-    if not scans.exists(spark, target):
-        return empty
-    stored = spark.read.schema(f"record_hash string, {STREAM} string, {BATCH} bigint").parquet(target)
+def _ledger_path(target: str) -> str:
+    return f"{target.rstrip('/')}_hashes"
+
+
+def _bucket(hash_column: str = "record_hash") -> Column:
+    return F.pmod(F.crc32(F.col(hash_column).cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def hash_ledger(spark: SparkSession, target: str) -> DataFrame:
+    """Hashes stored in ``target`` with the query and batch that stored them, in folders by bucket of the hash."""
+    schema = T.StructType([
+        T.StructField("record_hash", T.StringType()), T.StructField(STREAM, T.StringType()),
+        T.StructField(BATCH, T.LongType()), T.StructField("bucket", T.IntegerType()),
+    ])
+    path = _ledger_path(target)
+    if not scans.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def seen_hashes(spark: SparkSession, target: str, records: DataFrame, stream: str, batch_id: int) -> DataFrame:
+    """Hashes that other batches have stored, from the buckets of ``records`` alone: at most ``BUCKETS`` numbers are fetched."""
+    buckets = [row[0] for row in records.select(_bucket().alias("bucket")).distinct().collect() if row[0] is not None]
+    stored = hash_ledger(spark, target).where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
     return stored.where((F.col(STREAM) != stream) | (F.col(BATCH) != batch_id)).select("record_hash")
 
 
+def _note_hashes(rows: DataFrame, target: str, stream: str, batch_id: int) -> None:
+    """Adds a batch to the ledger, one file for each bucket it has, and marks it as noted."""
+    spark = rows.sparkSession
+    named = rows.where(F.col("record_hash") != "").select(
+        "record_hash", F.lit(stream).alias(STREAM), F.lit(batch_id).cast("bigint").alias(BATCH), _bucket().alias("bucket")
+    )
+    path = _ledger_path(target)
+    named.hint("rebalance", "bucket").sortWithinPartitions("bucket", "record_hash").write.mode("append").partitionBy("bucket").parquet(path)
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_noted/{stream}-{batch_id}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
+
+
+def _note_missing(spark: SparkSession, target: str) -> None:
+    """Notes the batches that were stored before there was a ledger, or whose run failed before they were noted."""
+    if not scans.exists(spark, target):
+        return
+    jvm = spark._jvm
+    store = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{target}/{STREAM}=*/{BATCH}=*")) or []
+    for status in found:
+        folder = status.getPath()
+        stream, batch = folder.getParent().getName().split("=", 1)[1], folder.getName().split("=", 1)[1]
+        if not scans.exists(spark, f"{_ledger_path(target)}/_noted/{stream}-{batch}"):
+            _note_hashes(spark.read.schema("record_hash string").parquet(folder.toString()), target, stream, int(batch))
+
+
+def compact_hashes(spark: SparkSession, target: str) -> None:
+    """One sorted run for each bucket of the ledger instead of one file per batch. No query into the target runs meanwhile."""
+    with staging(hash_ledger(spark, target).distinct()) as whole:
+        ordered = whole.hint("rebalance", "bucket").sortWithinPartitions("bucket", "record_hash")
+        writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
+        writer.parquet(_ledger_path(target))
+
+
 def write_once(
     stream: DataFrame,
     target: str,
@@ -113,15 +189,20 @@ def write_once(
 
     A folder belongs to one batch of one query, so queries with checkpoints of their own add to the same target without
     touching each other's rows, and a lost checkpoint writes nothing twice. Queries into one target run one after the other.
+    Hashes are also kept in a ledger beside the target, by bucket, of which a batch reads the buckets of its own hashes. A
+    batch is noted there after it was stored; one that a failure left out is noted when the next query begins.
     """
+    _note_missing(stream.sparkSession, target)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         query = _query_id(spark, checkpoint)
         # Staged, since the comparison and the write both read the batch.
         with staging(transform(batch) if transform else batch) as records:
-            fresh = dedup.new_records(records, _others(spark, target, query, batch_id), order)
-            fresh.write.mode("overwrite").parquet(f"{target}/{STREAM}={query}/{BATCH}={batch_id}")
+            fresh = dedup.new_records(records, seen_hashes(spark, target, records, query, batch_id), order)
+            folder = f"{target}/{STREAM}={query}/{BATCH}={batch_id}"
+            fresh.write.mode("overwrite").parquet(folder)
+            _note_hashes(spark.read.schema("record_hash string").parquet(folder), target, query, batch_id)
 
     return (
         stream.writeStream.foreachBatch(store)

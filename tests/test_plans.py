@@ -1,5 +1,8 @@
 """Layer steps, incremental loading and streams."""
 
+import hashlib
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from procurelake.plans import gold as gold_plan
 from procurelake.plans import questions
 from procurelake.plans import silver as silver_plan
 from procurelake.session import scratch_path, shared_folder
+from procurelake.sinks import writers
 from procurelake.sources import commits, scans
 from procurelake.streaming import incremental
 
@@ -296,3 +300,101 @@ def test_table_without_a_log_gets_one(spark, tmp_path):
     assert silver_plan.load_silver(records(spark, range(5)), path, order, "2025-01-10", "x").agg(F.sum("records")).first()[0] >= 2
     assert [b for _, b in commits.entries(spark, path)][0] == "old"
     assert commits.claim(spark, path, 1, "late") is False
+
+
+def _scanned(df, metric="numOutputRows"):
+    """A figure of the file scan of a query, once it has run: rows that it gave."""
+    df.collect()
+    open_, rows = [df._jdf.queryExecution().executedPlan()], None
+    while open_:
+        node = open_.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+        if "QueryStage" in node.getClass().getSimpleName():
+            node = node.plan()
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            rows = node.metrics().apply(metric).value()
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_questions_skip_row_groups(spark, tmp_path):
+    """High values and ids are found without decoding the row groups that can't hold them."""
+    path = str(tmp_path / "gold")
+    gold = records(spark, range(20_000)).withColumn("year", F.lit(2025))
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "65536")
+    try:
+        writers.write_gold(gold.orderBy(F.rand(3)), path)
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    stored = scans.gold(spark, path)
+    high = stored.where("tender_value_amount > 19000").select("ocid", "tender_value_amount")
+    assert 0 < _scanned(high) < 12_000 and high.count() == 999
+    one = stored.where("ocid = 'ocds-77777'").select("tender_id")
+    assert _scanned(one) == 0
+
+
+def _stream_rows(numbers):
+    def transform(batch):
+        return batch.select("id", F.md5(F.col("id").cast("string")).alias("record_hash"))
+
+    return transform
+
+
+def test_micro_batch_reads_only_its_buckets(spark, tmp_path):
+    """A batch of three hashes opens the ledger files of their buckets; a target without a ledger gets one first."""
+    source, target = tmp_path / "in", str(tmp_path / "target")
+    source.mkdir()
+
+    def run(name, numbers, checkpoint):
+        spark.createDataFrame([(n,) for n in numbers], "id long").coalesce(1).write.json(str(source / name))
+        stream = incremental.file_stream(spark, str(source), "id long", "json", recursiveFileLookup=True)
+        incremental.write_once(stream, target, str(tmp_path / checkpoint), [F.col("id")], _stream_rows(numbers)).awaitTermination()
+        return sorted(r["id"] for r in spark.read.schema("id long").option("recursiveFileLookup", True).parquet(target).collect())
+
+    assert run("a", range(2000), "c") == list(range(2000))
+    ledger = incremental.hash_ledger(spark, target)
+    assert ledger.count() == 2000 and ledger.select("bucket").distinct().count() == incremental.BUCKETS
+    few = spark.createDataFrame([("x",), ("y",), ("z",)], "record_hash string")
+    seen = incremental.seen_hashes(spark, target, few, "another", 0)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert _scanned(seen, "numPartitions") <= 3
+    # rows that came before again, and new ones
+    assert run("b", [5, 6, 2000, 2001], "c") == list(range(2002))
+    # the checkpoint is lost: all files come again, nothing is stored twice
+    assert run("c", [2002], "d") == list(range(2003))
+    # a batch that was stored without its hashes being noted: the next run notes them
+    lost = tmp_path / "target_hashes"
+    for done in (lost / "_noted").iterdir():
+        done.unlink()
+    for bucket in lost.glob("bucket=*"):
+        for file in bucket.iterdir():
+            file.unlink()
+    assert run("d", [2003, 7], "e") == list(range(2004))
+    before = len(list(lost.glob("bucket=*/*.parquet")))
+    incremental.compact_hashes(spark, target)
+    assert incremental.hash_ledger(spark, target).select("record_hash").distinct().count() == 2004
+    assert len(list(lost.glob("bucket=*/*.parquet"))) < before
+    assert run("e", [2003, 2004], "f") == list(range(2005))
+
+
+def test_unchanged_files_are_not_opened(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for name in "abc":
+        (folder / f"{name}.txt").write_text(name)
+    listing = lambda: scans.file_listing(spark, str(folder), "*.txt")
+    empty = spark.createDataFrame([], "key string, md5_hash string, size_bytes bigint, modified timestamp, timestamp string")
+    first = incremental.changed_digests(listing(), empty)
+    assert first.count() == 3
+    ledger = spark.createDataFrame(first.withColumn("timestamp", F.lit("1")).collect(), empty.schema)
+    assert incremental.changed_digests(listing(), ledger).count() == 0
+    assert "content" not in incremental.changed_since(listing(), ledger)._jdf.queryExecution().executedPlan().toString()
+    (folder / "a.txt").write_text("longer")  # another size
+    os.utime(folder / "b.txt", (1, 1))  # another time, the same content
+    (folder / "d.txt").write_text("d")
+    assert {k.rsplit("/", 1)[1] for (k,) in incremental.changed_since(listing(), ledger).select("key").collect()} == {"a.txt", "b.txt", "d.txt"}
+    os.chmod(folder / "c.txt", 0)  # must not be read
+    changed = {r["key"].rsplit("/", 1)[1]: r["md5_hash"] for r in incremental.changed_digests(listing(), ledger).collect()}
+    assert changed == {"a.txt": hashlib.md5(b"longer").hexdigest(), "d.txt": hashlib.md5(b"d").hexdigest()}
