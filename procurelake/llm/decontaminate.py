@@ -3,7 +3,8 @@
 Documents and items are compared in lower case with blanks as one space. A region that is an item of m characters with
 at most e edits shares m - q + 1 - e q of its q-grams with it, all on diagonals (place in the document less
 place in the item) that differ by at most e. So hits of the items' q-grams are counted in overlapping bands of diagonals,
-bands that reach the bound are regions to look at, and an alignment along the band decides.
+bands that reach the bound are regions to look at, and an alignment along the band decides. An item so short that the bound
+would say nothing has shorter q-grams, down to single characters, so items of any length are found.
 
 Items go out in blocks of at most ``BLOCK_CHARS`` characters, whatever the benchmark's size; each block is one pass over the
 documents, which are never shuffled.
@@ -22,7 +23,6 @@ from procurelake.llm.units import groups
 
 Q = 8
 EDIT_RATE = 0.1
-LEAST_CHARS = 20
 BLOCK_CHARS = 4_000_000
 _FILTER = 1 << 22
 _GAP = np.uint32(0xFFFFFFFF)
@@ -98,45 +98,33 @@ def _place(region: np.ndarray, item: np.ndarray) -> int:
 
 
 class Items:
-    """A block of items with their q-grams, sorted by hash."""
+    """A block of items with their q-grams, sorted by hash; items of one size of q-grams together."""
 
     def __init__(self, rows: list[tuple[int, str]], q: int, rate: float) -> None:
-        self.q = q
-        kept = sorted({(item, text) for item, raw in rows if len(text := normal(raw)) >= max(LEAST_CHARS, q)}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        kept = sorted({(item, text) for item, raw in rows if (text := normal(raw))}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         self.names = [item for item, _ in kept]
         self.points = [_points(text) for _, text in kept]
-        sizes = np.array([len(p) for p in self.points], dtype=np.int64)
-        self.sizes = sizes
-        self.budgets = (sizes * rate).astype(np.int64)
-        # the lemma's bound; a budget so large that it says nothing still asks for one hit
-        self.bounds = np.maximum(1, sizes - q + 1 - self.budgets * q)
-        hashes = [_qgrams(p, q)[: len(p) - q + 1] for p in self.points]
-        every = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes = every[order]
-        self.item = np.repeat(np.arange(len(kept)), [len(h) for h in hashes])[order]
-        self.place = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(len(h)) for h in hashes)])[order]
-        self.table = np.zeros(_FILTER, dtype=bool)
-        self.table[(self.hashes & np.uint64(_FILTER - 1)).astype(np.int64)] = True
+        self.sizes = np.array([len(p) for p in self.points], dtype=np.int64)
+        self.budgets = (self.sizes * rate).astype(np.int64)
+        # the longest q-grams of which the lemma asks for one at least
+        own = np.clip(self.sizes // (self.budgets + 1), 1, q)
+        self.bounds = self.sizes - own + 1 - self.budgets * own
+        self.grams = [_Grams(int(size), np.flatnonzero(own == size), self.points) for size in np.unique(own)]
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each normal text its items: index, start, end (in the normal text) and edits; the best region of each."""
         out: list[dict[int, tuple]] = [{} for _ in texts]
-        if not self.names:
-            return [[] for _ in texts]
         joined = np.concatenate([part for text in texts for part in (_points(text), np.full(1, _GAP, dtype=np.uint32))])
         ends = np.cumsum([len(text) + 1 for text in texts]) - 1
         origin = np.concatenate([[0], ends[:-1] + 1])
-        grams = _qgrams(joined, self.q)
-        at = np.flatnonzero(self.table[(grams & np.uint64(_FILTER - 1)).astype(np.int64)])
-        low, high = np.searchsorted(self.hashes, grams[at], "left"), np.searchsorted(self.hashes, grams[at], "right")
-        times = high - low
-        at, low, times = at[times > 0], low[times > 0], times[times > 0]
-        if not len(at):
-            return [[] for _ in texts]
-        index = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        item, place = self.item[index], self.place[index]
-        diagonal = np.repeat(at, times) - place
+        for grams in self.grams:
+            self._find(grams, joined, origin, ends, out)
+        return [[(name, a, b, edits) for name, (edits, a, b) in sorted(found.items())] for found in out]
+
+    def _find(self, grams: _Grams, joined: np.ndarray, origin: np.ndarray, ends: np.ndarray, out: list[dict]) -> None:
+        item, place, diagonal = grams.hits(joined)
+        if not len(item):
+            return
         # bands of twice the drift, in steps of the drift: any drift lies within one of them
         step = self.budgets[item] + 1
         band = np.floor_divide(diagonal, step)
@@ -149,9 +137,16 @@ class Items:
         counts = np.diff(np.append(edge, rows.shape[1]))
         names, bands = rows[0, edge], rows[1, edge]
         full = counts >= self.bounds[names]
-        for name, number in zip(names[full].tolist(), bands[full].tolist()):
+        names, bands = names[full], bands[full]
+        # without edits the first place is the best one, so later ones are looked at only if it fails
+        text = np.searchsorted(ends, np.maximum(bands * (self.budgets[names] + 1), 0), "left")
+        strict = self.budgets[names] == 0
+        later = strict & np.concatenate([[False], (np.diff(names) == 0) & (np.diff(text) == 0)])
+        for name, number in zip(names[~later].tolist(), bands[~later].tolist()):
             self._check(name, number, joined, origin, ends, out)
-        return [[(name, a, b, edits) for name, (edits, a, b) in sorted(found.items())] for found in out]
+        for name, number, at in zip(names[later].tolist(), bands[later].tolist(), text[later].tolist()):
+            if at < len(out) and name not in out[at]:
+                self._check(name, number, joined, origin, ends, out)
 
     def _check(self, name: int, band: int, joined: np.ndarray, origin: np.ndarray, ends: np.ndarray, out: list[dict]) -> None:
         budget, size = int(self.budgets[name]), int(self.sizes[name])
@@ -171,6 +166,32 @@ class Items:
                     out[text][name] = row
 
 
+class _Grams:
+    """q-grams of some items with their places, sorted by hash."""
+
+    def __init__(self, q: int, numbers: np.ndarray, points: list[np.ndarray]) -> None:
+        self.q = q
+        hashes = [_qgrams(points[n], q)[: len(points[n]) - q + 1] for n in numbers]
+        every = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.item = np.repeat(numbers, [len(h) for h in hashes])[order]
+        self.place = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(len(h)) for h in hashes)])[order]
+        self.table = np.zeros(_FILTER, dtype=bool)
+        self.table[(self.hashes & np.uint64(_FILTER - 1)).astype(np.int64)] = True
+
+    def hits(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place in it and diagonal of each q-gram of the texts that an item has."""
+        grams = _qgrams(joined, self.q)
+        at = np.flatnonzero(self.table[(grams & np.uint64(_FILTER - 1)).astype(np.int64)])
+        low, high = np.searchsorted(self.hashes, grams[at], "left"), np.searchsorted(self.hashes, grams[at], "right")
+        times = high - low
+        at, low, times = at[times > 0], low[times > 0], times[times > 0]
+        index = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        place = self.place[index]
+        return self.item[index], place, np.repeat(at, times) - place
+
+
 def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, dealt by hash; a block that comes out too large is split further on."""
     slim = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
@@ -203,9 +224,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_
     """``doc_id, item_id, start, end, edits``: items of ``benchmark`` (``item_id``, ``text``) that ``docs`` (``doc_id``, ``text``) hold.
 
     One row per row of ``docs`` and item, with the region of fewest edits, the first of equals, as places in the
-    text in lower case with single spaces. At most ``rate`` of the item's characters may be edited. Items of fewer
-    than ``LEAST_CHARS`` such characters are too short to tell and are left out; null texts hold nothing; repeated rows give
-    repeated links, repeated items (equal id and text) one; null ids stay null; an empty table gives an empty table.
+    text in lower case with single spaces. At most ``rate`` of the item's characters may be edited, so items of fewer than ten are
+    found as they are. An item without characters is in nothing; null and empty texts hold nothing; texts of any length are searched
+    whole, each in one piece; repeated rows give repeated links, repeated items (equal id and text) one; null ids stay null; an empty table gives an empty table.
     """
 
     def search(sent):

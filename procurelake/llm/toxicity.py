@@ -9,7 +9,7 @@ A document's figures, for both ways, are its log-likelihood ratios in the mean p
 margins, and those of its two strongest expressions; a logistic curve turns them into a score.
 
 Counting is a Spark aggregation over all labelled rows of ``COUNT_FOLDS``; the curve is fitted on at most ``FIT_ROWS``
-rows of ``FIT_FOLD``, which the counts have not seen. Spellings seen fewer than ``LEAST`` times are left to the backoff.
+rows of ``FIT_FOLD``, which the counts have not seen.
 Counts are kept in tables of ``SLOTS`` hashed n-grams, which bounds what reaches the driver and is
 broadcast, whatever the corpus holds: 14 sets of three tables with 2^18 slots.
 """
@@ -30,7 +30,6 @@ from procurelake.session import staged
 
 ORDER, SHARED = 9, 5
 OWN = (3, 4, 5)
-LEAST = 2
 MARGINS = (1.5, 3.0)
 DISCOUNT = 0.75
 FLOOR = 1e-3  # spread over letters below the lowest order
@@ -155,8 +154,7 @@ def gather(labelled: DataFrame) -> DataFrame:
     single = single.select(field(58, 4).alias("size"), field(56, 2).alias("toxic"), field(36, 18).alias("gram"), field(18, 18).alias("context"), "amount")
     top, types = F.col("size") == _TOP, (F.col("size") < _TOP) & (F.col("toxic") == _BOTH)
     amount = F.when(types, F.lit(1)).otherwise(F.col("amount"))
-    often = single.where(~top | (F.col("amount") >= LEAST))
-    counted = staged(often.groupBy("size", "toxic", "gram", "context").agg(F.sum(amount).alias("v")), "grams")
+    counted = staged(single.groupBy("size", "toxic", "gram", "context").agg(F.sum(amount).alias("v")), "grams")
     grams = counted.groupBy("size", "toxic", F.col("gram").alias("slot")).agg(F.sum("v").alias("total"), F.lit(0).cast("long").alias("kinds"))
     heads = counted.groupBy("size", "toxic", F.col("context").alias("slot")).agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("kinds"))
     return grams.select(F.lit(0).alias("part"), "*").unionByName(heads.select(F.lit(1).alias("part"), "*"))

@@ -265,3 +265,39 @@ def test_leaks_against_plain_alignment(spark):
     assert kept.columns == docs.columns
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_items_of_any_length_against_plain_alignment():
+    """Items of 1 to 40 characters, unchanged and with as many edits as their budget allows, spread or together."""
+    rnd = random.Random(12)
+    letters = "abcdefg "
+    text = decontaminate.normal("".join(rnd.choice(letters) for _ in range(300)))
+    items, texts = [], [text, "", "b", "zz " * 20]
+    for size in range(1, 41):
+        item = decontaminate.normal("".join(rnd.choice("hijklmnop ") for _ in range(size)))
+        for edits in range(len(item) // 10 + 2):
+            changed = list(item)
+            for at in rnd.sample(range(len(changed)), min(edits, len(changed))):
+                changed[at] = rnd.choice(["z", "", changed[at] + "z"])
+            at = rnd.randrange(len(text))
+            texts.append(decontaminate.normal(text[:at] + "".join(changed) + text[at:]))
+        items.append((size, item))
+    items += [(100, "b"), (101, text[50:59]), (102, text[10:33]), (103, "zz zz")]
+
+    def plain(item, whole):
+        row = [0] * (len(whole) + 1)
+        for i, a in enumerate(item, 1):
+            left, row = row, [i]
+            for j, b in enumerate(whole, 1):
+                row.append(min(left[j - 1] + (a != b), left[j] + 1, row[-1] + 1))
+        return min(row)
+
+    found = decontaminate.Items(items, 8, 0.1)
+    got = {(t, found.names[name], edits) for t, hits in enumerate(found.find(texts)) for name, _, _, edits in hits}
+    want = {(t, n, e) for t, whole in enumerate(texts) for n, item in items if item and (e := plain(item, whole)) <= len(item) // 10}
+    assert got == want and len(want) > 100
+    for t, hits in enumerate(found.find(texts)):
+        for name, a, b, edits in hits:
+            if not edits:
+                item = dict(items)[found.names[name]]
+                assert texts[t][a:b] == item and a == texts[t].find(item)
