@@ -241,6 +241,52 @@ def test_nearest_pages_are_differenced(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_differencing_against_a_plain_version(spark):
+    """Random hosts of pages with shared lines, exact and near copies side by side."""
+    rnd = random.Random(21)
+    rows = []
+    for host in range(6):
+        site = [f"site {host} line {k} menu" for k in range(3)]
+        made = []
+        for n in range(rnd.randint(1, 14)):
+            if made and rnd.random() < 0.4:
+                lines = list(rnd.choice(made))
+                if rnd.random() < 0.5:
+                    lines.insert(rnd.randrange(len(lines) + 1), f"added {n}")
+            else:
+                lines = [*rnd.sample(site, 2), *(prose(rnd, rnd.randint(3, 12)) for _ in range(rnd.randint(0, 4))), rnd.choice(site)]
+            made.append(lines)
+            rows.append((len(rows), f"http://h{host}.example/{rnd.randint(0, 9)}/{n % 3}", "".join(f"<p>{line}</p>" for line in lines)))
+    rows += [(500 + n, "http://copies.example/a", "<p>site menu line</p><p>story one is told here</p>") for n in range(3)]
+    rows += [(503, "http://copies.example/b", "<p>site menu line</p><p>another story</p>")]
+    want = {}
+    for host in {r[1].split("/")[2] for r in rows}:
+        same = {}
+        for at, (page, url, html) in enumerate(rows):
+            if url.split("/")[2] == host:
+                same.setdefault(tuple(pages.blocks(html)[1]), []).append(("/" + url.split("/", 3)[3], at))
+        order = sorted((min(places), lines) for lines, places in same.items())
+        for k, (_, lines) in enumerate(order):
+            gone = set()
+            for side in (1, -1):
+                for far in range(1, pages.REACH + 1):
+                    if not 0 <= k + side * far < len(order):
+                        break
+                    other = order[k + side * far][1]
+                    first, second = (lines, other) if side == 1 else (other, lines)
+                    i, j = pages.shared_lines([hash(x) for x in first], [hash(x) for x in second])
+                    share = max(sum(len(first[x]) for x in i) / max(1, sum(map(len, first))), sum(len(second[x]) for x in j) / max(1, sum(map(len, second))))
+                    if not len(i) or share <= pages.COPY_SHARE:
+                        gone |= set(i if side == 1 else j)
+                        break
+            for _, at in same[lines]:
+                want[rows[at][0]] = "\n".join(line for x, line in enumerate(lines) if x not in gone)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert got == want
+    assert got[500] == got[501] == got[502] == "story one is told here" and got[503] == "another story"
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     rnd = random.Random(8)
