@@ -241,6 +241,14 @@ def test_nearest_pages_are_differenced(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_articles_keep_what_only_sounds_like_furniture():
+    html = """<div class="site-header">top</div><noscript>enable it</noscript><article><h2 id="related-work">Related work</h2>
+      <p class="search-results">Results</p><figure><figcaption>Figure 1</figcaption></figure><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>
+      <div class="notice-of-claims">claims</div><noscript>plain</noscript><div class="ad-container-2">buy</div><ul class="related posts">more</ul>
+      <div id="comment-list">first!</div><div class="wide sidebar">side</div><header>By me</header></article><div class="footer">end</div>"""
+    assert pages.blocks(html) == (True, ["Related work", "Results", "Figure 1", "so x=1", "claims", "plain", "By me"])
+
+
 def test_differencing_against_a_plain_version(spark):
     """Random hosts of pages with shared lines, exact and near copies side by side."""
     rnd = random.Random(21)
