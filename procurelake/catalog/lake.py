@@ -196,27 +196,27 @@ def contract_files_to_silver(spark, sf_dir):
     return _contracts_silver(scans.contract_rows(spark, path))
 
 
-@query(
-    "relational_load",
-    """WITH t AS (SELECT CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority END AS title,
-        CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate END AS published FROM orders)
-      SELECT 'PT' AS source_country, year(published) AS year, month(published) AS month, COUNT(*) AS records
-      FROM t WHERE title IS NOT NULL AND published IS NOT NULL GROUP BY ALL""",
-)
+@query("relational_load", CHECKS["relational_merge"])
 def relational_load(spark, sf_dir):
-    """The five tables as files, merged, and written by country, year and month."""
+    """The five tables as files, merged, written by country, year and month and read back: all rows, each in its own month."""
     folder, target = scratch_path(spark, "relational"), scratch_path(spark, "silver")
     for name, df in relational_tables(spark, sf_dir).items():
         columns = [F.col(f.name).cast(f.dataType) for f in schemas.RELATIONAL_SCHEMAS[name].fields]
-        df.select(*columns).write.mode("overwrite").parquet(f"{folder}/{scans.RELATIONAL_FILES[name]}")
+        # the first lot of a tender is that of its first link in the file
+        ordered = df.orderBy("tender_id", "_lot_row", "lot_id") if name == "tender_lot" else df
+        ordered.select(*columns).write.mode("overwrite").parquet(f"{folder}/{scans.RELATIONAL_FILES[name]}")
     tables = scans.relational_tables(spark, folder)
     merged = relational.transform(
         tables, order=[F.col("_tender_row"), F.col("_buyer_row")], lot_order=[F.col("_lot_row")],
         keep=("_tender_row", "_buyer_row"),
     ).drop("_tender_row", "_buyer_row")
     writers.write_relational_silver(merged, target, mode="overwrite")
-    written = spark.read.schema("source_country string, year bigint, month bigint").parquet(target)
-    return profile.partition_stats(written, writers.SILVER_KEYS)
+    written = spark.read.parquet(target)
+    named = written.where((F.col("year") == F.year("publication_date")) & (F.col("month") == F.month("publication_date")))
+    return named.select(
+        "tender_id", "ocid", "source_country", "tender_title", "tender_description", "tender_status", "tender_value_amount",
+        F.date_format("publication_date", "yyyy-MM-dd").alias("publication_date"), "buyer_id", "buyer_name", "cpv_code",
+    )
 
 
 # ------------------------------------------------------------ Silver and Gold
@@ -241,6 +241,28 @@ def silver_load(spark, sf_dir):
     return runs[0].unionByName(runs[1])
 
 
+@query(
+    "silver_stored_rows",
+    f"""{WITH_SILVER}, kept AS (SELECT * FROM silver WHERE ({_REASON}) IS NULL
+        QUALIFY row_number() OVER (PARTITION BY record_hash ORDER BY seq) = 1)
+      SELECT source AS source_country, record_hash, ocid, tender_id, publication_date, tender_title, tender_value_amount, buyer_name,
+        array_to_string(supplier_names, '|') AS suppliers, num_lots FROM kept""",
+)
+def silver_stored_rows(spark, sf_dir):
+    """Three loads, the second of known rows only, read back from the committed batches: all rows."""
+    root = scratch_path(spark, "silver")
+    records = staged(validation.accepted(silver(spark, sf_dir)).withColumn("source_country", F.col("source")).drop("source"), "records")
+    ordered = records.withColumn("_order", F.col("seq")).drop("seq")
+    early = ordered.where("publication_date < '2018'")
+    for part in (early, early, ordered):
+        silver_plan.load_silver(part, f"{root}/all", [F.col("_order")], AS_OF, "all")
+    stored = scans.silver(spark, root, "all", schemas.SILVER_SCHEMA)
+    return stored.select(
+        "source_country", "record_hash", "ocid", "tender_id", "publication_date", "tender_title", "tender_value_amount", "buyer_name",
+        F.array_join("supplier_names", "|").alias("suppliers"), "num_lots",
+    )
+
+
 def _write_silver_sources(spark, sf_dir: str, root: str) -> None:
     tenders = staged(silver(spark, sf_dir), "silver")
     for folder, tag in gold_plan.SOURCE_FOLDERS.items():
@@ -405,12 +427,14 @@ def export_csv(spark, sf_dir):
 
 @query(
     "export_json",
-    f"""{WITH_GOLD} SELECT source, COUNT(*) AS records FROM gold GROUP BY source""",
+    f"""{WITH_GOLD} SELECT source, ocid, source_publication_id, tender_value_amount, array_to_string(supplier_names, '|') AS suppliers FROM gold""",
 )
 def export_json(spark, sf_dir):
+    """Rows with arrays as JSON lines, read back."""
     path = scratch_path(spark, "export")
-    writers.export(profile.partition_stats(gold(spark, sf_dir), ["source"]), path, "json")
-    return spark.read.schema("source string, records bigint").json(path)
+    writers.export(gold(spark, sf_dir).select("source", "ocid", "source_publication_id", "tender_value_amount", "supplier_names"), path, "json")
+    schema = "source string, ocid string, source_publication_id string, tender_value_amount double, supplier_names array<string>"
+    return spark.read.schema(schema).json(path).withColumn("suppliers", F.array_join("supplier_names", "|")).drop("supplier_names")
 
 
 @query(

@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if configured:
-        if configured.startswith(("file:", "/")) and not spark.conf.get("spark.master", "").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local") and _is_local(spark, configured):
             raise RuntimeError("spark.checkpoint.dir is a local folder; executors of a cluster need a shared one")
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
@@ -51,6 +51,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def _is_local(spark: SparkSession, path: str) -> bool:
+    """Whether a path, one without a scheme on the default file system, lies on the machine's own disk."""
+    store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.getUri().getScheme() == "file"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, removed when the driver JVM ends."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

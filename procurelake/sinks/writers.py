@@ -122,8 +122,8 @@ def write_facts(df: DataFrame, path: str, dynamic: bool = False) -> None:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """An aggregate table as one file; such tables hold one row per country, month or top entry."""
-    df.coalesce(1).write.mode(mode).option("compression", COMPRESSION).parquet(path)
+    """An aggregate table: one file as long as it is small, as adaptive execution sizes it."""
+    df.hint("rebalance").write.mode(mode).option("compression", COMPRESSION).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, mode: str = "append") -> None:
