@@ -172,7 +172,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids`` of each row of ``docs`` (``doc_id``, ``text``), without special tokens.
 
     A null or empty text has no ids; equal and repeated rows are encoded alike and all kept; a null
-    doc_id stays null; an empty table gives an empty table; further columns are ignored.
+    doc_id stays null; an empty table gives an empty table; further columns are ignored. A long text is encoded whole,
+    in one task, in memory that is a multiple of its own size.
     """
     path = path or vocabulary_path()
 

@@ -85,7 +85,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
     Turns are ordered by turn, then role, then text, which also settles ties; a null turn comes first; repeated rows
     are repeated turns. A null role or text is empty. Rows with a null conv_id form one conversation.
     An empty table gives an empty table; further columns are ignored. A conversation is one value of the result,
-    so its turns meet in one row; conversations are spread over tasks.
+    so its turns meet in one row and may have 2 GB together; conversations are spread over tasks.
     """
     slim = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = slim.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))

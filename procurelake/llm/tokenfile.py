@@ -48,7 +48,8 @@ def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = E
     """Encode ``docs`` (``doc_id``, ``text``) and store the ids with ``end_id`` after each document.
 
     A null or empty text is the end id alone. Rows with equal doc_id are all kept, side by side; a null doc_id
-    sorts first. An empty table writes an empty file. Further columns are ignored. Documents are
+    sorts first. A long text is a group of its own, encoded unit by unit in slices, however many distinct units it has. An
+    empty table writes an empty file. Further columns are ignored. Documents are
     range-partitioned by doc_id and a hash of the text, which also splits an id that many rows share.
     """
     path = path or vocabulary_path()

@@ -297,7 +297,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels`` (``doc_id``, ``toxic``) marks some of them; rows whose crc32(doc_id as text) mod 5 is 0 are held out from all
     learning, and only the text makes a score. Null labels are none; of several the largest holds. A null or empty text
-    has no expressions and both figures zero; repeated rows score alike; a null doc_id has no label and isn't held out;
+    has no expressions and both figures zero, a long one is scored whole; repeated rows score alike; a null doc_id has no label and isn't held out;
     with fewer than ``LEAST_FIT`` rows of a class to fit, a fixed curve stands in; an empty table gives an empty table.
     """
     spark = docs.sparkSession
