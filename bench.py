@@ -68,6 +68,7 @@ def main() -> None:
         measure("gold:facts", lambda: found.append(gold_plan.build_facts(gold, tables)))
         for name, build in aggregates.AGGREGATES.items():
             measure(f"gold:{name}", lambda build=build: drain(build(found[0])))
+        measure("gold:all_tables", lambda: gold_plan.build_aggregates(gold, f"{folder}/again"))
         batch = silver.where("seq % 100 = 0").withColumn("tender_id", F.concat("tender_id", F.lit("-new")))
         batch.where("source = 'ted'").withColumn("source_publication_id", F.lit("new")).drop("source").write.mode("append").parquet(f"{root}/ted")
         measure("gold:refresh", lambda: gold_plan.refresh_unified(spark, root, path, tenders.AS_OF))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,28 +167,33 @@ def _within(pairs: list[tuple[str, int]]) -> Column:
 
 
 def build_facts(gold: DataFrame, folder: str, years: list[int] | None = None) -> aggregates.Facts:
-    """Write the partial aggregates by year, all or those of some years; returns scans of the whole."""
+    """Write the partial aggregates by year, all or those of some years; returns scans of the whole. They don't need each other,
+    so their jobs run side by side."""
     spark = gold.sparkSession
     rows = gold if years is None else gold.where(F.col("year").isin(*years))
-    found = {}
-    for name, fact in aggregates.facts(rows)._asdict().items():
+    left = None if years is None else {row[0] for row in rows.select("year").distinct().toLocalIterator()}
+
+    def write(name: str, fact: DataFrame) -> DataFrame:
         path = f"{folder}/facts/{name}"
         writers.write_facts(fact, path, dynamic=years is not None)
-        if years is not None:
-            left = {row[0] for row in rows.select("year").distinct().toLocalIterator()}
-            for year in sorted(set(years) - left):
-                scans.delete(spark, f"{path}/year={year}")
-        found[name] = spark.read.schema(fact.schema).parquet(path)
-    return aggregates.Facts(**found)
+        for year in sorted(set(years or ()) - (left or set())):
+            scans.delete(spark, f"{path}/year={year}")
+        return spark.read.schema(fact.schema).parquet(path)
+
+    return aggregates.Facts(*_side_by_side([(write, name, fact) for name, fact in aggregates.facts(rows)._asdict().items()]))
+
+
+def _side_by_side(calls: list[tuple]) -> list:
+    """Results of calls that each run Spark jobs, in order."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(call, *given) for call, *given in calls]]
 
 
 def build_aggregates(gold: DataFrame, folder: str, years: list[int] | None = None) -> dict[str, str]:
     """Write the facts, all or those of ``years``, and from them the aggregate tables."""
     found = build_facts(gold, folder, years)
-    paths = {}
-    for name, build in aggregates.AGGREGATES.items():
-        paths[name] = f"{folder}/{name}.parquet"
-        writers.write_table(build(found), paths[name])
+    paths = {name: f"{folder}/{name}.parquet" for name in aggregates.AGGREGATES}
+    _side_by_side([(lambda build, path: writers.write_table(build(found), path), build, paths[name]) for name, build in aggregates.AGGREGATES.items()])
     return paths
 
 
