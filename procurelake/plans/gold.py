@@ -133,7 +133,8 @@ def refresh_unified(spark: SparkSession, silver_root: str, path: str, as_of: str
             folders = gone.where(_within(emptied)).select("folder").distinct() if emptied else gone.limit(0)
             for row in folders.toLocalIterator():
                 scans.delete(spark, row.folder)
-    _note(unseen, path)
+    if files:
+        _note(unseen, path)
     spark.catalog.refreshByPath(path)
     return touched
 
